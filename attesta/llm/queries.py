@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from .common import ship
+
 #: query: (module, function)
 _QUERIES = {
     "op3_kd_sharding": "sharding",
+    "op4_simhash_components": "simhash",
 }
 
 
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{m}"), name) for name, m in _QUERIES.items()}
+    return {
+        name: _shipped(getattr(import_module(f"{__package__}.{m}"), name))
+        for name, m in _QUERIES.items()
+    }
 
 
 def oracle_sql() -> dict[str, str]:
