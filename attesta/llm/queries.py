@@ -11,6 +11,7 @@ from .common import ship
 _QUERIES = {
     "op3_kd_sharding": "sharding",
     "op4_simhash_components": "simhash",
+    "op6_bpe_round_trip": "bpe",
 }
 
 
