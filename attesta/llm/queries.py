@@ -12,6 +12,7 @@ _QUERIES = {
     "op3_kd_sharding": "sharding",
     "op4_simhash_components": "simhash",
     "op6_bpe_round_trip": "bpe",
+    "op7_pivot_topk": "topk",
     "op9_language_id": "langid",
     "op10_pack_documents": "packing",
 }
