@@ -67,7 +67,7 @@ def release(df: DataFrame) -> None:
 
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of df; for files, their size. No job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

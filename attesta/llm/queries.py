@@ -9,6 +9,7 @@ from .common import ship
 
 #: query: (module, function)
 _QUERIES = {
+    "op1_merged_bwt_dedup": "suffix",
     "op2_forest_components": "embeddings",
     "op3_kd_sharding": "sharding",
     "op4_simhash_components": "simhash",
