@@ -13,6 +13,7 @@ _QUERIES = {
     "op2_forest_components": "embeddings",
     "op3_kd_sharding": "sharding",
     "op4_simhash_components": "simhash",
+    "op5_edited_counts": "token_counts",
     "op6_bpe_round_trip": "bpe",
     "op7_pivot_topk": "topk",
     "op9_language_id": "langid",
