@@ -16,6 +16,7 @@ _QUERIES = {
     "op5_edited_counts": "token_counts",
     "op6_bpe_round_trip": "bpe",
     "op7_pivot_topk": "topk",
+    "op8_block_labeller": "html_text",
     "op9_language_id": "langid",
     "op10_pack_documents": "packing",
 }
