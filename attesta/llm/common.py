@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order key of rows without an id: they come after all others.
@@ -29,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def row_key(df_id: str, df_text: str) -> Column:
+    """Documents in the order of their ids; those without one come after all, in an order that
+    their texts give."""
+    by_text = F.xxhash64(F.col(df_text)).bitwiseAND(2**61 - 1) + 2**62
+    return F.coalesce(F.col(df_id).cast("long"), by_text)
+
+
 _shipped: set[str] = set()
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, connected_components, materialize, merge_labels, sorted_groups
+from .common import LAST, connected_components, materialize, merge_labels, row_key, sorted_groups
 
 SEED = 42
 TILE = 1024
@@ -168,5 +168,151 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
     )
 
 
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    parts = text.lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    spans = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    found = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in spans), np.uint64, len(spans))
+    return np.unique(found)
+
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    radius: int = 16,
+    similarity: float = 0.8,
+    keys: int = 4,
+) -> DataFrame:
+    """(key, component) for each row: texts whose sets of shingles have a Jaccard similarity of at
+    least `similarity` are linked; component is the least key reachable. See row_key() for keys.
+
+    At such a similarity fingerprints of so many words differ in too many bits for blocks of bits
+    to meet, so texts meet where they share one of the `keys` least hashes of their shingles (two
+    at 0.8 miss that with a chance of 0.2 ** keys). Each bucket compares fingerprints in tiles at
+    the wide radius; the sets of those that find a partner are fetched and pairs are checked
+    exactly, but for pairs that are linked by then. Equal sets are one class from the start. Texts
+    without words are equal. A task holds one bucket, with sets only where fingerprints met."""
+    rows = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, sets, least = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                own = shingles(t.as_py() or b"", words)
+                marks.append(fingerprint(t.as_py() or b"", words))
+                sets.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
+                least.append(own[:keys].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.array(marks, np.uint64).view(np.int64)),
+                    pa.array(np.array(sets, np.uint64).view(np.int64)),
+                    pa.array(least, pa.list_(pa.int64())),
+                ],
+                ["key", "fp", "same", "least"],
+            )
+
+    marked = materialize(
+        rows.mapInArrow(prints, "key long, fp long, same long, least array<long>"), "marks"
+    )
+    classes = materialize(
+        marked.groupBy("same").agg(F.min(F.struct("key", "fp", "least")).alias("low"))
+        .select("same", F.col("low.key").alias("low"), "low.fp", "low.least"),
+        "classes",
+    )
+    keyed = classes.select("low", "fp", F.explode("least").alias("bucket"))
+    keyed = keyed.join(keyed.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "bucket"):
+            roots = link(group["fp"].to_numpy().view(np.uint64), radius)
+            many = np.bincount(roots, minlength=len(roots))[roots] > 1
+            if many.any():
+                n = int(many.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [group["low"].to_numpy()[many], np.full(n, group["bucket"][0].as_py()),
+                     group["fp"].to_numpy()[many]],
+                    ["low", "bucket", "fp"],
+                )
+
+    met = materialize(
+        keyed.select("low", "bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(meet, "low long, bucket long, fp long"),
+        "met",
+    )
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [
+                shingles(t.as_py() or b"", words).tobytes() for t in batch.column(1).cast(pa.binary())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.binary())], ["low", "set"]
+            )
+
+    wanted = met.select(F.col("low").alias("key")).distinct()
+    sets = materialize(
+        rows.join(wanted.hint("shuffle_hash"), "key").mapInArrow(fetch, "low long, set binary")
+        .dropDuplicates(["low"]),
+        "sets",
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "bucket"):
+            low = group["low"].to_numpy()
+            roots = checked(
+                group["fp"].to_numpy().view(np.uint64),
+                [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()],
+                radius,
+                similarity,
+            )
+            linked = roots != np.arange(len(roots))
+            if linked.any():
+                yield _pairs([low[linked]], [low[roots[linked]]])
+
+    edges = (
+        met.join(sets, "low").select("bucket", "low", "fp", "set")
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long")
+    )
+    parts = connected_components(edges)
+    labelled = classes.join(parts, classes["low"] == parts["node"], "left").select(
+        "same", F.coalesce("component", "low").alias("component")
+    )
+    return marked.join(labelled, "same").select("key", "component")
+
+
+def checked(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """Roots of classes: pairs within the radius whose sets are similar enough."""
+    labels = np.arange(len(prints))
+    for i in range(len(prints) - 1):
+        near = np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) + i + 1
+        a = sets[i]
+        for j in near.tolist():
+            b = sets[j]
+            if labels[i] == labels[j] or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both):
+                merge_labels(labels, np.array([i]), np.array([j]))
+    return labels
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """df with one row of each group of near duplicates: the one of least key (of repeated rows of
+    that key, any one). Groups are those of near_duplicates(); columns pass as they are. Null texts count as
+    empty, null ids come last, an empty table gives no rows."""
+    found = materialize(near_duplicates(df, id_col, text_col, **how), "components")
+    rows = df.select(row_key(id_col, text_col).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    gone = found.filter("key <> component").select(F.col("key").alias("_key")).distinct()
+    kept = rows.join(gone.hint("shuffle_hash"), "_key", "left_anti")
+    if found.groupBy("key").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import first_places
-from .common import materialize, release, size_estimate, sorted_groups
+from .common import materialize, release, row_key, size_estimate, sorted_groups
 
 SPAN = 100
 #: An anchor is the least of the hashes of the GRAM-byte strings of a SPAN-byte window.
@@ -24,7 +24,6 @@ _BASE = 0x9E3779B97F4A7C15
 #: Bytes of segments whose transforms are merged at once (their blocks then number below 2**16),
 #: and input bytes per bucket of anchors.
 TILE, BUCKET = 48_000, 4 << 20
-_FIRST_NULL = 2**62
 
 
 def _power(k: int) -> np.uint64:
@@ -114,7 +113,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, starts, ends) of the bytes of each document that a SPAN-byte string covers which also
     starts earlier: in a document of smaller id, or before it in the same one. Spans may overlap
-    and come in no order; documents without any are absent. key: see _key().
+    and come in no order; documents without any are absent. key: see row_key().
 
     1. Every window of SPAN bytes belongs to its anchor's segment. Tasks send (anchor, hash of the
        segment, place), packed, once per distinct segment and batch; further copies of it are
@@ -126,7 +125,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Copies of any number cost one segment per batch, and anchors are spread by hash. Memory of a
     task: one Arrow batch, one bucket (BUCKET bytes of input) or one anchor's different segments."""
-    keyed = df.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    keyed = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
     buckets = max(8, min(1 << 20, size_estimate(df.select(text_col)) // BUCKET))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +290,6 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return spans
 
 
-def _key(id_col: str, text_col: str):
-    """Documents in the order of their ids; those without one come after all, in an order that
-    their texts give."""
-    by_text = F.xxhash64(F.col(text_col)).bitwiseAND(2**61 - 1) + _FIRST_NULL
-    return F.coalesce(F.col(id_col).cast("long"), by_text)
-
-
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Whether an entry of sorted columns differs from the one before."""
     n = len(columns[0])
@@ -347,7 +339,7 @@ def without(text: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
 
 def _with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with _starts and _stops. The hash side is the small one; texts are not sorted."""
-    keyed = df.withColumn("_key", _key(id_col, text_col))
+    keyed = df.withColumn("_key", row_key(id_col, text_col))
     named = spans.select(
         F.col("key").alias("_key"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops")
     )
@@ -390,14 +382,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """df with its texts less the repeats. A character goes if all of its bytes are covered; one
     covered in part stays, so texts remain valid. Nulls and rows as in digests(); null stays null.
     Other columns pass as they are."""
-    joined = _with_spans(df, repeated_spans(df, id_col, text_col), id_col, text_col)
+    rows = df.select(
+        F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
+        F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("_row"),
+    )
+    joined = _with_spans(rows, repeated_spans(df, id_col, text_col), "_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("_text")
-            texts = batch.column(i).cast(pa.binary()).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             out = []
-            for text, starts, stops in zip(texts, batch.column(i + 1), batch.column(i + 2)):
+            for text, starts, stops in zip(texts, batch.column(2), batch.column(3)):
                 if text and starts.is_valid:
                     a, b = merged_spans(starts.values.to_numpy(), stops.values.to_numpy())
                     inner = (np.frombuffer(text + b"a", np.uint8) & 0xC0) == 0x80
@@ -408,15 +403,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text = without(text, a[keep], b[keep])
                 out.append(text)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:i], pa.array(out, pa.binary()).cast(pa.string())],
-                [*batch.schema.names[:i], "_text"],
+                [batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], ["_row", "_text"]
             )
 
-    others = [c for c in df.columns if c != text_col]
-    rows = joined.select(*others, F.col(text_col).cast("string").alias("_text"), "_starts", "_stops")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-3])
-    done = rows.mapInArrow(run, schema + "_text string")
-    return done.select(*(F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string"
+    done = joined.select("_row", "_text", "_starts", "_stops").mapInArrow(run, schema)
+    return done.select(
+        *(F.col("_text" if c == text_col else f"_row.`{c}`").alias(c) for c in df.columns)
+    )
 
 
 def op1_merged_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
