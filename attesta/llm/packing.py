@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,8 +18,8 @@ CAPACITY = 2048
 END = 1
 #: Windows that are filled together; a task holds the tokens of so many.
 WINDOWS = 256
-#: Distinct chunks that a worker remembers.
-CHUNKS = 1_000_000
+#: Distinct pre-tokens that a worker remembers.
+PIECES = 1_000_000
 
 
 def default_path() -> str:
@@ -27,9 +28,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Pre-tokens of lower-case Latin-1 text: the contractions and classes of the file's own pattern.
+_LETTER, _DIGIT, _GAP = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_GAP}{_LETTER}{_DIGIT}]+"
+)
+
+
 class WordTokenizer:
-    """Ids of a tokenizers file that lower-cases and whose pre-tokens never cross a space or a line
-    feed: text is cut there and each distinct chunk is encoded once."""
+    """Ids of a tokenizers file that lower-cases and splits text into words, single digits and runs
+    of other characters. Each distinct pre-token of Latin-1 text is encoded once, by the library;
+    other text, or text with special tokens, as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,30 +46,33 @@ class WordTokenizer:
         self._hf = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _lower(text: str) -> str:
-        """Lower case, where the tokenizer would do the same later and no special token is hidden:
-        fewer distinct chunks."""
+    def _pieces(self, text: str) -> list[str] | None:
         if "<|" in text:
-            return text
+            return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text
-        return text.lower()
+            return None
+        return _PIECES.findall(text.lower())
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self._hf.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, END appended."""
         known = self._known
-        if len(known) > CHUNKS:
+        if len(known) > PIECES:
             known.clear()
-        chunks = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        new = list({c for own in chunks for c in own if c not in known})
-        for c, e in zip(new, self._hf.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        pieces = [self._pieces(t) for t in texts]
+        new = list({p for own in pieces if own for p in own if p not in known})
+        known.update(zip(new, self._encode(new)))
         end = np.array([END], "<u4").tobytes()
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)) + end, "<u4") for own in chunks]
+        return [
+            np.frombuffer((self._encode([t])[0] if own is None else b"".join(map(get, own))) + end, "<u4")
+            for t, own in zip(texts, pieces)
+        ]
 
 
 @lru_cache(maxsize=2)
