@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Distinct pre-tokens that a worker remembers, with their ids or just their number.
+CACHE, COUNTS = 400_000, 1_500_000
 LONG = 256
 
 
@@ -89,6 +90,7 @@ class ByteBPE:
         self._start = np.concatenate([[0], np.cumsum(self._length)]).astype(np.int64)
         self._pieces = regex.compile(PATTERN)
         self._cache: dict[str, tuple[str, bytes, int]] = {}
+        self._counts: dict[str, int] = {}
 
     def _meet(self, left: int, right: int, made: int = -1) -> bool:
         """Whether the border between two tokens holds while the merges of both are made. Goes back
@@ -172,7 +174,19 @@ class ByteBPE:
 
     def count(self, piece: str) -> int:
         """Tokens of one pre-token."""
-        return (self._cache.get(piece) or self._entry(piece))[2]
+        found = self._counts.get(piece)
+        if found is None:
+            found = len(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+            if len(piece) <= LONG:
+                if len(self._counts) >= COUNTS:
+                    self._counts.clear()
+                self._counts[piece] = found
+        return found
+
+    def counts(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each of some pre-tokens, none of them special."""
+        get, count = self._counts.get, self.count
+        return np.array([get(p) or count(p) for p in pieces], np.int64)
 
     def pieces(self, text: str, at: int = 0) -> Iterator:
         """Matches of the pre-token pattern from a place on."""

@@ -28,10 +28,9 @@ class TokenTree:
         self.text, self._bpe = text, bpe
         self.reencoded = 0
         pieces = self._all(text)
-        self._plant(
-            np.fromiter(map(len, pieces), np.int64, len(pieces)),
-            np.fromiter(map(self._count if "<" in text else bpe.count, pieces), np.int64, len(pieces)),
-        )
+        lengths = np.array(list(map(len, pieces)), np.int64)
+        counts = list(map(self._count, pieces)) if "<" in text else bpe.counts(pieces)
+        self._plant(lengths, np.asarray(counts, np.int64))
 
     def _all(self, text: str) -> list[str]:
         if "<" not in text:
@@ -59,8 +58,10 @@ class TokenTree:
         self._leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in cuts] or [(lengths, counts)]
         self._size = 1 << max(0, len(self._leaves) - 1).bit_length()
         self._sums = np.zeros((2 * self._size, 2), np.int64)
-        for i, (a, b) in enumerate(self._leaves):
-            self._sums[self._size + i] = a.sum(), b.sum()
+        if len(lengths):
+            leaf = np.arange(0, len(lengths), LEAF)
+            own = self._sums[self._size : self._size + len(leaf)]
+            own[:, 0], own[:, 1] = np.add.reduceat(lengths, leaf), np.add.reduceat(counts, leaf)
         level = self._size
         while level > 1:
             half = level // 2
