@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens that a worker remembers, with their ids or just their number.
-CACHE, COUNTS = 400_000, 1_500_000
+CACHE, COUNTS = 700_000, 1_500_000
 LONG = 256
 
 
