@@ -132,9 +132,13 @@ def shard_by_bytes(
         )
     out = docs.join(by_group, key, "left" if split else "inner")
     if split:
-        own = placed.filter("fixed = -1").select("id", F.col("shard").alias("own")).distinct()
-        out = out.join(own, F.col("id") == own["id"], "left").drop(own["id"]).withColumn(
-            "shard", F.coalesce("shard", "own", F.pmod(F.xxhash64("size"), F.lit(shards)).cast("int"))
+        own = placed.filter("fixed = -1").select(F.col("id").alias("own_id"), F.col("shard").alias("own"))
+        # documents without an id are dealt by their size
+        rest = F.pmod(F.xxhash64("size"), F.lit(shards)).cast("int")
+        out = (
+            out.join(own.distinct(), F.col("id") == F.col("own_id"), "left")
+            .withColumn("shard", F.coalesce("shard", "own", rest))
+            .drop("own_id", "own")
         )
     return _result(spark, out, id_col, total[3])
 
