@@ -14,6 +14,7 @@ from .chunking import chunk_documents
 
 #: A sum of logarithms that doesn't depend on the order of its terms.
 _EXACT = "decimal(38,15)"
+_UNIT = 1e12
 
 
 def index_text(chunks: DataFrame) -> Column:
@@ -86,38 +87,32 @@ def build_retriever(documents: DataFrame, config: RetrievalConfig | None = None,
 
 def score(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, chunk_index, chunk_id, score) for all chunks that share a word with a
-    query(query_id, question). A word that a query repeats counts again; terms are added in the
-    order of the query, so equal chunks have equal scores to the last bit.
-
-    Only words of the queries are counted in chunks, after the join with them."""
-    words = queries.select(
-        "query_id", F.posexplode(tokenize(F.col("question"))).alias("place", "token")
-    )
+    query(query_id, question). A word that a query repeats counts again.
+
+    Only words of the queries are counted in chunks, after the join with them. Weights are summed
+    as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of its terms and
+    equal chunks tie exactly; sums are taken before the shuffle too."""
+    words = (
+        queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("token"))
+        .groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    )
     asked = words.select("token").distinct()
     length = F.col("n_tokens") / F.col("avg_tokens")
-    weight = (
+    weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
+    weights = (
         index.chunks.select("doc_id", "chunk_index", "chunk_id", "n_tokens", F.explode("tokens").alias("token"))
         .join(asked, "token", "left_semi")
         .groupBy("doc_id", "chunk_index", "chunk_id", "n_tokens", "token")
         .agg(F.count("*").alias("tf"))
         .join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
         .crossJoin(F.broadcast(index.stats))  # one row
-        .select(
-            "doc_id",
-            "chunk_index",
-            "chunk_id",
-            "token",
-            (
-                F.col("idf")
-                * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
-            ).alias("weight"),
-        )
+        .select("doc_id", "chunk_index", "chunk_id", "token", F.round(weight * _UNIT).cast("long").alias("weight"))
     )
-    terms = F.array_sort(F.collect_list(F.struct("place", "weight")))
+    total = F.sum(F.col("times") * F.col("weight")) / _UNIT
     return (
-        words.join(weight, "token")
+        words.join(weights, "token")
         .groupBy("query_id", "doc_id", "chunk_index", "chunk_id")
-        .agg(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["weight"]).alias("score"))
+        .agg(total.alias("score"))
     )
 
 
