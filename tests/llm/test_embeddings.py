@@ -1,0 +1,124 @@
+import numpy as np
+import pytest
+
+from attesta.llm.embeddings import embedding_components
+from attesta.llm.topk import exact_topk
+from pyspark.sql import functions as F
+
+SCHEMA = "vec_id long, embedding array<float>, label int, v string, n int, low int, x int"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    def build(rows):
+        return spark.createDataFrame([(*r, "a", 1, 2, 3) for r in rows], SCHEMA).repartition(3)
+
+    return build
+
+
+def clouds(seed=1, dim=24, groups=12, each=25):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        centre = rng.standard_normal(dim)
+        for _ in range(each):
+            v = centre + rng.standard_normal(dim) * 0.12
+            rows.append((len(rows), [float(x) for x in v.astype(np.float32)], g % 3))
+    rows += [(len(rows) + i, rows[5][1], rows[5][2]) for i in range(20)]
+    return rows
+
+
+def brute_links(rows):
+    n = len(rows)
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    degree = [0] * n
+    for i in range(n):
+        for j in range(n):
+            if i == j or rows[i][2] != rows[j][2]:
+                continue
+            a, b = np.array(rows[i][1], np.float64), np.array(rows[j][1], np.float64)
+            if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98:
+                degree[i] += 1
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return degree, [find(i) for i in range(n)]
+
+
+def test_links_agree_with_brute_force(table):
+    rows = clouds()
+    degree, root = brute_links(rows)
+    assert sum(degree) > 1000
+    got = {r["vec_id"]: r for r in embedding_components(table(rows)).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == degree
+    assert [got[i]["component_id"] for i in range(len(rows))] == root
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_trees_split_and_recall_holds(table, monkeypatch):
+    import attesta.llm.embeddings as e
+
+    monkeypatch.setattr(e, "LEAF", 40)
+    rows = clouds(7, dim=32, groups=20, each=20)
+    degree, root = brute_links(rows)
+    got = {r["vec_id"]: r for r in embedding_components(table(rows)).collect()}
+    found = sum(got[i]["n_links"] for i in range(len(rows)))
+    assert found >= 0.99 * sum(degree) and found <= sum(degree)
+    assert sum(got[i]["component_id"] == root[i] for i in range(len(rows))) >= 0.99 * len(rows)
+
+
+ODD = [
+    (1, None, 1), (2, [], 1), (3, [0.0, 0.0, 0.0], 1), (4, [1.0, None, 2.0], 1), (5, [1.0, float("nan"), 2.0], 1),
+    (6, [float("inf"), 1.0, 1.0], 1), (7, [1.0, 2.0, 3.0], None), (8, [1.0, 2.0, 3.0], 1), (9, [2.0, 4.0, 6.0], 1),
+    (9, [2.0, 4.0, 6.0], 1), (None, [1.0, 2.0, 3.0], 1), (10, [1.0, 2.0], 1), (20, [1.0, 2.0, 3.0], 2), (0, [3.0, 2.0, 1.0], 1),
+]
+
+
+def test_odd_vectors(table):
+    got = embedding_components(table(ODD)).collect()
+    assert len(got) == len(ODD)
+    by = {r["vec_id"]: r for r in got if r["vec_id"] is not None}
+    for i in (1, 2, 3, 4, 5, 6, 7, 10, 20, 0):
+        assert (by[i]["n_links"], by[i]["component_id"], by[i]["kept"]) == (0, i, True)
+    # 8, both rows of 9 and the one without an id point the same way
+    assert by[8]["n_links"] == 3 and by[9]["component_id"] == 8 and not by[9]["kept"]
+    assert embedding_components(table(ODD).filter("vec_id = 999")).count() == 0
+    assert embedding_components(table([(1, None, None)])).count() == 1
+
+
+def test_topk_agrees_with_brute_force(table, monkeypatch):
+    import attesta.llm.topk as t
+
+    monkeypatch.setattr(t, "CELL", 60)
+    monkeypatch.setattr(t, "ANNULUS", 16)
+    monkeypatch.setattr(t, "QUERIES", 8)
+    rows = clouds(3)
+    x = np.floor(64 * np.array([r[1] for r in rows], np.float32).astype(np.float64)).astype(np.int64)
+    want = {}
+    for i in range(0, len(rows), 20):
+        order = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-int(x[i] @ x[j]), j))[:20]
+        want[i] = [(k + 1, j, int(x[i] @ x[j])) for k, j in enumerate(order)]
+    got = {}
+    for r in exact_topk(table(rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got == want
+
+
+def test_topk_of_odd_vectors(table):
+    got = exact_topk(table(ODD), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    # usable: 3, 7, 8, 9 twice, 20, 0
+    assert [(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 20][:2] == [(20, 9), (20, 9)]
+    assert {r["query_id"] for r in got} == {0, 20} and len(got) == 12
+    assert exact_topk(table(ODD).filter("vec_id = 999"), F.col("vec_id") % 20 == 0).count() == 0
+    assert exact_topk(table([(1, None, None)]), F.lit(True)).count() == 0
+
+
+def test_large_components_stay_exact(table):
+    rows = [(i, [float(2**20 + i), float(i), 1.0], 1) for i in range(41)]
+    got = exact_topk(table(rows), F.col("vec_id") == 40, k=2).orderBy("rank").collect()
+    v = lambda i: [64 * (2**20 + i), 64 * i, 64]
+    assert [(r["vec_id"], r["score"]) for r in got] == [(j, sum(a * b for a, b in zip(v(40), v(j)))) for j in (39, 38)]
