@@ -24,14 +24,16 @@ class BundleError(Exception):
 def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, content) of the files of one folder; path is the name in it."""
     at = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return at.select(F.substring_index("path", "/", -1).alias("path"), "content")
+    at = at.select(F.substring_index("path", "/", -1).alias("path"), "content")
+    # scans leave out files without bytes
+    empty = [(f.getPath().getName(), bytearray()) for f in _listed(spark, folder, pattern) if f.isFile() and not f.getLen()]
+    return at.unionByName(spark.createDataFrame(empty, "path string, content binary")) if empty else at
 
 
-def _present(spark: SparkSession, folder: str, pattern: str) -> bool:
+def _listed(spark: SparkSession, folder: str, pattern: str) -> list:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     path = hadoop(f"{folder}/{pattern}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return bool(found)
+    return list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])
 
 
 def parse_yaml(text: str):
@@ -82,7 +84,7 @@ def is_inside(path: str, root: str) -> bool:
 
 def read_sidecars(spark: SparkSession, corpus_dir: str) -> DataFrame:
     """metadata/*.yaml, not below it. Sidecars are parsed where they are read."""
-    if not _present(spark, f"{corpus_dir}/metadata", "*.yaml"):
+    if not _listed(spark, f"{corpus_dir}/metadata", "*.yaml"):
         raise BundleError(f"{corpus_dir}/metadata: at least one metadata YAML sidecar is required")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +98,7 @@ def read_sidecars(spark: SparkSession, corpus_dir: str) -> DataFrame:
 
 def read_sources(spark: SparkSession, corpus_dir: str, below: str = "documents") -> DataFrame:
     """(path, content) of a corpus' source files; path is relative to the corpus."""
-    if not _present(spark, f"{corpus_dir}/{below}", "*"):
+    if not _listed(spark, f"{corpus_dir}/{below}", "*"):
         return spark.createDataFrame([], "path string, content binary")
     return _files(spark, f"{corpus_dir}/{below}", "*").withColumn("path", F.concat(F.lit(f"{below}/"), "path"))
 
@@ -117,7 +119,7 @@ def load_corpus(spark: SparkSession, corpus_dir: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text, through Spark's readers."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     if len(rows) != 1:
         raise BundleError(f"{path}: one file is needed")
     return rows[0][0]
