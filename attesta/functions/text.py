@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..vocabulary import STOPWORDS
@@ -13,6 +15,7 @@ WORD = r"[\p{L}\p{N}_]+"
 LINE_END = "[\\n\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: What str.strip() takes away.
 BLANK = r"[\s\x0b\x1c-\x1f\x85   -     　]"
+NOT_BLANK = BLANK.replace("[", "[^", 1)
 HEADING = rf"\A(#{{1,6}}){BLANK}+(.*[^\s\x0b\x1c-\x1f\x85   -     　]){BLANK}*\z"
 
 
@@ -36,12 +39,30 @@ def coverage(terms: Column, tokens: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row. Projections may be merged, and what is used
+    often then computed as often; a generator stands between them, without a shuffle."""
+    row = F.struct(*(c.alias(n) for n, c in columns.items()))
+    at = df.select("*", F.explode(F.array(row)).alias("_once"))
+    return at.select(*df.columns, *(F.col(f"_once.{n}").alias(n) for n in columns))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def has_text(text: Column) -> Column:
+    """Whether a line has anything but blanks; stops at the first such character."""
+    return text.rlike(NOT_BLANK)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return ~F.coalesce(has_text(text), F.lit(False))
 
 
 def unix_lines(text: Column) -> Column:
@@ -90,33 +111,29 @@ def header_fields(text: Column, names: dict[str, str]) -> Column:
     """map<field, value> of the leading `Key: value` lines. Reading stops at a blank line, a heading
     or a line without a colon; keys are matched without case; the last of a key wins."""
     fields = F.create_map(*(F.lit(x) for f, n in names.items() for x in (n.lower(), f)))
-    lines = F.split(unix_lines(F.coalesce(text, F.lit(""))), LINE_END, -1)
+    # only what stands before the first blank line or heading is looked at
+    top = F.split(unix_lines(F.coalesce(text, F.lit(""))), rf"\A(?=#)|\n(?=#)|\n(?={BLANK}*+\n)", 2)[0]
     stop = lambda x: is_blank(x) | x.startswith("#") | ~x.contains(":")
-    places = F.filter(
-        F.transform(lines, lambda x, i: F.when(stop(x), i)), lambda i: i.isNotNull()
-    )
-    count = F.when(F.size(places) > 0, F.element_at(places, 1)).otherwise(F.size(lines))
-    head = F.slice(lines, F.lit(1), count)
-    pairs = F.transform(
-        head,
-        lambda x: F.struct(
-            fields[F.lower(strip(F.substring_index(x, ":", 1)))].alias("key"),
-            strip(F.substring(x, F.instr(x, ":") + 1, F.lit(2**30))).alias("value"),
-        ),
-    )
-    pairs = F.filter(pairs, lambda p: p["key"].isNotNull())
-    # the last of each key
-    last = F.filter(
-        F.transform(
-            pairs,
-            lambda p, i: F.when(
-                ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i, F.lit(0))), lambda q: q["key"] == p["key"]),
-                p,
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    return F.map_from_entries(last)
+
+    def head(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, stop), F.lit(True))
+        count = lambda p: F.when(p > 0, p - 1).otherwise(F.size(lines)).cast("int")
+        return let(first, lambda p: F.slice(lines, F.lit(1), count(p)))
+
+    def pair(line: Column) -> Column:
+        return F.struct(
+            fields[F.lower(strip(F.substring_index(line, ":", 1)))].alias("key"),
+            strip(F.substring(line, F.instr(line, ":") + 1, F.lit(2**30))).alias("value"),
+        )
+
+    def last(pairs: Column) -> Column:
+        """Of pairs with one key, the last."""
+        keys = F.transform(pairs, lambda p: p["key"])
+        again = lambda p, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"])
+        return F.filter(pairs, lambda p, i: ~again(p, i))
+
+    known = lambda lines: F.filter(F.transform(lines, pair), lambda p: p["key"].isNotNull())
+    return let(F.split(top, LINE_END, -1), lambda x: let(known(head(x)), lambda p: F.map_from_entries(last(p))))
 
 
 def filename_fields(name: Column, patterns: list[tuple[str, list[str]]]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import content_terms, coverage, tokenize
+from ..functions.text import content_terms, coverage, once, tokenize
 from ..vocabulary import EPSILON, K1, RETRIEVABLE, B, RetrievalConfig
 from .chunking import chunk_documents
 
@@ -30,9 +30,12 @@ class Index:
     stats: DataFrame
     idf: DataFrame
 
+    def release(self) -> None:
+        self.chunks.unpersist()
+
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    tokens = chunks.withColumn("tokens", tokenize(index_text(chunks)))
+    tokens = once(chunks, tokens=tokenize(index_text(chunks)))
     return tokens.withColumn("n_tokens", F.size("tokens"))
 
 
@@ -74,7 +77,9 @@ def inverse_frequency(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame) -> Index:
-    tokens = tokenized(chunks)
+    """Chunks are tokenised once and kept, in memory as far as it goes and on disk beyond, for
+    statistics, postings and hits, and for later queries of the corpus, until release()."""
+    tokens = tokenized(chunks).persist()
     stats = corpus_stats(tokens)
     return Index(tokens, stats, inverse_frequency(document_frequency(tokens), stats))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, HEADING, LINE_END, chunk_id, strip, unix_lines
+from ..functions.text import HEADING, LINE_END, chunk_id, has_text, once, unix_lines
 from ..vocabulary import RETRIEVABLE
 
 _PARAGRAPH = "struct<first:int,last:int,begin:int,stop:int,heading:string>"
@@ -29,7 +29,7 @@ def line_table(documents: DataFrame) -> DataFrame:
         F.col("line.begin").alias("char_start"),
         F.char_length(line).alias("n_chars"),
         line.rlike(HEADING).alias("is_heading"),
-        (strip(line) == "").alias("is_blank"),
+        (~has_text(line)).alias("is_blank"),
     )
 
 
@@ -53,11 +53,14 @@ def paragraphs(text: Column, title: Column) -> Column:
     """Paragraphs of a text: runs of lines that are neither blank nor headings, with their first and
     last line, first character and the one after the last, and the heading above (else the title).
     One fold over the lines of a row, so chunking needs no shuffle."""
-    row = F.struct(text.alias("text"), title.alias("title"))
-    return F.transform(F.array(row), lambda r: _fold(r["text"], r["title"]))[0]
-
-
-def _fold(text: Column, title: Column) -> Column:
+    lines = F.transform(
+        F.split(text, LINE_END, -1),
+        lambda x: F.struct(
+            F.char_length(x).alias("size"),
+            F.when(x.startswith("#") & x.rlike(HEADING), F.regexp_extract(x, HEADING, 2)).alias("heading"),
+            has_text(x).alias("text"),
+        ),
+    )
     zero = F.struct(
         F.lit(0).alias("at"),
         F.lit(1).alias("line"),
@@ -76,19 +79,18 @@ def _fold(text: Column, title: Column) -> Column:
         return F.when(a["first"] > 0, F.concat(a["out"], F.array(done))).otherwise(a["out"])
 
     def step(a: Column, x: Column) -> Column:
-        heading = x.rlike(HEADING)
-        inside = ~heading & (strip(x) != "")
+        inside = x["heading"].isNull() & x["text"]
         return F.struct(
-            (a["at"] + F.char_length(x) + 1).cast("int").alias("at"),
+            (a["at"] + x["size"] + 1).cast("int").alias("at"),
             (a["line"] + 1).cast("int").alias("line"),
-            F.when(heading, F.regexp_extract(x, HEADING, 2)).otherwise(a["heading"]).alias("heading"),
+            F.coalesce(x["heading"], a["heading"]).alias("heading"),
             F.when(~inside, 0).when(a["first"] > 0, a["first"]).otherwise(a["line"]).cast("int").alias("first"),
             F.when(~inside, 0).when(a["first"] > 0, a["begin"]).otherwise(a["at"]).cast("int").alias("begin"),
-            F.when(inside, a["at"] + F.char_length(x)).otherwise(0).cast("int").alias("stop"),
+            F.when(inside, a["at"] + x["size"]).otherwise(0).cast("int").alias("stop"),
             F.when(inside, a["out"]).otherwise(ended(a)).alias("out"),
         )
 
-    return F.aggregate(F.split(text, LINE_END, -1), zero, step, ended)
+    return F.aggregate(lines, zero, step, ended)
 
 
 def chunk_documents(documents: DataFrame, gate: bool = True) -> DataFrame:
@@ -98,7 +100,7 @@ def chunk_documents(documents: DataFrame, gate: bool = True) -> DataFrame:
     source_hash, raw_text. The text is the span that the offsets name; the heading is beside it.
     Null text: no chunk."""
     rows = status_gate(documents) if gate else documents
-    rows = rows.withColumn("_text", unix_lines(F.col("raw_text")))
+    rows = once(rows, _text=unix_lines(F.col("raw_text")))
     at = rows.select(
         "*", F.posexplode(paragraphs(F.col("_text"), F.col("doc_title"))).alias("_i", "p")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import filename_fields, header_fields, is_blank, normalize_version, strip
+from ..functions.text import filename_fields, header_fields, is_blank, normalize_version, once, strip
 from ..vocabulary import FIELDS, RETRIEVABLE, STATES, STATUSES
 
 _STRINGS = "array<string>"
@@ -38,22 +38,23 @@ def evaluate_sources(sources: DataFrame, mapping: dict) -> DataFrame:
 
     A field's candidates are the register's, the file name's and the header's, in this order.
     Equal ones establish it, different ones conflict."""
-    at = sources.withColumns(
-        {
-            "_file": filename_fields(F.substring_index("source_path", "/", -1), mapping["filename_patterns"]),
-            "_head": header_fields(F.col("raw_text"), mapping["header_fields"])
-            if mapping["header_fields"]
-            else F.create_map().cast("map<string,string>"),
-        }
+    at = once(
+        sources,
+        _file=filename_fields(F.substring_index("source_path", "/", -1), mapping["filename_patterns"]),
+        _head=header_fields(F.col("raw_text"), mapping["header_fields"])
+        if mapping["header_fields"]
+        else F.create_map().cast("map<string,string>"),
+        _no_text=is_blank(F.col("raw_text")),
     )
     reasons: list[Column] = []
+    found: dict[str, Column] = {}
 
     def reason(when: Column, text: Column | str) -> None:
         reasons.append(F.when(when, F.lit(text) if isinstance(text, str) else text))
 
     for field in FIELDS:
         listed = F.col(f"register.{field}")
-        candidates = F.filter(
+        found[f"_c_{field}"] = F.filter(
             F.array(
                 F.struct(F.lit("register").alias("source"), F.when(listed != "", strip(listed)).alias("value")),
                 F.struct(F.lit("filename").alias("source"), F.col("_file")[field].alias("value")),
@@ -61,35 +62,40 @@ def evaluate_sources(sources: DataFrame, mapping: dict) -> DataFrame:
             ).cast(_PAIRS),
             lambda c: c["value"].isNotNull() & (c["value"] != ""),
         )
-        at = at.withColumn(f"_c_{field}", candidates)
-        raw = F.col(f"_c_{field}")
-        if field == "status":
-            mapped = lambda v: _lookup(mapping["status_map"], v)
-        elif field == "doc_type":
-            mapped = lambda v: _lookup(mapping["doc_type_map"], v)
-        elif field == "version":
-            mapped = normalize_version
-        else:
-            mapped = lambda v: v
-        kept = F.filter(
-            F.transform(raw, lambda c: F.struct(c["source"].alias("source"), mapped(c["value"]).alias("value"))),
+    at = once(at, **found)
+    mapped = {
+        "status": lambda v: _lookup(mapping["status_map"], v),
+        "doc_type": lambda v: _lookup(mapping["doc_type_map"], v),
+        "version": normalize_version,
+    }
+    kept = {}
+    for field in FIELDS:
+        to = mapped.get(field, lambda v: v)
+        kept[f"_k_{field}"] = F.filter(
+            F.transform(
+                F.col(f"_c_{field}"), lambda c: F.struct(c["source"].alias("source"), to(c["value"]).alias("value"))
+            ),
             lambda c: c["value"].isNotNull(),
         )
-        at = at.withColumn(f"_k_{field}", kept)
+    at = once(at, **kept)
+    picks = {}
+    for field in FIELDS:
         own = F.col(f"_k_{field}")
         one = F.size(F.array_distinct(F.transform(own, lambda c: c["value"]))) == 1
         # equal values: the first source names it, for versions the last
-        pick = F.when(one, F.element_at(own, -1 if field == "version" else 1))
-        at = at.withColumn(f"_p_{field}", pick)
+        picks[f"_p_{field}"] = F.when(one, F.element_at(own, -1 if field == "version" else 1))
+    at = once(at, **picks)
+    for field in FIELDS:
+        own, pick = F.col(f"_k_{field}"), F.col(f"_p_{field}")
         if field == "doc_id":
             reason(F.size(own) == 0, "no_establishable_doc_id")
-        reason(F.size(own) > 1, F.when(~one, F.lit(f"conflicting_field_sources:{field}")))
+        reason((F.size(own) > 1) & pick.isNull(), f"conflicting_field_sources:{field}")
         if field in mapping["required_fields"]:
-            reason(F.col(f"_p_{field}").isNull(), f"missing_required_field:{field}")
+            reason(pick.isNull(), f"missing_required_field:{field}")
     for field in set(mapping["required_fields"]) - set(FIELDS):
         reason(F.lit(True), f"missing_required_field:{field}")
     reason(F.col("raw_text").isNull(), "source_file_not_found")
-    reason(is_blank(F.col("raw_text")), "empty_source_text")
+    reason(F.col("_no_text"), "empty_source_text")
 
     def unmapped(field: str, prefix: str) -> Column:
         table = mapping[f"{field}_map"]
@@ -102,9 +108,8 @@ def evaluate_sources(sources: DataFrame, mapping: dict) -> DataFrame:
         unmapped("doc_type", "unsupported_doc_type:"),
     )
     all_ = F.when(F.col("safe"), all_).otherwise(F.array(F.lit("unsafe_source_path")))
-    at = at.withColumn("reasons", F.sort_array(F.array_distinct(all_)))
     value = lambda f: F.when(F.col("safe"), F.col(f"_p_{f}.value"))
-    at = at.withColumn("canonical_status", value("status"))
+    at = once(at, reasons=F.sort_array(F.array_distinct(all_)), canonical_status=value("status"))
     fields = [value(f).alias(f) for f in FIELDS if f != "status"]
     told = F.filter(
         F.array(
