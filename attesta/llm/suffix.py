@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ _BASE = 0x9E3779B97F4A7C15
 #: Bytes of segments whose transforms are merged at once (their blocks then number below 2**16),
 #: and input bytes per bucket of anchors.
 TILE, BUCKET = 48_000, 4 << 20
+#: Different segments of one anchor above which its windows are dealt one by one, by their bytes.
+HOT = 20_000
 
 
 def _power(k: int) -> np.uint64:
@@ -123,8 +126,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        transforms, merges them by interleave refinement and finds the intervals that share SPAN
        bytes; all but the first place of an interval are covered.
 
-    Copies of any number cost one segment per batch, and anchors are spread by hash. Memory of a
-    task: one Arrow batch, one bucket (BUCKET bytes of input) or one anchor's different segments."""
+    Copies of any number cost one segment per batch, and anchors are spread by hash. An anchor with
+    more than HOT different segments (the edges of a passage that very many texts share) has its
+    windows dealt one by one, by the hash of their bytes. Memory of a task: one Arrow batch, one
+    bucket (BUCKET bytes of input) or HOT segments."""
     keyed = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
     buckets = max(8, min(1 << 20, size_estimate(df.select(text_col)) // BUCKET))
 
@@ -190,13 +195,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             same = np.concatenate([[False], gram[1:] == gram[:-1]]) if len(gram) else np.empty(0, bool)
             many = same | np.append(same[1:], False) if len(gram) else same
             if many.any():
-                yield _told(key[many], start[many], end[many], gram[many], True)
+                heads = np.flatnonzero(_heads(gram))
+                size = np.diff(np.append(heads, len(gram)))
+                yield _told(key[many], start[many], end[many], gram[many], True, np.repeat(size > HOT, size)[many])
 
     found = materialize(
         keyed.mapInArrow(cut, "bucket long, kind int, data binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(sift, "key long, start long, stop long, gram long, asked boolean"),
+        .mapInArrow(sift, "key long, start long, stop long, gram long, asked boolean, hot boolean"),
         "segments",
     )
 
@@ -211,6 +218,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ):
                 values = asked.values
                 starts, stops, grams = (values.field(i).to_numpy() for i in range(3))
+                hot = values.field(3).to_numpy(zero_copy_only=False)
+                if hot.any():
+                    # windows as segments of their own, each under the hash of its bytes
+                    each = [np.arange(a, b - SPAN + 1) for a, b in zip(starts[hot], stops[hot])]
+                    single = np.concatenate(each)
+                    named = [xxhash.xxh64_intdigest(text[a : a + SPAN]) for a in single.tolist()]
+                    starts = np.concatenate([starts[~hot], single])
+                    stops = np.concatenate([stops[~hot], single + SPAN])
+                    grams = np.concatenate([grams[~hot], np.array(named, np.uint64).view(np.int64)])
                 parts += [text[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
                 own.append((grams, np.full(len(grams), key, np.int64), starts, stops - starts))
             gram, key, start, size = map(np.concatenate, zip(*own))
@@ -270,7 +286,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     asked = (
         found.filter("asked").groupBy("key")
-        .agg(F.collect_list(F.struct("start", "stop", "gram")).alias("asked"))
+        .agg(F.collect_list(F.struct("start", "stop", "gram", "hot")).alias("asked"))
     )
     merged = materialize(
         keyed.join(asked.hint("shuffle_hash"), "key")
@@ -312,13 +328,14 @@ def _fitting(ends: np.ndarray, total: np.ndarray, at: int, limit: int) -> np.nda
     return ends[lo:hi]
 
 
-def _told(key, start, stop, gram, asked: bool = False) -> pa.RecordBatch:
+def _told(key, start, stop, gram, asked: bool = False, hot: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(key), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)),
             pa.array(gram.view(np.int64)), pa.array(np.full(len(key), asked)),
+            pa.array(np.zeros(len(key), bool) if hot is None else hot),
         ],
-        ["key", "start", "stop", "gram", "asked"],
+        ["key", "start", "stop", "gram", "asked", "hot"],
     )
 
 

@@ -98,10 +98,12 @@ def test_digests_agree_with_brute_force(make):
     assert got == want
 
 
-def test_a_bucket_of_hot_anchors(make, monkeypatch):
+def test_hot_anchors_are_dealt_by_window(make, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 20)
     r = random.Random(5)
     passage = "".join(r.choice("abcdefgh ") for _ in range(400))
     rows = [(i, f"{r.random()} {passage} {r.random()}", "en", "a") for i in range(300)]
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(corpus(6, 20))]
     want = expected([(i, t.encode()) for i, t, *_ in rows])
     got = {x["doc_id"]: tuple(x)[1:] for x in suffix.digests(make(rows)).collect()}
     assert got == want
