@@ -195,7 +195,8 @@ def near_duplicates(
     at 0.8 miss that with a chance of 0.2 ** keys). Each bucket compares fingerprints in tiles at
     the wide radius; the sets of those that find a partner are fetched and pairs are checked
     exactly, but for pairs that are linked by then. Equal sets are one class from the start. Texts
-    without words are equal. A task holds one bucket, with sets only where fingerprints met."""
+    without words are equal. A bucket of more than HOT_BUCKET is dealt over tasks as pairs of its
+    parts; a task holds one bucket or pair, with sets only where fingerprints met."""
     rows = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,16 @@ def near_duplicates(
         "classes",
     )
     keyed = classes.select("low", "fp", F.explode("least").alias("bucket"))
-    keyed = keyed.join(keyed.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
+    sizes = keyed.groupBy("bucket").count().filter("count > 1")
+    keyed = keyed.join(sizes, "bucket")
+    # a large bucket is cut into parts by key; each pair of parts is a bucket of its own
+    parts = F.ceil(F.col("count") / HOT_BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("low"), parts).cast("int")
+    keyed = keyed.select(
+        "low", "fp", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    )
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    keyed = keyed.withColumn("bucket", F.when(F.col("parts") > 1, pair).otherwise(F.col("bucket")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "bucket"):

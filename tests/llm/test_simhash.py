@@ -106,6 +106,17 @@ def test_near_duplicates_agree_with_brute_force(make):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_large_buckets_are_dealt_as_pairs_of_parts(make, monkeypatch):
+    monkeypatch.setattr(s, "HOT_BUCKET", 4)
+    texts = families(9, 4)
+    shared = "five words that all share"
+    texts = [f"{shared} {t}" for t in texts] + [f"{texts[0]} {shared} more{i}" for i in range(30)]
+    sets = [set(s.shingles(t.encode(), 5).tolist()) for t in texts]
+    want = components(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r["key"]: r["component"] for r in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_dropping_from_odd_rows(odd, none):
     kept = s.drop_near_duplicates(odd).collect()
     ids = [r["doc_id"] for r in kept]
