@@ -18,7 +18,7 @@ PATH, WORDS, PLAIN = 128, 24, 8
 WIDTH = PATH + WORDS + PLAIN
 HIDDEN = 16
 #: Invented pages that the labeller is trained on, and passes over them.
-PAGES, PASSES, GROUP = 900, 8, 32
+PAGES, PASSES, GROUP = 2000, 10, 32
 
 
 @lru_cache(maxsize=1 << 16)

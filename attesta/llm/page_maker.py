@@ -6,17 +6,17 @@ import numpy as np
 
 _SYLLABLES = "an be co da el fi go hu in jo ka le mi no or pa qui re sa ti un ve wo ya zu".split()
 _CHROME = {
-    "nav": ("nav", ["", "menu", "navbar", "main-nav", "top-menu", "breadcrumb"]),
+    "nav": ("nav", ["", "", "menu", "navbar", "main-nav", "top-menu", "breadcrumb"]),
     "menu": ("div", ["menu", "navigation", "nav-bar", "breadcrumbs", "topnav", "links"]),
-    "header": ("header", ["", "site-header", "masthead", "page-header"]),
+    "header": ("header", ["", "", "", "site-header", "masthead", "page-header"]),
     "top": ("div", ["header", "masthead", "top-bar", "banner", "site-title", "logo"]),
-    "footer": ("footer", ["", "site-footer", "page-footer"]),
+    "footer": ("footer", ["", "", "", "site-footer", "page-footer"]),
     "bottom": ("div", ["footer", "copyright", "bottom", "legal", "colophon"]),
-    "aside": ("aside", ["", "sidebar", "related", "widget"]),
+    "aside": ("aside", ["", "", "", "sidebar", "related", "widget"]),
     "side": ("div", ["sidebar", "side", "related", "widget", "rail", "recommended", "trending"]),
     "ad": ("div", ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner-ad"]),
     "notice": ("div", ["cookie", "notice", "consent", "alert", "gdpr", "cookie-banner", "popup", "modal", "newsletter", "subscribe"]),
-    "form": ("form", ["", "search", "login", "signup", "newsletter", "contact"]),
+    "form": ("form", ["", "", "", "search", "login", "signup", "newsletter", "contact"]),
     "comments": ("section", ["comments", "comment-list", "discussion", "responses", "disqus"]),
     "replies": ("div", ["comments", "comment-section", "replies", "reader-comments", "respond"]),
     "share": ("div", ["share", "social", "tools", "tags", "share-buttons", "author-links"]),
@@ -24,7 +24,8 @@ _CHROME = {
 _WRAPS = [
     ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article"),
     ("div", "post"), ("div", "entry-content"), ("section", "story"), ("div", "article-body"),
-    ("div", "main-content"), ("section", ""), ("article", "entry"), ("div", "text"),
+    ("div", "main-content"), ("section", ""), ("article", "entry"), ("div", "text"), ("div", "main"),
+    ("article", ""), ("", ""), ("", ""), ("div", ""),
 ]
 _OUTER = [("div", "page"), ("div", "wrapper"), ("div", "container"), ("div", "row"), ("div", ""), ("main", "")]
 _SAID = "cookies accept privacy subscribe login search copyright rights reserved share comments reply advertisement sponsored".split()
@@ -58,6 +59,10 @@ class Maker:
         """Markup, and for each block whether it is main text."""
         self._labels: list[bool] = []
         parts = ["<!DOCTYPE html><html><head><title>", self._word(), "</title></head><body>"]
+        if self._chance(0.2):  # the plainest layout
+            around = [self._chrome(k) for k in self._some(["nav", "header", "ad", "notice"], 0.6)]
+            parts += [*around, self._article(("article", "")), self._chrome("footer")]
+            return "".join(parts) + self._one(["</body></html>", ""]), self._labels
         outer = [self._one(_OUTER) for _ in range(int(self._rng.integers(0, 3)))]
         for kind in self._some(["nav", "menu", "header", "top", "notice", "ad", "form", "side"], 0.45):
             parts.append(self._chrome(kind))
@@ -85,12 +90,13 @@ class Maker:
         self._labels.append(main)
         return f"<{tag}>{text}</{tag}>"
 
-    def _article(self) -> str:
-        tag, name = self._one(_WRAPS)
-        out = [self._open(tag, name)]
+    def _article(self, wrap: tuple[str, str] | None = None) -> str:
+        tag, name = wrap or self._one(_WRAPS)
+        out = [self._open(tag, name)] if tag else []
         n = int(self._rng.integers(1, 16))
         if self._chance(0.85):
-            out.append(self._block(self._one(["h1", "h1", "h2"]), self._words(2, 12), True))
+            title = self._block(self._one(["h1", "h1", "h2"]), self._words(2, 12), True)
+            out.append(f"<header>{title}</header>" if tag and self._chance(0.08) else title)
         for _ in range(n):
             kind = self._rng.random()
             low, high = self._length()
@@ -102,17 +108,18 @@ class Maker:
                 out.append(self._block(self._one(["h2", "h3"]), self._words(1, 8), True))
             elif kind < 0.85:
                 rows = "".join(self._block("li", self._words(1, 12), True) for _ in range(int(self._rng.integers(1, 6))))
-                out.append(f"<ul>{rows}</ul>")
-            elif kind < 0.9:
+                kind_ = self._one(["ul", "ul", "ol"])
+                out.append(f"<{kind_}>{rows}</{kind_}>")
+            elif kind < 0.88:
                 out.append(self._block(self._one(["blockquote", "pre", "figcaption", "div"]), self._words(low, high), True))
-            elif kind < 0.92:
+            elif kind < 0.9:
                 cells = "".join(self._block("td", self._words(1, 3), True) for _ in range(4))
                 out.append(f"<table><tr>{cells}</tr></table>")
             else:
-                out.append(self._chrome(self._one(["ad", "share", "aside", "form", "side", "notice"])))
-        if self._chance(0.1):
-            out.append(self._chrome(self._one(["comments", "replies", "share", "footer"])))
-        return "".join(out) + f"</{tag}>"
+                out.append(self._chrome(self._one(["ad", "share", "aside", "aside", "form", "side", "notice"])))
+        if self._chance(0.2):
+            out.append(self._chrome(self._one(["comments", "replies", "share", "footer", "footer"])))
+        return "".join(out) + (f"</{tag}>" if tag else "")
 
     def _chrome(self, kind: str) -> str:
         tag, names = _CHROME[kind]
@@ -124,6 +131,9 @@ class Maker:
             )
             out.append(f"<ul>{rows}</ul>")
         elif kind == "form":
+            if self._chance(0.5):
+                self._labels.append(False)
+                out.append(f"<label>{self._words(1, 4)}</label><input type=text>")
             for _ in range(int(self._rng.integers(1, 4))):
                 out.append(self._block(self._one(["div", "p", "button", "option"]), self._words(1, 6), False))
         elif kind in ("comments", "replies"):
@@ -134,12 +144,14 @@ class Maker:
                 inner = self._block("p", self._words(low, high), False)
                 who = self._block("div", self._words(1, 2), False) if self._chance(0.4) else ""
                 if who:  # the name stands before the words
-                    out.append(f'<div class="comment">{who}{inner}</div>')
+                    own = self._one(["div", "div", "article", "li"])
+                    out.append(f'<{own} class="comment">{who}{inner}</{own}>')
                 else:
                     out.append(f"<li>{inner}</li>" if self._chance(0.5) else inner)
         else:
-            if self._chance(0.25):
-                out.append(self._block(self._one(["h2", "h3", "h4"]), self._words(1, 4), False))
+            if self._chance(0.5 if kind in ("header", "top") else 0.25):
+                level = self._one(["h1", "h1", "h2"] if kind in ("header", "top") else ["h2", "h3", "h4"])
+                out.append(self._block(level, self._words(1, 4), False))
             for _ in range(int(self._rng.integers(0, 3))):
                 low, high = self._length()
                 out.append(self._block(self._one(["p", "div", "span-block"]), self._words(low, high), False))
