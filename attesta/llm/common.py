@@ -19,10 +19,13 @@ LAST = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one is made and set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, in local mode (tests) one is made and
+    set; a cluster needs it, as executors don't see each other's folders."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="attesta-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
@@ -37,6 +40,7 @@ def row_key(df_id: str, df_text: str) -> Column:
 
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,19 +61,30 @@ def ship(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
+    _made.append(folder)
+    path = f"{folder}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a table made by materialize() that nothing needs any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/attesta-" in parent:
-            path = hadoop(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, parent)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that this process has made in the shared folder. Results that operators
+    have returned read some of them, so these must have been written elsewhere before."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 def size_estimate(df: DataFrame) -> int:
