@@ -198,3 +198,41 @@ def test_audit_stream_agrees_with_a_batch(spark):
     want = events.groupBy(F.date_trunc("hour", "ts"), "event_type").count().count()
     got = spark.sql("SELECT count(*), sum(n) FROM audit_counts").first()
     assert tuple(got) == (want, events.count())
+
+
+def test_service(spark, tmp_path):
+    from attesta.plans import service
+
+    at = corpus(tmp_path / "c")
+    audit_path = str(tmp_path / "audit")
+    calls = service.Service(spark, f"main={at}", api_key="k", audit_path=audit_path)
+    assert calls.health() == {"status": "ok", "corpora": ["main"]}
+    report = calls.validate_corpus(key="k")
+    assert report["valid"] and report["documents_retrievable"] == 4 and report["metadata_files_seen"] == 5
+    found = calls.retrieve("What about calibration?", key="k")
+    assert found["hits"][0]["doc_id"] == "DOC-A" and set(found["hits"][0]) == set(service.HIT)
+    # only a draft speaks of B
+    held = calls.retrieve("zebra unicorn B", key="k")
+    assert not held["hits"]
+    told = calls.answer("What about calibration?", key="k")
+    assert told["outcome"] == "answer" and told["valid"] and told["citations"][0]["chunk_id"] == "DOC-A_v1_0_chunk_001"
+    assert calls.answer("zebra unicorn", key="k")["review_reasons"] == ["refusal_no_supporting_documents"]
+    with pytest.raises(service.Unauthorized):
+        calls.retrieve("x", key="wrong")
+    with pytest.raises(service.UnknownCorpus):
+        calls.retrieve("x", corpus="other", key="k")
+    lines = [json.loads(r[0]) for r in spark.read.text(audit_path).collect()]
+    assert len(lines) == 7 and {r["outcome"] for r in lines} == {"ok", "answer", "refusal", "unauthorized", "unknown_corpus"}
+    case = {"case_id": "one", "question": "What about calibration?", "expected_outcome": "answer", "expected_source_doc_ids": ["DOC-A"]}
+    (tmp_path / "s.json").write_text(json.dumps({"cases": [case]}))
+    assert calls.evaluate(str(tmp_path / "s.json"), key="k")["metrics"]["case_pass_rate"] == "1/1"
+
+
+def test_onboard_call(spark, tmp_path):
+    from attesta.plans import service
+
+    at = messy(tmp_path / "in")
+    report = service.onboard(spark, at, str(tmp_path / "out"), dry_run=True)
+    assert report["emitted_document_count"] == 2 and not (tmp_path / "out").exists()
+    service.onboard(spark, at, str(tmp_path / "out"))
+    assert bundles.load_corpus(spark, str(tmp_path / "out")).count() == 2
