@@ -90,13 +90,14 @@ def build_retriever(documents: DataFrame, config: RetrievalConfig | None = None,
     return build_index(chunk_documents(documents, gate))
 
 
-def score(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, chunk_index, chunk_id, score) for all chunks that share a word with a
-    query(query_id, question). A word that a query repeats counts again.
+def _keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks with two hashes of their id, 128 bits together: sums are grouped by these, which takes
+    far less than by names."""
+    return chunks.withColumns({"_a": F.xxhash64("chunk_id"), "_b": F.xxhash64(F.lit(1), "chunk_id")})
 
-    Only words of the queries are counted in chunks, after the join with them. Weights are summed
-    as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of its terms and
-    equal chunks tie exactly; sums are taken before the shuffle too."""
+
+def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, _a, _b, score): see score()."""
     words = (
         queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("token"))
         .groupBy("query_id", "token").agg(F.count("*").alias("times"))
@@ -105,20 +106,31 @@ def score(index: Index, queries: DataFrame) -> DataFrame:
     length = F.col("n_tokens") / F.col("avg_tokens")
     weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
     weights = (
-        index.chunks.select("doc_id", "chunk_index", "chunk_id", "n_tokens", F.explode("tokens").alias("token"))
+        _keyed(index.chunks).select("_a", "_b", "n_tokens", F.explode("tokens").alias("token"))
         .join(asked, "token", "left_semi")
-        .groupBy("doc_id", "chunk_index", "chunk_id", "n_tokens", "token")
+        .groupBy("_a", "_b", "n_tokens", "token")
         .agg(F.count("*").alias("tf"))
         .join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
         .crossJoin(F.broadcast(index.stats))  # one row
-        .select("doc_id", "chunk_index", "chunk_id", "token", F.round(weight * _UNIT).cast("long").alias("weight"))
+        .select("_a", "_b", "token", F.round(weight * _UNIT).cast("long").alias("weight"))
     )
     total = F.sum(F.col("times") * F.col("weight")) / _UNIT
-    return (
-        words.join(weights, "token")
-        .groupBy("query_id", "doc_id", "chunk_index", "chunk_id")
-        .agg(total.alias("score"))
-    )
+    return words.join(weights, "token").groupBy("query_id", "_a", "_b").agg(total.alias("score"))
+
+
+def _named(scores: DataFrame, index: Index) -> DataFrame:
+    names = _keyed(index.chunks).select("_a", "_b", "doc_id", "chunk_index", "chunk_id")
+    return scores.join(names, ["_a", "_b"]).drop("_a", "_b")
+
+
+def score(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, score, doc_id, chunk_index, chunk_id) for all chunks that share a word with a
+    query(query_id, question). A word that a query repeats counts again.
+
+    Only words of the queries are counted in chunks, after the join with them. Weights are summed
+    as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of its terms and
+    equal chunks tie exactly; sums are taken before the shuffle too."""
+    return _named(_keyed_scores(index, queries), index)
 
 
 def rank(scores: DataFrame, top_k: Column | int, score_floor: float = 0.0) -> DataFrame:
@@ -131,15 +143,25 @@ def rank(scores: DataFrame, top_k: Column | int, score_floor: float = 0.0) -> Da
     )
 
 
+def top(index: Index, queries: DataFrame, top_k: int, score_floor: float = 0.0) -> DataFrame:
+    """rank(score()), with names looked up only for scores among the top_k of their query, ties
+    included. queries may carry smaller values of their own in top_k."""
+    found = _keyed_scores(index, queries).filter(F.col("score") > score_floor)
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"))
+    cut = found.withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= top_k).drop("_r")
+    named = _named(cut, index)
+    if "top_k" not in queries.columns:
+        return rank(named, top_k, score_floor)
+    return rank(named.join(queries.select("query_id", "top_k"), "query_id"), F.col("top_k"), score_floor)
+
+
 def hits(index: Index, queries: DataFrame, config: RetrievalConfig, gate: bool = True) -> DataFrame:
     """Ranked hits with their chunks. The coverage gate looks at the best hit of a query, after the
     cut to top_k, and drops all of the query's hits. queries may carry top_k."""
-    top_k = F.col("top_k") if "top_k" in queries.columns else F.lit(config.top_k)
-    asked = queries.select("query_id", "question", top_k.cast("int").alias("top_k"))
-    ranked = score(index, asked).join(asked.select("query_id", "question", "top_k"), "query_id")
-    found = rank(ranked, F.col("top_k"), config.score_floor).join(
-        index.chunks.drop("doc_id", "chunk_index"), "chunk_id"
-    )
+    own = "top_k" in queries.columns
+    most = (queries.agg(F.max("top_k")).first()[0] or 1) if own else config.top_k
+    ranked = top(index, queries, most, config.score_floor).join(queries.select("query_id", "question"), "query_id")
+    found = ranked.join(index.chunks.drop("doc_id", "chunk_index"), "chunk_id")
     found = found.withColumn("coverage", coverage(content_terms(F.col("question")), F.col("tokens")))
     if gate and config.min_top_coverage > 0:
         best = F.max(F.when(F.col("rank") == 1, F.col("coverage"))).over(W.partitionBy("query_id"))

@@ -160,7 +160,7 @@ def bm25_scores(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    found = bm25.rank(bm25.score(_index(spark, sf), _asked(spark, sf)), CONFIG.top_k)
+    found = bm25.top(_index(spark, sf), _asked(spark, sf), CONFIG.top_k)
     return found.withColumn("score", F.round("score", 6))
 
 
