@@ -113,6 +113,8 @@ def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
         .join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("_a", "_b", "token", F.round(weight * _UNIT).cast("long").alias("weight"))
+        # by chunk, not by token: frequent words meet most queries, in whichever task holds them
+        .repartition("_a", "_b")
     )
     total = F.sum(F.col("times") * F.col("weight")) / _UNIT
     return words.join(weights, "token").groupBy("query_id", "_a", "_b").agg(total.alias("score"))
