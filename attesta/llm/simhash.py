@@ -16,6 +16,9 @@ SEED = 42
 TILE = 1024
 #: A bucket of more fingerprints than this is dealt over tasks by population count.
 HOT_BUCKET = 4096
+#: Bits of a set's sketch, and rows that the order of prefixes is set by.
+WIDE = 512
+SAMPLE = 8000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -178,80 +181,174 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(found)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """WIDE bits of a set of hashes: each is the parity of those that fall on it, so two sketches
+    differ in at most as many bits as the sets have unshared elements."""
+    odd = np.bincount((own % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first elements of a set in an order that all sets share (those of `common` last, by their
+    counts): as many that two sets of the given similarity share at least one."""
+    n = len(own)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
+    return own[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]
+
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in about SAMPLE rows, sorted, and their counts. They only set the
+    order of prefixes: any order gives the same pairs."""
+    total = rows.count()
+    drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit("common")), F.lit(1 << 20)) < (SAMPLE << 20) // max(total, 1))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    found = (
+        drawn.mapInArrow(spread, "h long").groupBy("h").count().filter("count > 3")
+        .orderBy(F.desc("count"), "h").limit(1 << 16).collect()
+    )
+    common = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 5,
-    radius: int = 16,
     similarity: float = 0.8,
     keys: int = 4,
 ) -> DataFrame:
     """(key, component) for each row: texts whose sets of shingles have a Jaccard similarity of at
-    least `similarity` are linked; component is the least key reachable. See row_key() for keys.
-
-    At such a similarity fingerprints of so many words differ in too many bits for blocks of bits
-    to meet, so texts meet where they share one of the `keys` least hashes of their shingles (two
-    at 0.8 miss that with a chance of 0.2 ** keys). Each bucket compares fingerprints in tiles at
-    the wide radius; the sets of those that find a partner are fetched and pairs are checked
-    exactly, but for pairs that are linked by then. Equal sets are one class from the start. Texts
-    without words are equal. A bucket of more than HOT_BUCKET is dealt over tasks as pairs of its
-    parts; a task holds one bucket or pair, with sets only where fingerprints met."""
+    least `similarity` are linked, all of them; component is the least key reachable. See row_key()
+    for keys.
+
+    Two such sets share an element of their prefixes, so texts meet there, in two rounds: first
+    where they share one of the `keys` first elements, which links almost all; then, by the whole
+    prefixes, those that aren't of one component yet. Where texts meet, their sketches are compared
+    in tiles; the bits that may differ follow from the sizes of the two sets, so no true pair is
+    lost. The sets of those that find a partner are fetched and pairs are checked exactly, but for
+    pairs that are linked by then. Equal sets are one class from the start. Texts without words are
+    equal. A bucket of more than HOT_BUCKET is dealt over tasks as pairs of its parts; a task holds
+    one bucket or pair, with sets only where sketches met."""
     rows = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    common, counts = _common(rows, words)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sets, least = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                own = shingles(t.as_py() or b"", words)
-                marks.append(fingerprint(t.as_py() or b"", words))
-                sets.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
-                least.append(own[:keys].view(np.int64))
+            sets = [shingles(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+            same = [xxhash.xxh64_intdigest(own.tobytes(), 1) for own in sets]
+            first = [prefix(own, similarity, common, counts).view(np.int64) for own in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.array(marks, np.uint64).view(np.int64)),
-                    pa.array(np.array(sets, np.uint64).view(np.int64)),
-                    pa.array(least, pa.list_(pa.int64())),
+                    pa.array(np.array(same, np.uint64).view(np.int64)),
+                    pa.array([len(own) for own in sets], pa.int32()),
+                    pa.array([sketch(own) for own in sets], pa.binary()),
+                    pa.array(first, pa.list_(pa.int64())),
                 ],
-                ["key", "fp", "same", "least"],
+                ["key", "same", "n", "bits", "first"],
             )
 
     marked = materialize(
-        rows.mapInArrow(prints, "key long, fp long, same long, least array<long>"), "marks"
+        rows.mapInArrow(marks, "key long, same long, n int, bits binary, first array<long>"), "marks"
     )
     classes = materialize(
-        marked.groupBy("same").agg(F.min(F.struct("key", "fp", "least")).alias("low"))
-        .select("same", F.col("low.key").alias("low"), "low.fp", "low.least"),
+        marked.groupBy("same").agg(F.min(F.struct("key", "n", "bits", "first")).alias("low"))
+        .select("same", F.col("low.key").alias("low"), "low.n", "low.bits", "low.first"),
         "classes",
     )
-    keyed = classes.select("low", "fp", F.explode("least").alias("bucket"))
-    sizes = keyed.groupBy("bucket").count().filter("count > 1")
-    keyed = keyed.join(sizes, "bucket")
+    own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"))
+    near = own.select("low", "n", "bits", "part", F.explode(F.slice("first", 1, keys)).alias("bucket"))
+    edges = materialize(_verified(rows, near, words, similarity), "edges")
+    parts = materialize(connected_components(edges), "parts")
+
+    parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
+        "low", F.coalesce("component", "low").alias("part"), "first"
+    )
+    spread = parted.select(F.explode("first").alias("bucket"), "low", "part")
+    open_ = materialize(
+        spread.repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_unsettled, "bucket long, low long, part long"),
+        "open",
+    )
+    near = open_.join(classes.select("low", "n", "bits"), "low").select("low", "n", "bits", "part", "bucket")
+    parts = connected_components(edges.unionByName(_verified(rows, near, words, similarity)))
+    labelled = classes.join(parts, classes["low"] == parts["node"], "left").select(
+        "same", F.coalesce("component", "low").alias("component")
+    )
+    return marked.join(labelled, "same").select("key", "component")
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a stream sorted by bucket, without the buckets of one part."""
+
+    def several(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, part = batch["bucket"].to_numpy(), batch["part"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+        return batch.filter(pa.array(np.repeat(mixed, np.diff(np.append(starts, len(bucket))))))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch["bucket"].to_numpy()
+        # the last bucket may go on in the next batch
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        if held and held[0]["bucket"][0].as_py() != bucket[-1]:
+            yield several(pa.concat_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif not held and cut:
+            yield several(batch.slice(0, cut))
+        held.append(batch.slice(cut))
+    if held:
+        yield several(pa.concat_batches(held))
+
+
+def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of texts of different parts that share a bucket and are similar enough, from
+    near(low, n, bits, part, bucket); rows has the texts by key."""
+    sizes = near.groupBy("bucket").count().filter("count > 1")
+    keyed = near.join(sizes, "bucket")
     # a large bucket is cut into parts by key; each pair of parts is a bucket of its own
     parts = F.ceil(F.col("count") / HOT_BUCKET).cast("int")
     own = F.pmod(F.xxhash64("low"), parts).cast("int")
     keyed = keyed.select(
-        "low", "fp", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+        "low", "n", "bits", "part", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     )
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     keyed = keyed.withColumn("bucket", F.when(F.col("parts") > 1, pair).otherwise(F.col("bucket")))
+    schema = "low long, n int, bits binary, part long, bucket long"
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "bucket"):
-            roots = link(group["fp"].to_numpy().view(np.uint64), radius)
-            many = np.bincount(roots, minlength=len(roots))[roots] > 1
-            if many.any():
-                n = int(many.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [group["low"].to_numpy()[many], np.full(n, group["bucket"][0].as_py()),
-                     group["fp"].to_numpy()[many]],
-                    ["low", "bucket", "fp"],
-                )
+            if group.num_rows < 2:
+                continue
+            low = group["low"].to_numpy()
+            roots = partnered(_bits(group), group["n"].to_numpy(), group["part"].to_numpy(), similarity)
+            many = np.flatnonzero(np.bincount(roots, minlength=len(roots))[roots] > 1)
+            if not len(many):
+                continue
+            # texts that meet in many buckets are one bucket, named by its members
+            many = many[np.lexsort((low[many], roots[many]))]
+            cuts = np.flatnonzero(np.diff(roots[many])) + 1
+            names = [xxhash.xxh64_intdigest(low[own].tobytes(), 2) for own in np.split(many, cuts)]
+            sizes = np.diff(np.concatenate([[0], cuts, [len(many)]]))
+            named = np.repeat(np.array(names, np.uint64).view(np.int64), sizes)
+            out = group.take(pa.array(many)).combine_chunks()
+            yield from out.set_column(out.schema.get_field_index("bucket"), "bucket", pa.array(named)).to_batches()
 
     met = materialize(
-        keyed.select("low", "bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(meet, "low long, bucket long, fp long"),
+        keyed.select("low", "n", "bits", "part", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(meet, schema).dropDuplicates(["bucket", "low"]),
         "met",
     )
 
@@ -275,38 +372,70 @@ def near_duplicates(
         for group in sorted_groups(batches, "bucket"):
             low = group["low"].to_numpy()
             roots = checked(
-                group["fp"].to_numpy().view(np.uint64),
+                _bits(group),
+                group["part"].to_numpy(),
                 [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()],
-                radius,
                 similarity,
             )
             linked = roots != np.arange(len(roots))
             if linked.any():
                 yield _pairs([low[linked]], [low[roots[linked]]])
 
-    edges = (
-        met.join(sets, "low").select("bucket", "low", "fp", "set")
+    return (
+        met.join(sets, "low").select("bucket", "low", "bits", "part", "set")
         .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long")
     )
-    parts = connected_components(edges)
-    labelled = classes.join(parts, classes["low"] == parts["node"], "left").select(
-        "same", F.coalesce("component", "low").alias("component")
-    )
-    return marked.join(labelled, "same").select("key", "component")
 
 
-def checked(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """Roots of classes: pairs within the radius whose sets are similar enough."""
-    labels = np.arange(len(prints))
-    for i in range(len(prints) - 1):
-        near = np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) + i + 1
-        a = sets[i]
-        for j in near.tolist():
-            b = sets[j]
-            if labels[i] == labels[j] or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+def _bits(group: pa.Table) -> np.ndarray:
+    joined = b"".join(group["bits"].to_pylist())
+    return np.frombuffer(joined, np.uint64).reshape(group.num_rows, WIDE // 64)
+
+
+def _may_match(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets of sizes n and m can be similar enough, by their sketches and sizes."""
+    apart = sum(np.bitwise_count(bits[..., k] ^ other[..., k]).astype(np.int16) for k in range(WIDE // 64))
+    most = (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+    return (apart <= most) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+
+
+def partnered(bits: np.ndarray, n: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
+    """Roots (indices) of the sets of a bucket, linked where two of different parts may be similar
+    enough. They are compared in tiles in the order of their sizes; tile pairs whose sizes are too
+    far apart are skipped."""
+    order = np.argsort(n, kind="stable")
+    bits, n, part = bits[order], n[order].astype(np.int64), part[order]
+    labels = np.arange(len(n))
+    tile = TILE // 4
+    for i in range(0, len(n), tile):
+        a = slice(i, i + tile)
+        for j in range(i, len(n), tile):
+            b = slice(j, j + tile)
+            if n[a][-1] < similarity * n[j] - 1e-6:
+                break
+            near = _may_match(bits[a, None], n[a, None], bits[None, b], n[None, b], similarity)
+            near &= part[a, None] != part[None, b]
+            p, q = np.nonzero(near)
+            merge_labels(labels, p + i, q + j)
+    roots = np.empty(len(n), np.int64)
+    roots[order] = order[labels]
+    return roots
+
+
+def checked(bits: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Roots (indices) of classes: pairs of different parts whose sets are similar enough. Sets of
+    one part that such a pair reaches are of its class."""
+    n = np.array([len(s) for s in sets])
+    _, first, at = np.unique(part, return_index=True, return_inverse=True)
+    labels = first[at]
+    for i in range(len(sets) - 1):
+        near = _may_match(bits[i + 1 :], n[i + 1 :], bits[i], n[i], similarity)
+        near &= labels[i + 1 :] != labels[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if labels[i] == labels[j]:
                 continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both >= similarity * (len(a) + len(b) - both):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (n[i] + n[j] - both):
                 merge_labels(labels, np.array([i]), np.array([j]))
     return labels
 

@@ -125,3 +125,34 @@ def test_dropping_from_odd_rows(odd, none):
     # of the texts without words one stays
     assert sum(not (r["text"] or "").split() for r in kept) == 1
     assert s.drop_near_duplicates(none).count() == 0
+
+
+def test_unequal_repeats_and_pairs_at_the_bound_are_found(make):
+    """Near copies whose repeats differ, and pairs at 0.8 with and without a shared least hash."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for _ in range(8):  # lines that one text repeats
+        lines = [" ".join(word() for _ in range(6)) for _ in range(30)]
+        texts.append(" ".join(lines))
+        texts.append(" ".join(lines + [(lines[-1] + " ") * 40]))
+    for _ in range(400):  # 36 distinct shingles of which 4 differ: 32 of 40
+        base = [word() for _ in range(40)]
+        texts += [" ".join(base), " ".join([*base[:-4], *(word() for _ in range(4))])]
+    sets = [set(s.shingles(t.encode(), 5).tolist()) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(near(i, i + 1) for i in range(0, len(texts), 2))
+    got = {x["key"]: x["component"] for x in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+    # the whole prefixes find what the first elements don't
+    one = s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)]), keys=1).collect()
+    assert {x["key"]: x["component"] for x in one} == got
+
+
+def test_sketches_never_differ_by_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(0, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 30, dtype=np.uint64)]))
+        x, y = (np.frombuffer(s.sketch(v), np.uint64) for v in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
