@@ -18,6 +18,8 @@ LANGUAGES = 1000
 #: Cosines become shares by a softmax of this temperature.
 TEMPERATURE = 0.05
 UNKNOWN = "und"
+#: With fewer documents a language's spread isn't known.
+FEW = 20
 _GROUP = 128
 
 
@@ -54,6 +56,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def bundle(texts: list[str]) -> np.ndarray:
     """One row per text: the sum of its n-gram vectors. An n-gram's vector binds (multiplies) its
     letters' vectors, each permuted (rolled) by its place."""
+    return _bundle(texts)[0]
+
+
+def _bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """bundle(), and how many n-grams each text has."""
     found = [grams(t) for t in texts]
     every, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
     counts = np.zeros((len(texts), len(every)), np.float32)
@@ -68,7 +75,7 @@ def bundle(texts: list[str]) -> np.ndarray:
             table = np.stack([np.roll(letter(int(c)), GRAM - 1 - k) for c in codes])
             vectors *= table[place]
         out += counts[:, start : start + 4096] @ vectors.astype(np.float32)
-    return out
+    return out, counts.sum(axis=1, dtype=np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -77,6 +84,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def _drawn(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: int) -> DataFrame:
+    """(lang, text) of the rows that are learned from."""
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
+    rates = {r[0]: min(1.0, learn / r[1]) for r in sizes.collect()}
+    if not rates:
+        return rows.limit(0).select(F.col(lang_col).alias("lang"), text_col)
+    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col(lang_col)]
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("learn")), F.lit(1 << 20)) < rate * (1 << 20)
+    return rows.filter(drawn).select(F.col(lang_col).alias("lang"), text_col)
+
+
 def fit(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     learn: int = LEARN,
@@ -86,13 +105,7 @@ def fit(
     Learns from at most about `learn` rows of a language, drawn by a hash of the id, of the
     LANGUAGES most frequent ones; counts of all rows set the rates. Null texts and langs are left
     out."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
-    rates = {r[0]: min(1.0, learn / r[1]) for r in sizes.collect()}
-    if not rates:
-        return {}
-    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col(lang_col)]
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("learn")), F.lit(1 << 20)) < rate * (1 << 20)
+    rows = _drawn(df, id_col, text_col, lang_col, learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -117,20 +130,60 @@ def fit(
         )
 
     schema = "lang string, v binary"
-    parts = rows.filter(drawn).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, schema)
-    sums = parts.groupBy("lang").applyInArrow(add, schema).collect()
+    sums = rows.mapInArrow(run, schema).groupBy("lang").applyInArrow(add, schema).collect()
     return {r["lang"]: _unit(np.frombuffer(r["v"], np.float64)) for r in sorted(sums)}
 
 
+def spreads(
+    df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang", learn: int = LEARN,
+) -> dict[str, tuple[float, float]]:
+    """How well a language's own documents fit it: the mean product of an n-gram with the prototype,
+    and the deviation of a document's from that, times the root of its number of n-grams. Neither
+    depends on the other languages. From the documents that fit() learns from; the deviation is
+    infinite for languages with fewer than FEW of them, and no less than the mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, means, sizes = [], [], []
+            for at in range(0, batch.num_rows, _GROUP):
+                part = batch.slice(at, _GROUP)
+                sums, n = _bundle(part.column(1).to_pylist())
+                own = part.column(0).to_pylist()
+                dots = np.einsum("ij,ij->i", sums, np.stack([prototypes[lang] for lang in own]))
+                langs += own
+                means += (dots / np.maximum(n, 1)).tolist()
+                sizes += n.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(means, pa.float64()), pa.array(sizes, pa.float64())],
+                ["lang", "mean", "n"],
+            )
+
+    rows = _drawn(df, id_col, text_col, lang_col, learn).mapInArrow(run, "lang string, mean double, n double")
+    own = rows.filter("n > 0").groupBy("lang").agg(
+        F.avg("mean").alias("m"), F.avg(F.col("n") * F.col("mean") * F.col("mean")).alias("a"),
+        F.avg(F.col("n") * F.col("mean")).alias("b"), F.avg("n").alias("n"), F.count("*").alias("docs"),
+    )
+    found = dict.fromkeys(prototypes, (0.0, np.inf))
+    for r in own.collect():
+        square = r["a"] - 2 * r["m"] * r["b"] + r["m"] ** 2 * r["n"]
+        dev = max(r["m"], float(np.sqrt(max(0.0, square)))) if r["docs"] >= FEW else np.inf
+        found[r["lang"]] = (r["m"], dev)
+    return found
+
+
 def predict(
     df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
-    keep: list[Column] | None = None,
+    keep: list[Column] | None = None, spread: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """(id, kept columns, lang_pred, score) by the largest cosine of a text with the prototypes.
 
     score: the share of the language in a softmax of the cosines, from 0 to 1. A text that is null
     or has no letter, and any text if nothing was learned: 'und' and score 0. Ties go to the first
-    language by name. Repeated rows and null ids pass as they are; an empty table gives no rows."""
+    language by name. Repeated rows and null ids pass as they are; an empty table gives no rows.
+    With `spread` there are two columns more, null for 'und'. fit: by how many deviations the text
+    fits its language better (or, below zero, worse) than the language's own documents of its
+    length. level: how well it fits, as a part of their mean."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIM))
     rows = df.select(F.col(id_col).cast("long").alias(id_col), *(keep or []), F.col(text_col).cast("string").alias("_text"))
@@ -138,13 +191,16 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, fits, levels = [], [], [], []
             for at in range(0, batch.num_rows, _GROUP):
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(at, _GROUP).to_pylist()]
-                x = _unit(bundle(texts))
+                sums, n = _bundle(texts)
+                x = _unit(sums)
                 if not names:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
+                    fits += [None] * len(texts)
+                    levels += [None] * len(texts)
                     continue
                 cosine = x @ matrix.T
                 share = np.exp((cosine - cosine.max(axis=1, keepdims=True)) / TEMPERATURE)
@@ -153,12 +209,21 @@ def predict(
                 known = x.any(axis=1)
                 langs += [names[b] if k else UNKNOWN for b, k in zip(best, known)]
                 scores += np.where(known, share[np.arange(len(best)), best], 0.0).tolist()
+                if spread is not None:
+                    dots = np.einsum("ij,ij->i", sums, matrix[best]) / np.maximum(n, 1)
+                    mean, dev = np.array([spread[k] for k in names]).T[:, best]
+                    z = (dots - mean) * np.sqrt(n) / dev
+                    part = np.divide(dots, mean, out=np.ones_like(dots), where=mean > 0)
+                    fits += [f if k else None for f, k in zip(z.tolist(), known)]
+                    levels += [f if k else None for f, k in zip(part.tolist(), known)]
+            more = [] if spread is None else [pa.array(fits, pa.float64()), pa.array(levels, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more],
+                [*batch.schema.names[:-1], "lang_pred", "score", *(["fit", "level"] if more else [])],
             )
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    extra = "" if spread is None else ", fit double, level double"
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double{extra}")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from attesta.llm import langid, packing, simhash, suffix
 from attesta.llm.common import shared_dir, ship
 
-#: Below this share of its best language a document is rejected. Four languages that fit equally
-#: well have 0.25 each.
-LEAST_SHARE = 0.3
+#: A document is rejected that fits its best language worse than that language's own documents by
+#: this many deviations, and less than this part as well. Neither depends on the other languages;
+#: texts too short to be told from clean ones stay.
+LEAST_FIT, LEAST_LEVEL = -4.0, 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship(spark)
     prototypes = langid.fit(docs)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    told = langid.predict(docs.select("*"), prototypes, keep=[row])
-    kept = told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    spread = langid.spreads(docs, prototypes)
+    told = langid.predict(docs.select("*"), prototypes, keep=[row], spread=spread)
+    fits = (F.col("fit") >= LEAST_FIT) | (F.col("level") >= LEAST_LEVEL)
+    kept = told.filter((F.col("lang_pred") != langid.UNKNOWN) & fits)
     return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 

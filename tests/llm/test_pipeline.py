@@ -1,3 +1,5 @@
+import random
+
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from attesta.llm import langid, packing
@@ -47,3 +49,22 @@ def test_entry_has_all_queries():
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
     assert langid.DIM >= 512
+
+
+def test_rejection_does_not_depend_on_the_number_of_languages(spark, make):
+    """Short clean texts stay among 20 languages, noise goes among one, four and 20."""
+    r = random.Random(5)
+
+    def language():
+        letters = r.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        return ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60)]
+
+    vocabularies = [language() for _ in range(20)]
+    for n in (1, 4, 20):
+        rows = [
+            (1000 * k + i, " ".join(r.choice(v) for _ in range(3 if i < 10 else 80)), f"l{k:02}", "a")
+            for k, v in enumerate(vocabularies[:n]) for i in range(40)
+        ]
+        noise = [(10**6 + i, "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(800)), None, "a") for i in range(20)]
+        kept = pipeline.identify_language(spark, make(rows + noise), "")
+        assert sorted(x["doc_id"] for x in kept.collect()) == sorted(x[0] for x in rows)
