@@ -38,62 +38,76 @@ class Strings:
         self.symbol = symbol.astype(kind)[self.before]
 
 
-def refine(symbol: np.ndarray, back: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rounds of interleave refinement: the places, in an order that was right to some depth, are
-    dealt stably by the symbol before them and each steps back to the place of that symbol, which
-    makes the order right to one symbol more. Returns the order and the round in which each entry
-    first differed from the one above it (0: never), from which common prefixes follow."""
-    order = np.arange(len(symbol))
-    group = np.zeros(len(symbol), np.int64)
-    differs = np.zeros(len(symbol), np.int8)
-    for k in range(1, rounds + 1):
-        s = symbol[order]
-        deal = np.argsort(s, kind="stable")
-        s, was = s[deal], group[deal]
-        new = np.empty(len(s), bool)
-        new[:1] = True
-        new[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1])
-        order = back[order[deal]]
-        group = np.cumsum(new)
-        differs = new
-    return order, differs
-
-
 def build(strings: Strings, low: int, high: int, depth: int) -> np.ndarray:
-    """The places low to high (whole strings) in sorted order to `depth` bytes: a shard's
-    transform is strings.symbol at these."""
-    order, _ = refine(strings.symbol[low:high], strings.before[low:high] - low, -(-depth // STEP))
+    """The places low to high (whole strings, a shard) sorted to `depth` bytes; the shard's
+    transform is strings.symbol at these. Each round deals the places by the block before them and
+    steps back to it, so the order is right to one block more."""
+    symbol, back = strings.symbol[low:high], strings.before[low:high] - low
+    order = np.arange(high - low)
+    for _ in range(-(-depth // STEP)):
+        order = back[order[np.argsort(symbol[order], kind="stable")]]
     return order + low
 
 
-def merge(strings: Strings, shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges shards' transforms. Starts from one shard after the other and interleaves; suffixes
-    of a shard keep their order and are never sorted again. Returns the places in the merged order
-    and whether each begins a new interval of common prefixes of `depth` bytes."""
-    places = np.concatenate(shards)
-    rank = np.empty(strings.size, np.int64)
-    rank[places] = np.arange(len(places))
-    order, new = refine(strings.symbol[places], rank[strings.before[places]], -(-depth // STEP))
-    return places[order], new
+def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleaves shards' transforms (their symbols, in sorted order) and derives prefix lengths.
+
+    All that changes is which shard each place of the merged order belongs to: a shard's own entries
+    follow one another as its transform has them and are never sorted again, so the transforms must
+    be in order. A round reads the symbols through the interleave and deals it by them, stably, after
+    which it is right to one block more; a place begins a new interval when its symbol or the
+    interval that it came from differs from those of the place above.
+
+    Returns the shard of each place and how many bytes, in whole blocks and `depth` at most, the
+    suffix there shares with the one above (0 for the first). Intervals of entries that share
+    `depth` bytes are the repeats."""
+    sizes = [len(t) for t in transforms]
+    symbol = np.concatenate(transforms) if transforms else np.empty(0, np.uint16)
+    n = len(symbol)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.int32), sizes)
+    interval = np.zeros(n, np.int64)
+    rounds = -(-depth // STEP)
+    common = np.full(n, rounds * STEP, np.int32)
+    seen = np.empty_like(symbol)
+    for k in range(rounds):
+        # the entries of one shard after another, where they stand in the interleave
+        seen[np.argsort(shard, kind="stable")] = symbol
+        deal = np.argsort(seen, kind="stable")
+        shard, s, was = shard[deal], seen[deal], interval[deal]
+        new = np.ones(n, bool)
+        new[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1])
+        # intervals only split, in place: the first round that parts two entries tells what they share
+        common[new] = np.minimum(common[new], k * STEP)
+        interval = np.cumsum(new)
+    return shard, common
+
+
+def merged(strings: Strings, orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all shards in the merged order, and what each shares with the one above."""
+    shard, common = merge([strings.symbol[o] for o in orders], depth)
+    places = np.empty(len(shard), np.int64)
+    places[np.argsort(shard, kind="stable")] = np.concatenate(orders) if orders else []
+    return places, common
 
 
 def first_places(blob: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For the places of all strings that have `depth` bytes to their right in their string, in the
     order of the layout: the number of the place (in that order) where the same bytes stand first.
-    depth must be a multiple of STEP."""
+    The strings are cut into SHARDS runs of like size, whose transforms are merged. depth must be a
+    multiple of STEP."""
     s = Strings(blob, lengths)
     cut = np.searchsorted(s.starts, np.linspace(0, s.size, SHARDS + 1)[1:-1])
     bounds = np.unique(np.concatenate([[0], s.starts[np.minimum(cut, len(s.starts) - 1)], [s.size]]))
-    shards = [build(s, a, b, depth) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-    order, new = merge(s, shards, depth)
+    orders = [build(s, a, b, depth) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    places, common = merged(s, orders, depth)
     counts = np.maximum(0, lengths - depth + 1)
     number = np.full(s.size, -1, np.int64)
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     full = np.arange(total) + np.repeat(s.starts - ends + counts, counts)
     number[full] = np.arange(total)
-    got = number[order]
-    group = np.cumsum(new) - 1
+    got = number[places]
+    group = np.cumsum(common < depth) - 1
     keep = got >= 0
     got, group = got[keep], group[keep]
     least = np.full(int(group[-1]) + 1 if len(group) else 0, total, np.int64)

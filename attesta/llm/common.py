@@ -33,10 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def row_key(df_id: str, df_text: str) -> Column:
-    """Documents in the order of their ids; those without one come after all, in an order that
-    their texts give."""
-    by_text = F.xxhash64(F.col(df_text)).bitwiseAND(2**61 - 1) + 2**62
-    return F.coalesce(F.col(df_id).cast("long"), by_text)
+    """64 bits that name a row's id and text together: rows of one id and different texts differ, and
+    rows without an id differ by their texts. Equal rows are one."""
+    return F.xxhash64(F.col(df_id).cast("long"), F.col(df_text).cast("string"))
+
+
+def order_id(df_id: str) -> Column:
+    """The id as an order key: rows without one come after all others."""
+    return F.coalesce(F.col(df_id).cast("long"), F.lit(LAST))
 
 
 _shipped: set[str] = set()

@@ -10,7 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, connected_components, materialize, merge_labels, row_key, sorted_groups
+from .common import (
+    LAST, connected_components, materialize, merge_labels, order_id, release, row_key, sorted_groups,
+)
 
 SEED = 42
 TILE = 1024
@@ -226,9 +228,11 @@ def near_duplicates(
     similarity: float = 0.8,
     keys: int = 4,
 ) -> DataFrame:
-    """(key, component) for each row: texts whose sets of shingles have a Jaccard similarity of at
-    least `similarity` are linked, all of them; component is the least key reachable. See row_key()
-    for keys.
+    """(id, key, component_id, keeper) for each row: texts whose sets of shingles have a Jaccard
+    similarity of at least `similarity` are linked, all of them; component_id is the smallest id
+    reachable (null if none has one), keeper the key of a row that has it. A key names a row's id and
+    text (row_key()), so rows of one id and different texts are told apart; rows without an id come
+    after all others.
 
     Two such sets share an element of their prefixes, so texts meet there, in two rounds: first
     where they share one of the `keys` first elements, which links almost all; then, by the whole
@@ -238,7 +242,10 @@ def near_duplicates(
     pairs that are linked by then. Equal sets are one class from the start. Texts without words are
     equal. A bucket of more than HOT_BUCKET is dealt over tasks as pairs of its parts; a task holds
     one bucket or pair, with sets only where sketches met."""
-    rows = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    rows = df.select(
+        row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"),
+        order_id(id_col).alias("id"),
+    )
     common, counts = _common(rows, words)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +260,19 @@ def near_duplicates(
                     pa.array([len(own) for own in sets], pa.int32()),
                     pa.array([sketch(own) for own in sets], pa.binary()),
                     pa.array(first, pa.list_(pa.int64())),
+                    batch.column(2),
                 ],
-                ["key", "same", "n", "bits", "first"],
+                ["key", "same", "n", "bits", "first", "id"],
             )
 
     marked = materialize(
-        rows.mapInArrow(marks, "key long, same long, n int, bits binary, first array<long>"), "marks"
+        rows.mapInArrow(marks, "key long, same long, n int, bits binary, first array<long>, id long"),
+        "marks",
     )
+    # a class is named by the key of its first row; a row's key stands in one class only
     classes = materialize(
-        marked.groupBy("same").agg(F.min(F.struct("key", "n", "bits", "first")).alias("low"))
-        .select("same", F.col("low.key").alias("low"), "low.n", "low.bits", "low.first"),
+        marked.groupBy("same").agg(F.min(F.struct("id", "key", "n", "bits", "first")).alias("low"))
+        .select("same", "low.id", F.col("low.key").alias("low"), "low.n", "low.bits", "low.first"),
         "classes",
     )
     own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"))
@@ -281,10 +291,17 @@ def near_duplicates(
     )
     near = open_.join(classes.select("low", "n", "bits"), "low").select("low", "n", "bits", "part", "bucket")
     parts = connected_components(edges.unionByName(_verified(rows, near, words, similarity)))
-    labelled = classes.join(parts, classes["low"] == parts["node"], "left").select(
-        "same", F.coalesce("component", "low").alias("component")
+    parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
+        "same", "id", "low", F.coalesce("component", "low").alias("part")
+    )
+    first = parted.groupBy("part").agg(F.min(F.struct("id", "low")).alias("first"))
+    labelled = parted.join(first, "part").select(
+        "same", F.col("first.id").alias("component_id"), F.col("first.low").alias("keeper")
+    )
+    null_last = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return marked.join(labelled, "same").select(
+        null_last("id").alias(id_col), "key", null_last("component_id").alias("component_id"), "keeper"
     )
-    return marked.join(labelled, "same").select("key", "component")
 
 
 def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,15 +458,20 @@ def checked(bits: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similari
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with one row of each group of near duplicates: the one of least key (of repeated rows of
-    that key, any one). Groups are those of near_duplicates(); columns pass as they are. Null texts count as
-    empty, null ids come last, an empty table gives no rows."""
+    """df with one row of each group of near duplicates: the one of smallest id (of several texts of
+    that id, any one). Groups are those of near_duplicates(), by id and text together: rows that
+    share an id and no text are judged apart. Of repeated rows one stays; columns pass as they are.
+    Null texts count as empty, null ids come last, an empty table gives no rows."""
     found = materialize(near_duplicates(df, id_col, text_col, **how), "components")
-    rows = df.select(row_key(id_col, text_col).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
-    gone = found.filter("key <> component").select(F.col("key").alias("_key")).distinct()
-    kept = rows.join(gone.hint("shuffle_hash"), "_key", "left_anti")
-    if found.groupBy("key").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_key"])
+    names = {"_key": row_key(id_col, text_col), "_id": order_id(id_col)}
+    rows = df.select(
+        *(c.alias(n) for n, c in names.items()), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    )
+    own = found.select(F.col("key").alias("_key"), order_id(id_col).alias("_id"), (F.col("key") != F.col("keeper")).alias("gone"))
+    gone = own.filter("gone").select(*names).distinct()
+    kept = rows.join(gone.hint("shuffle_hash"), [*names], "left_anti")
+    if own.filter("not gone").groupBy(*names).count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([*names])
     return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))
 
 

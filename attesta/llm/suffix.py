@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import first_places
-from .common import materialize, release, row_key, size_estimate, sorted_groups
+from .common import materialize, order_id, release, size_estimate, sorted_groups
 
 SPAN = 100
 #: An anchor is the least of the hashes of the GRAM-byte strings of a SPAN-byte window.
@@ -103,8 +103,8 @@ def _unpack(data: list[bytes], *kinds) -> list[np.ndarray]:
     return [np.concatenate(x) for x in found]
 
 
-_ANCHORS = ("<u8", "<u8", "<i8", "<u4", "u1")
-_RUNS = ("<i8", "<u4", "<u4")
+_ANCHORS = ("<u8", "<u8", "<i8", "<i8", "<u4", "u1")
+_RUNS = ("<i8", "<i8", "<u4", "<u4")
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,54 +113,55 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), np.fromiter(map(len, values), np.int64, len(values))
 
 
+def _document(id_col: str, text_col: str) -> tuple:
+    """What a document goes by: its id (those without one after all others), then a hash of its
+    text, so that rows of one id and different texts are documents of their own."""
+    return order_id(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("sub")
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, starts, ends) of the bytes of each document that a SPAN-byte string covers which also
-    starts earlier: in a document of smaller id, or before it in the same one. Spans may overlap
-    and come in no order; documents without any are absent. key: see row_key().
+    """(key, sub, starts, stops) of the bytes of each document that a SPAN-byte string covers which
+    also starts earlier: in a document that comes before, or before it in the same one. Spans may
+    overlap and come in no order; documents without any are absent. key, sub: see _document(); rows
+    that agree in both are one document.
 
     1. Every window of SPAN bytes belongs to its anchor's segment. Tasks send (anchor, hash of the
        segment, place), packed, once per distinct segment and batch; further copies of it are
        covered. Buckets of anchors drop those that stand once; of equal segments all but the first
        are covered; where one anchor has different segments, the first of each is asked for.
-    2. Asked segments are cut from the texts and go to their anchor's bucket, which builds shard
-       transforms, merges them by interleave refinement and finds the intervals that share SPAN
-       bytes; all but the first place of an interval are covered.
+    2. Asked segments are cut from the texts and go to their anchor's bucket, which builds the
+       transforms of shards (runs of documents), merges them by interleave refinement and finds the
+       intervals whose suffixes share SPAN bytes; all but the first place of one are covered.
 
     Copies of any number cost one segment per batch, and anchors are spread by hash. An anchor with
     more than HOT different segments (the edges of a passage that very many texts share) has its
     windows dealt one by one, by the hash of their bytes. Memory of a task: one Arrow batch, one
     bucket (BUCKET bytes of input) or HOT segments."""
-    keyed = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    keyed = df.select(*_document(id_col, text_col), F.col(text_col).cast("string").alias("t"))
     buckets = max(8, min(1 << 20, size_estimate(df.select(text_col)) // BUCKET))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            data, lengths = _bytes_of(batch.column(1))
+            keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, lengths = _bytes_of(batch.column(2))
             gram, content, text, start, count = segments(data, lengths)
             if not len(gram):
                 continue
-            key = keys[text]
-            order = np.lexsort((start, key, content, gram))
-            gram, content, key, start, count = (x[order] for x in (gram, content, key, start, count))
-            first = _heads(gram, content)
-            group = np.cumsum(first) - 1
-            origin = np.flatnonzero(first)[group]
-            again = ~first & ((key != key[origin]) | (start != start[origin]))
+            sent, first, again = _copies(gram, content, keys[text], subs[text], start, count)
             rows: list[tuple[int, int, bytes]] = []
             if again.any():
-                place = (_mix(key[again].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                _, _, k, u, s, n = (x[again] for x in sent)
+                place = (_mix((k ^ u).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(place, kind="stable")
-                k, s, e = key[again][by], start[again][by], (start + count + SPAN - 1)[again][by]
+                k, u, s, e = k[by], u[by], s[by].astype("<u4"), (s + n + SPAN - 1)[by].astype("<u4")
                 for b, i, j in _slices(place[by]):
-                    rows.append((b, 1, _pack(k[i:j], s[i:j].astype("<u4"), e[i:j].astype("<u4"))))
-            gram, content, key, start, count = (x[first] for x in (gram, content, key, start, count))
-            place = (gram % np.uint64(buckets)).astype(np.int64)
+                    rows.append((b, 1, _pack(k[i:j], u[i:j], s[i:j], e[i:j])))
+            sent = [x[first] for x in sent]
+            place = (sent[0] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(place, kind="stable")
-            gram, content, key = gram[by], content[by], key[by]
-            start, count = start[by].astype("<u4"), count[by].astype("u1")
+            sent = [x[by].astype(kind) for x, kind in zip(sent, _ANCHORS)]
             for b, i, j in _slices(place[by]):
-                rows.append((b, 0, _pack(gram[i:j], content[i:j], key[i:j], start[i:j], count[i:j])))
+                rows.append((b, 0, _pack(*(x[i:j] for x in sent))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.binary())],
@@ -172,38 +173,34 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = rows["kind"].to_numpy()
             known = rows.filter(pa.array(kind == 1))["data"].to_pylist()
             if known:
-                key, start, end = _unpack(known, *_RUNS)
-                yield _told(key, start, end, np.zeros(len(key), np.uint64))
+                key, sub, start, end = _unpack(known, *_RUNS)
+                yield _told(key, sub, start, end, np.zeros(len(key), np.uint64))
             sent = rows.filter(pa.array(kind == 0))["data"].to_pylist()
             if not sent:
                 continue
-            gram, content, key, start, count = _unpack(sent, *_ANCHORS)
-            order = np.argsort(gram, kind="stable")
-            g = gram[order]
+            own = _unpack(sent, *_ANCHORS)
+            order = np.argsort(own[0], kind="stable")
+            g = own[0][order]
             same = np.concatenate([[False], g[1:] == g[:-1]])
             order = order[same | np.append(same[1:], False)]  # anchors that stand more than once
-            gram, content, key, start, count = (x[order] for x in (gram, content, key, start, count))
-            order = np.lexsort((start, key, content, gram))
-            gram, content, key, start, count = (x[order] for x in (gram, content, key, start, count))
-            first = _heads(gram, content)
-            origin = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.empty(0, int)
-            again = ~first & ((key != key[origin]) | (start != start[origin]))
+            (gram, _, key, sub, start, count), first, again = _copies(*(x[order] for x in own))
             end = start.astype(np.int64) + count + SPAN - 1
             if again.any():
-                yield _told(key[again], start[again], end[again], np.zeros(int(again.sum()), np.uint64))
-            gram, key, start, end = (x[first] for x in (gram, key, start, end))
+                yield _told(key[again], sub[again], start[again], end[again], np.zeros(int(again.sum()), np.uint64))
+            gram, key, sub, start, end = (x[first] for x in (gram, key, sub, start, end))
             same = np.concatenate([[False], gram[1:] == gram[:-1]]) if len(gram) else np.empty(0, bool)
             many = same | np.append(same[1:], False) if len(gram) else same
             if many.any():
                 heads = np.flatnonzero(_heads(gram))
                 size = np.diff(np.append(heads, len(gram)))
-                yield _told(key[many], start[many], end[many], gram[many], True, np.repeat(size > HOT, size)[many])
+                hot = np.repeat(size > HOT, size)[many]
+                yield _told(key[many], sub[many], start[many], end[many], gram[many], True, hot)
 
     found = materialize(
         keyed.mapInArrow(cut, "bucket long, kind int, data binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(sift, "key long, start long, stop long, gram long, asked boolean, hot boolean"),
+        .mapInArrow(sift, "key long, sub long, start long, stop long, gram long, asked boolean, hot boolean"),
         "segments",
     )
 
@@ -213,8 +210,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 continue
             own: list[tuple] = []
             parts: list[bytes] = []
-            for key, text, asked in zip(
-                batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for key, sub, text, asked in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3)
             ):
                 values = asked.values
                 starts, stops, grams = (values.field(i).to_numpy() for i in range(3))
@@ -228,13 +226,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     stops = np.concatenate([stops[~hot], single + SPAN])
                     grams = np.concatenate([grams[~hot], np.array(named, np.uint64).view(np.int64)])
                 parts += [text[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
-                own.append((grams, np.full(len(grams), key, np.int64), starts, stops - starts))
-            gram, key, start, size = map(np.concatenate, zip(*own))
+                named = (np.full(len(grams), x, np.int64) for x in (key, sub))
+                own.append((grams, *named, starts, stops - starts))
+            gram, key, sub, start, size = map(np.concatenate, zip(*own))
             gram = gram.view(np.uint64)
             place = (gram % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(place, kind="stable")
             rows = [
-                (b, _pack(gram[o], key[o], start[o].astype("<u4"), size[o].astype("u1")),
+                (b, _pack(gram[o], key[o], sub[o], start[o].astype("<u4"), size[o].astype("u1")),
                  b"".join([parts[x] for x in o.tolist()]))
                 for b, i, j in _slices(place[by]) for o in [by[i:j]]
             ]
@@ -246,7 +245,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, "bucket"):
-            gram, key, start, size = _unpack(rows["data"].to_pylist(), "<u8", "<i8", "<u4", "u1")
+            gram, key, sub, start, size = _unpack(rows["data"].to_pylist(), "<u8", "<i8", "<i8", "<u4", "u1")
             text = np.frombuffer(b"".join(rows["text"].to_pylist()), np.uint8)
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
@@ -260,7 +259,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fit = ends[(ends > at) & (total[ends - 1] <= limit)] if len(ends) < 64 else _fitting(ends, total, at, limit)
                 to = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, at, side="right")])
                 own = order[at:to]
-                own = own[np.lexsort((start[own], key[own]))]
+                own = own[np.lexsort((start[own], sub[own], key[own]))]
                 at = to
                 lens = size[own]
                 shift = np.cumsum(lens) - lens
@@ -268,10 +267,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 first, counts = first_places(blob, lens, SPAN)
                 who = np.repeat(np.arange(len(own)), counts)
                 offset = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
-                k = key[own][who]
+                k, u = key[own][who], sub[own][who]
                 place = start[own].astype(np.int64)[who] + offset
                 # a place that a repeated row gives twice isn't before itself
-                later = (k != k[first]) | (place != place[first])
+                later = (k != k[first]) | (u != u[first]) | (place != place[first])
                 edge = np.empty(len(who) + 1, bool)
                 edge[0] = edge[-1] = True
                 edge[1:-1] = (who[1:] != who[:-1]) | (later[1:] != later[:-1])
@@ -280,25 +279,25 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 a, b = a[later[a]], b[later[a]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k[a]), pa.array(place[a]), pa.array(place[b] + SPAN)],
-                        ["key", "start", "stop"],
+                        [pa.array(k[a]), pa.array(u[a]), pa.array(place[a]), pa.array(place[b] + SPAN)],
+                        ["key", "sub", "start", "stop"],
                     )
 
     asked = (
-        found.filter("asked").groupBy("key")
+        found.filter("asked").groupBy("key", "sub")
         .agg(F.collect_list(F.struct("start", "stop", "gram", "hot")).alias("asked"))
     )
     merged = materialize(
-        keyed.join(asked.hint("shuffle_hash"), "key")
+        keyed.join(asked.hint("shuffle_hash"), ["key", "sub"])
         .mapInArrow(fetch, "bucket long, data binary, text binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(transform, "key long, start long, stop long"),
+        .mapInArrow(transform, "key long, sub long, start long, stop long"),
         "merged",
     )
     spans = materialize(
-        found.filter("not asked").select("key", "start", "stop").unionByName(merged)
-        .groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")),
+        found.filter("not asked").select("key", "sub", "start", "stop").unionByName(merged)
+        .groupBy("key", "sub").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")),
         "spans",
     )
     release(found)
@@ -306,6 +305,17 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return spans
 
 
+def _copies(gram, content, key, sub, start, count) -> tuple[list, np.ndarray, np.ndarray]:
+    """Segments in the order of anchor, bytes and place; which are the first of their bytes; and
+    which are further copies, all of whose bytes stand earlier (not a place given twice)."""
+    order = np.lexsort((start, sub, key, content, gram))
+    own = [x[order] for x in (gram, content, key, sub, start, count)]
+    first = _heads(own[0], own[1])
+    origin = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.empty(0, int)
+    again = ~first & ((own[2] != own[2][origin]) | (own[3] != own[3][origin]) | (own[4] != own[4][origin]))
+    return own, first, again
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Whether an entry of sorted columns differs from the one before."""
     n = len(columns[0])
@@ -328,14 +338,14 @@ def _fitting(ends: np.ndarray, total: np.ndarray, at: int, limit: int) -> np.nda
     return ends[lo:hi]
 
 
-def _told(key, start, stop, gram, asked: bool = False, hot: np.ndarray | None = None) -> pa.RecordBatch:
+def _told(key, sub, start, stop, gram, asked: bool = False, hot: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(key), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)),
+            pa.array(key), pa.array(sub), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)),
             pa.array(gram.view(np.int64)), pa.array(np.full(len(key), asked)),
             pa.array(np.zeros(len(key), bool) if hot is None else hot),
         ],
-        ["key", "start", "stop", "gram", "asked", "hot"],
+        ["key", "sub", "start", "stop", "gram", "asked", "hot"],
     )
 
 
@@ -356,19 +366,18 @@ def without(text: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
 
 def _with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with _starts and _stops. The hash side is the small one; texts are not sorted."""
-    keyed = df.withColumn("_key", row_key(id_col, text_col))
-    named = spans.select(
-        F.col("key").alias("_key"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops")
-    )
-    return keyed.join(named.hint("shuffle_hash"), "_key", "left").drop("_key")
+    keyed = df.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col), ("_key", "_sub"))))
+    named = spans.toDF("_key", "_sub", "_starts", "_stops")
+    return keyed.join(named.hint("shuffle_hash"), ["_key", "_sub"], "left").drop("_key", "_sub")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each document without its repeats.
 
-    Null text: no bytes. Null ids: after all others. Rows that share id and start are one place, so
-    a repeated row is not taken from itself; rows of one id and different texts all lose the union
-    of what they repeat. Texts below SPAN bytes keep everything. An empty table gives no rows; other columns are
+    Null text: no bytes. Null ids: after all others. Rows of one id and different texts are
+    documents in an order that their texts give. Rows that share id and text, and so rows of one text
+    without an id, are one document: neither is before the other, both get what it gets. Texts below
+    SPAN bytes keep everything. An empty table gives no rows; other columns are
     ignored."""
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))
     joined = _with_spans(rows, repeated_spans(df, id_col, text_col), id_col, "t")

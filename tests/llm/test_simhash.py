@@ -99,7 +99,7 @@ def test_near_duplicates_agree_with_brute_force(make):
     near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     want = components(texts, near)
     df = make([(i, t, "en", "a") for i, t in enumerate(texts)])
-    got = {r["key"]: r["component"] for r in s.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
     kept = s.drop_near_duplicates(df)
     assert kept.columns == df.columns
@@ -113,7 +113,7 @@ def test_large_buckets_are_dealt_as_pairs_of_parts(make, monkeypatch):
     texts = [f"{shared} {t}" for t in texts] + [f"{texts[0]} {shared} more{i}" for i in range(30)]
     sets = [set(s.shingles(t.encode(), 5).tolist()) for t in texts]
     want = components(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    got = {r["key"]: r["component"] for r in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
@@ -127,6 +127,22 @@ def test_dropping_from_odd_rows(odd, none):
     assert s.drop_near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(make):
+    """A copy goes, another text of its id stays; so for rows without an id, and repeated rows."""
+    r = random.Random(31)
+    text = [" ".join(r.choice("abcdefghij") * 3 + str(r.randint(0, 99)) for _ in range(60)) for _ in range(5)]
+    rows = [
+        (1, text[0], "en", "a"), (2, text[0], "en", "a"), (2, text[1], "en", "a"), (3, text[2], "en", "a"),
+        (3, text[3], "fr", "b"), (None, text[0], "en", "a"), (None, text[4], "en", "a"), (None, text[4], "en", "b"),
+        (3, text[3], "fr", "b"), (2, text[3], None, None),
+    ]
+    kept = [(x["doc_id"], x["text"]) for x in s.drop_near_duplicates(make(rows)).collect()]
+    want = [(1, text[0]), (2, text[1]), (3, text[2]), (2, text[3]), (None, text[4])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    found = {(x["doc_id"], x["component_id"]) for x in s.near_duplicates(make(rows)).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (2, 2), (3, 3), (3, 2), (None, None)}
+
+
 def test_unequal_repeats_and_pairs_at_the_bound_are_found(make):
     """Near copies whose repeats differ, and pairs at 0.8 with and without a shared least hash."""
     r = random.Random(12)
@@ -142,11 +158,11 @@ def test_unequal_repeats_and_pairs_at_the_bound_are_found(make):
     sets = [set(s.shingles(t.encode(), 5).tolist()) for t in texts]
     near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert all(near(i, i + 1) for i in range(0, len(texts), 2))
-    got = {x["key"]: x["component"] for x in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
     # the whole prefixes find what the first elements don't
     one = s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)]), keys=1).collect()
-    assert {x["key"]: x["component"] for x in one} == got
+    assert {x["doc_id"]: x["component_id"] for x in one} == got
 
 
 def test_sketches_never_differ_by_more_than_their_sets():

@@ -65,15 +65,49 @@ def test_first_places_agrees_with_a_dictionary():
         assert first.tolist() == want
 
 
-def test_merged_order_is_that_of_one_transform():
-    rng = np.random.default_rng(4)
+def shards(seed=4, letters=3):
+    rng = np.random.default_rng(seed)
     lengths = np.full(40, 130)
-    blob = rng.integers(97, 100, lengths.sum()).astype(np.uint8)
+    blob = rng.integers(97, 97 + letters, lengths.sum()).astype(np.uint8)
+    blob[130 * 30 : 130 * 40] = blob[130 * 5 : 130 * 15]  # strings that stand in two shards
     s = bwt.Strings(blob, lengths)
+    cuts = [0, int(s.starts[9]), int(s.starts[20]), s.size]
+    return s, blob, [bwt.build(s, a, b, 100) for a, b in zip(cuts, cuts[1:])]
+
+
+def suffix_at(s, blob, place, n=100):
+    """The circle of the string at a place, from there, as bytes + 1 with 0 for padding."""
+    own = int(np.searchsorted(s.starts, place, side="right") - 1)
+    circle = np.concatenate([blob[own * 130 : own * 130 + 130].astype(int) + 1, np.zeros(10, int)])
+    return np.roll(circle, -(place - int(s.starts[own])))[:n].tolist()
+
+
+def test_merged_order_is_that_of_one_transform():
+    s, blob, orders = shards()
+    places, common = bwt.merged(s, orders, 100)
     whole = bwt.build(s, 0, s.size, 100)
-    cut = int(s.starts[20])
-    merged, new = bwt.merge(s, [bwt.build(s, 0, cut, 100), bwt.build(s, cut, s.size, 100)], 100)
-    assert (merged == whole).all() and new[0]
+    # equal up to the order of suffixes that share all of the depth
+    assert sorted(places.tolist()) == list(range(s.size)) and common[0] == 0
+    assert [suffix_at(s, blob, int(p)) for p in places] == [suffix_at(s, blob, int(p)) for p in whole]
+
+
+def test_prefix_lengths_follow_from_the_refinement():
+    s, blob, orders = shards(letters=2)
+    places, common = bwt.merged(s, orders, 100)
+    suffixes = [suffix_at(s, blob, int(p)) for p in places]
+    for x, y, c in zip(suffixes, suffixes[1:], common[1:].tolist()):
+        same = next((i for i in range(100) if x[i] != y[i]), 100)
+        assert c == same - same % 20
+    assert (common == 100).any() and len(set(common.tolist())) > 2
+
+
+def test_the_merge_uses_the_order_of_its_shards():
+    """Suffixes of a shard are not sorted again, so a shard out of order gives another result."""
+    s, _, orders = shards()
+    places, common = bwt.merged(s, orders, 100)
+    rng = np.random.default_rng(1)
+    mixed, other = bwt.merged(s, [rng.permutation(o) for o in orders], 100)
+    assert (mixed != places).any() and (other == 100).sum() != (common == 100).sum()
 
 
 def test_segments_of_equal_windows_have_equal_anchors():
@@ -136,6 +170,31 @@ def test_a_repeated_row_is_not_taken_from_itself(make):
     assert [r["n_removed"] for r in got] == [0, 0]
 
 
+def test_documents_are_told_apart_by_id_and_text(make):
+    """One id on two texts, equal texts without an id, one id and text in other rows."""
+    r = random.Random(8)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(3))
+    rows = [
+        (1, a, "en", "a"), (2, a, "en", "a"), (2, "short other text", "en", "a"), (2, c[:300] + b[:200], "en", "a"),
+        (3, b, "en", "a"), (3, b, "fr", "b"), (None, c, "en", "a"), (None, c, "en", "a"), (None, "x" + a, "en", "a"),
+        (None, None, "en", "a"), (4, None, None, None), (4, "", "de", "a"),
+    ]
+    got = sorted(tuple(x) for x in suffix.digests(make(rows)).collect() for x in [[(x[0] is None, x[0] or 0), *x[1:]]])
+    assert len(got) == len(rows)
+    # documents in order: by id, then by their texts' order, which changes nothing here
+    docs = {k: t for k, t in [((1, 0), a), ((2, 0), a), ((2, 1), c[:300] + b[:200]), ((2, 2), "short other text"), ((3, 0), b), ((9, 0), c), ((9, 1), "x" + a)]}
+    want = expected([(k, t.encode()) for k, t in docs.items()])
+    names = {t: k for k, t in docs.items()}
+    for (i, t, *_), key in [(x, names[x[1]] if x[0] != 2 or x[1] != a else (2, 0)) for x in rows if x[1]]:
+        if i == 1:
+            key = (1, 0)
+        assert ((i is None, i or 0), *want[key]) in got
+    assert all(x[2] <= x[1] for x in got)
+    assert sum(x[2] for x in got) == 600 + 200 + 200 + 300 + 300 + 600
+    none = hashlib.sha256(b"").hexdigest()
+    assert got.count(((False, 4), 0, 0, 0, none)) == 2 and ((True, 0), 0, 0, 0, none) in got
+
+
 def test_spans_merge_and_cut():
     a, b = suffix.merged_spans(np.array([5, 0, 10, 30]), np.array([10, 6, 12, 31]))
     assert a.tolist() == [0, 30] and b.tolist() == [12, 31]
