@@ -18,8 +18,8 @@ SEED = 42
 TILE = 1024
 #: A bucket of more fingerprints than this is dealt over tasks by population count.
 HOT_BUCKET = 4096
-#: Bits of a set's sketch, and rows that the order of prefixes is set by.
-WIDE = 512
+#: Fewest and most bits of a set's sketch, and rows that the order of prefixes is set by.
+NARROW, WIDE = 512, 4096
 SAMPLE = 8000
 
 
@@ -184,9 +184,11 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """WIDE bits of a set of hashes: each is the parity of those that fall on it, so two sketches
-    differ in at most as many bits as the sets have unshared elements."""
-    odd = np.bincount((own % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+    """A set of hashes as bits, as many as it has elements up to the next power of two, NARROW to
+    WIDE: each is the parity of those that fall on it. Two sketches, the longer one folded to the
+    other's length, differ in at most as many bits as the sets have unshared elements."""
+    bits = min(WIDE, max(NARROW, 1 << max(0, len(own) - 1).bit_length()))
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -238,7 +240,7 @@ def near_duplicates(
     where they share one of the `keys` first elements, which links almost all; then, by the whole
     prefixes, those that aren't of one component yet. Where texts meet, their sketches are compared
     in tiles; the bits that may differ follow from the sizes of the two sets, so no true pair is
-    lost. The sets of those that find a partner are fetched and pairs are checked exactly, but for
+    lost, and sketches grow with their sets, so that few others pass. The sets of those that find a partner are fetched and pairs are checked exactly, but for
     pairs that are linked by then. Equal sets are one class from the start. Texts without words are
     equal. A bucket of more than HOT_BUCKET is dealt over tasks as pairs of its parts; a task holds
     one bucket or pair, with sets only where sketches met."""
@@ -350,7 +352,9 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
             if group.num_rows < 2:
                 continue
             low = group["low"].to_numpy()
-            roots = partnered(_bits(group), group["n"].to_numpy(), group["part"].to_numpy(), similarity)
+            roots = partnered(
+                group["bits"].to_pylist(), group["n"].to_numpy(), group["part"].to_numpy(), similarity
+            )
             many = np.flatnonzero(np.bincount(roots, minlength=len(roots))[roots] > 1)
             if not len(many):
                 continue
@@ -389,7 +393,7 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
         for group in sorted_groups(batches, "bucket"):
             low = group["low"].to_numpy()
             roots = checked(
-                _bits(group),
+                group["bits"].to_pylist(),
                 group["part"].to_numpy(),
                 [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()],
                 similarity,
@@ -404,57 +408,104 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
     )
 
 
-def _bits(group: pa.Table) -> np.ndarray:
-    joined = b"".join(group["bits"].to_pylist())
-    return np.frombuffer(joined, np.uint64).reshape(group.num_rows, WIDE // 64)
+def _runs(bits: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """Runs of sketches of one length: where each begins, and its rows."""
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    starts = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1]])).tolist() if len(bits) else []
+    return [
+        (a, np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1))
+        for a, b in zip(starts, [*starts[1:], len(bits)])
+    ]
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
 
 
 def _may_match(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Which sets of sizes n and m can be similar enough, by their sketches and sizes."""
-    apart = sum(np.bitwise_count(bits[..., k] ^ other[..., k]).astype(np.int16) for k in range(WIDE // 64))
+    apart = sum(np.bitwise_count(bits[..., k] ^ other[..., k]).astype(np.int16) for k in range(bits.shape[-1]))
     most = (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
     return (apart <= most) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
 
 
-def partnered(bits: np.ndarray, n: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
+def partnered(bits: list[bytes], n: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
     """Roots (indices) of the sets of a bucket, linked where two of different parts may be similar
     enough. They are compared in tiles in the order of their sizes; tile pairs whose sizes are too
     far apart are skipped."""
     order = np.argsort(n, kind="stable")
-    bits, n, part = bits[order], n[order].astype(np.int64), part[order]
+    n, part = n[order].astype(np.int64), part[order]
+    runs = _runs([bits[k] for k in order.tolist()])
     labels = np.arange(len(n))
     tile = TILE // 4
-    for i in range(0, len(n), tile):
-        a = slice(i, i + tile)
-        for j in range(i, len(n), tile):
-            b = slice(j, j + tile)
-            if n[a][-1] < similarity * n[j] - 1e-6:
+    for at, (i0, rows) in enumerate(runs):
+        for j0, wider in runs[at:]:
+            if n[i0 + len(rows) - 1] < similarity * n[j0] - 1e-6:
                 break
-            near = _may_match(bits[a, None], n[a, None], bits[None, b], n[None, b], similarity)
-            near &= part[a, None] != part[None, b]
-            p, q = np.nonzero(near)
-            merge_labels(labels, p + i, q + j)
+            other = _folded(wider, rows.shape[1])
+            for i in range(0, len(rows), tile):
+                a = slice(i0 + i, i0 + min(i + tile, len(rows)))
+                for j in range(i if i0 == j0 else 0, len(other), tile):
+                    b = slice(j0 + j, j0 + min(j + tile, len(other)))
+                    if n[a][-1] < similarity * n[b][0] - 1e-6:
+                        break
+                    near = _may_match(
+                        rows[i : i + tile, None], n[a, None], other[None, j : j + tile], n[None, b], similarity
+                    )
+                    near &= part[a, None] != part[None, b]
+                    p, q = np.nonzero(near)
+                    merge_labels(labels, p + a.start, q + b.start)
     roots = np.empty(len(n), np.int64)
     roots[order] = order[labels]
     return roots
 
 
-def checked(bits: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the other sorted sets has in common with one."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others) if len(others) else np.empty(0, np.uint64)
+    if not len(own) or not len(every):
+        return np.zeros(len(others), np.int64)
+    hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    total = np.concatenate([[0], np.cumsum(hit)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def checked(bits: list[bytes], part: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Roots (indices) of classes: pairs of different parts whose sets are similar enough. Sets of
     one part that such a pair reaches are of its class."""
-    n = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    n, part = sizes[order], part[order]
+    sets = [sets[k] for k in order.tolist()]
+    runs = _runs([bits[k] for k in order.tolist()])
     _, first, at = np.unique(part, return_index=True, return_inverse=True)
     labels = first[at]
-    for i in range(len(sets) - 1):
-        near = _may_match(bits[i + 1 :], n[i + 1 :], bits[i], n[i], similarity)
-        near &= labels[i + 1 :] != labels[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if labels[i] == labels[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (n[i] + n[j] - both):
-                merge_labels(labels, np.array([i]), np.array([j]))
-    return labels
+    for k, (i0, rows) in enumerate(runs):
+        others = [(j0, _folded(wider, rows.shape[1])) for j0, wider in runs[k:]]
+        for i in range(i0, i0 + len(rows)):
+            for j0, other in others:
+                start = max(i + 1, j0)
+                if start >= len(n) or n[i] < similarity * n[start] - 1e-6:
+                    break
+                rest = slice(start, j0 + len(other))
+                near = _may_match(other[start - j0 :], n[rest], rows[i - i0], n[i], similarity)
+                near &= labels[rest] != labels[i]
+                found = np.flatnonzero(near) + start
+                for c in range(0, len(found), 64):
+                    some = found[c : c + 64]
+                    some = some[labels[some] != labels[i]]
+                    both = shared(sets[i], [sets[j] for j in some.tolist()])
+                    true = some[both >= similarity * (n[i] + n[some] - both)]
+                    merge_labels(labels, np.full(len(true), i), true)
+    # labels are minima of positions in the order of sizes
+    roots = np.empty(len(n), np.int64)
+    roots[order] = order[labels]
+    return roots
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

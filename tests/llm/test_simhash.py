@@ -168,7 +168,36 @@ def test_unequal_repeats_and_pairs_at_the_bound_are_found(make):
 def test_sketches_never_differ_by_more_than_their_sets():
     rng = np.random.default_rng(4)
     for _ in range(200):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(0, 900)), dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 30, dtype=np.uint64)]))
-        x, y = (np.frombuffer(s.sketch(v), np.uint64) for v in (a, b))
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(0, 9000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, 30, dtype=np.uint64)]))
+        (_, x), (_, y) = (s._runs([s.sketch(v)])[0] for v in (a, b))
+        words = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(s._folded(x, words) ^ s._folded(y, words)).sum()
+        assert int(apart) <= len(np.setxor1d(a, b))
+
+
+def test_shared_counts_elements():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 50, int(rng.integers(0, 40)))).astype(np.uint64) for _ in range(30)]
+    for own in sets:
+        assert s.shared(own, sets).tolist() == [len(np.intersect1d(own, x)) for x in sets]
+    assert s.shared(sets[0], []).tolist() == []
+
+
+def test_long_texts_of_all_sizes_agree_with_brute_force(make, monkeypatch):
+    """Sets of 100 to 9000 elements, some of which share passages without being near copies."""
+    monkeypatch.setattr(s, "TILE", 16)
+    r = random.Random(40)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(300)]
+    texts = []
+    for n in (100, 450, 600, 1000, 1200, 2500, 9000):
+        base = [word() for _ in range(n)]
+        for share in (0.0, 0.02, 0.08, 0.15, 0.5):
+            cut = int(len(base) * share)
+            texts.append(" ".join(base[cut:] + [word() for _ in range(cut)]))
+        texts.append(" ".join([*passage, *[word() for _ in range(n)]]))
+    sets = [set(s.shingles(t.encode(), 5).tolist()) for t in texts]
+    want = components(texts, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(want)
