@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Groups above 1 / (shards * HEAVY) of all bytes are placed one by one; there are at most
-#: shards * HEAVY of them, so the driver may hold their list.
-HEAVY = 1000
+#: Points next to a cut that may change sides, so that both get the bytes meant for them.
+NEAR = 200
 #: Dimensions of a point, each an integer of 0 to 2**31 - 1.
 DIMS = ("d_size", "d_source", "d_lang", "d_id")
 _BITS = 31
@@ -29,19 +29,19 @@ def shard_by_bytes(
 ) -> DataFrame:
     """Deals documents to `shards` shards of near equal bytes by a k-d tree.
 
-    Equal texts are one point and stay together, except where one text alone holds more than a
-    shard's share, which is then dealt over shards by document. The tree splits each node along its widest dimension
-    (extent relative to the whole extent) at the weighted quantile that gives both sides the bytes
-    of their shards, until a node is one shard; quantiles come from histograms, refined in passes,
-    that are summed on the executors. Heavy points are placed first, largest into the emptiest
-    shard, and count as bytes that their leaf already has.
+    Equal texts are one point and always stay together. The tree splits each node along its widest
+    dimension (extent relative to the whole extent) at the weighted quantile that gives both sides
+    the bytes of their shards, until a node is one shard; quantiles come from histograms, refined in
+    passes, that are summed on the executors. What the point at a cut is too large by is made up for
+    by at most NEAR points next to the cut, largest first, which change sides. A group of equal texts that
+    holds more than a shard's share has a shard to itself; the other shards share the rest.
 
     Returns id, size (UTF-8 bytes of the text + 1), text_crc32, law 'bytes', shard, slot (gapless
     from 0 in each shard, by id), grown_shard (null). Null text: size 1, crc 0, one group with the
-    empty text. Null ids, sources and langs are points at 0; repeated rows are dealt like others. An empty table gives no
-    rows. Other columns are ignored."""
+    empty text. Null ids, sources and langs are points at 0; rows of one id are dealt by their
+    texts, each row once. An empty table gives no rows. Other columns are ignored."""
     spark = df.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     unit = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))).bitwiseAND(2**31 - 1)
     docs = materialize(
         df.select(
@@ -56,91 +56,57 @@ def shard_by_bytes(
     )
     total = docs.agg(F.sum("size"), F.max("id"), F.min("id"), F.count("*")).first()
     if not total[3]:
-        return _result(spark, docs.withColumn("shard", F.lit(0)), id_col, 0)
-    low_id, span = total[2] or 0, max(1, (total[1] or 0) - (total[2] or 0))
+        return _result(docs.withColumn("shard", F.lit(0)), id_col, 0)
     key = ["group_hash", "size"]
-    points = docs.groupBy(*key).agg(
-        F.sum("size").alias("weight"),
-        F.min("d_source").alias("d_source"),
-        F.min("d_lang").alias("d_lang"),
-        F.min("id").alias("low_id"),
-    )
-    points = materialize(
-        points.select(
+    points = materialize(_points(docs, key, total[2] or 0, total[1] or 0), "points")
+    alone = own_shards(points, shards, total[0])
+    left = list(range(len(alone), shards))
+    light = points
+    if alone:
+        named = F.array(*(F.lit(h) for h, _ in alone))
+        light = points.filter(~F.array_contains(named, F.col("group_hash")))
+    shard = _walk(_fit(light, left))
+    for n, (h, _) in enumerate(alone):
+        shard = F.when(F.col("group_hash") == h, n).otherwise(shard)
+    placed = points.select(*key, shard.alias("shard"))
+    return _result(docs.join(placed, key), id_col, total[3])
+
+
+def _points(docs: DataFrame, key: list[str], low: int, high: int) -> DataFrame:
+    """A point per group of equal texts, with its weight in bytes."""
+    at = F.coalesce("low_id", F.lit(low)) - low
+    return (
+        docs.groupBy(*key)
+        .agg(
+            F.sum("size").alias("weight"),
+            F.min("d_source").alias("d_source"),
+            F.min("d_lang").alias("d_lang"),
+            F.min("id").alias("low_id"),
+        )
+        .select(
             *key,
             "weight",
             "d_source",
             "d_lang",
-            F.least(F.lit(2**31 - 1), F.log2(F.col("size").cast("double")) * 2**25)
-            .cast("long")
-            .alias("d_size"),
-            ((F.coalesce("low_id", F.lit(low_id)) - low_id) / F.lit(span) * (2**31 - 1))
-            .cast("long")
-            .alias("d_id"),
+            F.least(F.lit(2**31 - 1), F.log2(F.col("size").cast("double")) * 2**25).cast("long").alias("d_size"),
+            (at / F.lit(max(1, high - low)) * (2**31 - 1)).cast("long").alias("d_id"),
             # ties at a cut fall by this, so a cut can pass through equal coordinates
             F.col("group_hash").bitwiseAND(2**31 - 1).alias("d_tie"),
-        ),
-        "points",
-    )
-    share = total[0] / shards
-    least = total[0] / (shards * HEAVY)
-    loads, heavy, split = [0.0] * shards, [], []
-    for row in points.filter(F.col("weight") > least).select(*key, "weight").orderBy(
-        F.desc("weight"), *key
-    ).collect():
-        if row["weight"] > share:
-            split.append(row)
-            continue
-        shard = min(range(shards), key=lambda i: (loads[i], i))
-        loads[shard] += row["weight"]
-        heavy.append((row["group_hash"], row["size"], shard))
-    heavy_schema = "group_hash long, size long, fixed int"
-    light_docs, dealt = points, docs
-    if heavy or split:
-        known = spark.createDataFrame(
-            heavy + [(r["group_hash"], r["size"], -1) for r in split], heavy_schema
-        )
-        light_docs = points.join(F.broadcast(known), key, "left").filter("fixed is null")
-        if split:
-            # a text beyond a shard's share: its documents are points of their own
-            ones = (
-                docs.join(F.broadcast(known.filter("fixed < 0")), key)
-                .select(
-                    *key,
-                    F.col("size").alias("weight"),
-                    "d_source",
-                    "d_lang",
-                    F.lit(0).cast("long").alias("d_size"),
-                    ((F.coalesce("id", F.lit(low_id)) - low_id) / F.lit(span) * (2**31 - 1))
-                    .cast("long")
-                    .alias("d_id"),
-                    F.xxhash64("id").bitwiseAND(2**31 - 1).alias("d_tie"),
-                    F.lit(-1).alias("fixed"),
-                    "id",
-                )
-            )
-            light_docs = light_docs.withColumn("id", F.lit(None).cast("long")).unionByName(ones)
-    # the shards still to be filled, in an order that keeps a leaf's room known on the driver
-    room = [max(0.0, share - x) for x in loads]
-    tree = _fit(light_docs, room)
-    placed = light_docs.withColumn("shard", _walk(tree))
-    by_group = placed.filter("fixed is null") if (heavy or split) else placed
-    by_group = by_group.select(*key, "shard")
-    if heavy:
-        by_group = by_group.unionByName(
-            spark.createDataFrame(heavy, heavy_schema).withColumnRenamed("fixed", "shard")
         )
-    out = docs.join(by_group, key, "left" if split else "inner")
-    if split:
-        own = placed.filter("fixed = -1").select(F.col("id").alias("own_id"), F.col("shard").alias("own"))
-        # documents without an id are dealt by their size
-        rest = F.pmod(F.xxhash64("size"), F.lit(shards)).cast("int")
-        out = (
-            out.join(own.distinct(), F.col("id") == F.col("own_id"), "left")
-            .withColumn("shard", F.coalesce("shard", "own", rest))
-            .drop("own_id", "own")
-        )
-    return _result(spark, out, id_col, total[3])
+    )
+
+
+def own_shards(points: DataFrame, shards: int, total: int) -> list[tuple[int, int]]:
+    """(hash, weight) of the groups that hold more than an even share of what the groups before them
+    leave, largest first: at most one less than there are shards."""
+    rows = points.orderBy(F.desc("weight"), "group_hash").select("group_hash", "weight").limit(shards - 1)
+    alone: list[tuple[int, int]] = []
+    for row in rows.collect():  # fewer rows than shards
+        if row["weight"] * (shards - len(alone)) <= total:
+            break
+        alone.append((row["group_hash"], row["weight"]))
+        total -= row["weight"]
+    return alone
 
 
 @dataclass(eq=False)
@@ -148,6 +114,8 @@ class _Node:
     shards: list[int]
     dim: str = ""
     cut: int = 0
+    #: points that the cut leaves on one side and that belong to the other
+    moved: tuple[int, ...] = ()
     left: _Node | None = None
     right: _Node | None = None
 
@@ -161,15 +129,16 @@ def _walk(node: _Node, number: dict | None = None) -> Column:
     """Takes a point down the tree: to its shard, or with `number` to that of an open leaf, else -1."""
     if node.left is None:
         return F.lit(node.shards[0] if number is None else number.get(node, -1))
-    return F.when(_position(node.dim) < node.cut, _walk(node.left, number)).otherwise(
-        _walk(node.right, number)
-    )
+    low = _position(node.dim) < node.cut
+    if node.moved:
+        low = low != F.array_contains(F.array(*(F.lit(h) for h in node.moved)), F.col("group_hash"))
+    return F.when(low, _walk(node.left, number)).otherwise(_walk(node.right, number))
 
 
-def _fit(points: DataFrame, room: list[float]) -> _Node:
+def _fit(points: DataFrame, shards: list[int]) -> _Node:
     """Grows the tree a level at a time: one pass finds the extents of all open leaves, some more
-    their cuts. room: bytes that each shard still takes."""
-    root = _Node(list(range(len(room))))
+    their cuts, one the points next to these."""
+    root = _Node(shards)
     level, whole = [root], None
     while level := [x for x in level if len(x.shards) > 1]:
         at = points.withColumn("node", _walk(root, {x: n for n, x in enumerate(level)}))
@@ -187,21 +156,59 @@ def _fit(points: DataFrame, room: list[float]) -> _Node:
             x.left, x.right, x.dim = _Node(x.shards[:mid]), _Node(x.shards[mid:]), DIMS[0]
             if n in stats:
                 x.dim = max(DIMS, key=lambda d: wide(stats[n], d) / whole[d])
-                all_ = sum(room[s] for s in x.shards)
-                part = sum(room[s] for s in x.left.shards) / all_ if all_ else 0.5
-                need[n] = part * stats[n]["w"]
-        for n, cut in _cuts(at, {n: level[n].dim for n in need}, need).items():
-            level[n].cut = cut
+                need[n] = mid / len(x.shards) * stats[n]["w"]
+        dims = {n: level[n].dim for n in need}
+        cuts, short = _cuts(at, dims, need)
+        for n, moved in _evened(at, dims, cuts, short).items():
+            level[n].cut, level[n].moved = cuts[n], moved
         level = [y for x in level for y in (x.left, x.right)]
     return root
 
 
-def _cuts(at: DataFrame, dims: dict[int, str], need: dict[int, float]) -> dict[int, int]:
-    """For each node, the position below which the needed weight lies, as near as a point allows.
-    Each pass sums at most 2**_STEP bins a node and goes on inside the bin that holds the cut."""
+def _evened(
+    at: DataFrame, dims: dict[int, str], cuts: dict[int, int], short: dict[int, float]
+) -> dict[int, tuple[int, ...]]:
+    """For each node, the points that change sides: of the NEAR ones next to the cut, on the side
+    that has too many bytes, the largest that still fit what is missing, one after another."""
+    out = dict.fromkeys(cuts, ())
+    sides = []
+    for n, cut in cuts.items():
+        if abs(short[n]) < 1:
+            continue
+        pos = _position(dims[n])
+        side = at.filter((F.col("node") == n) & ((pos >= cut) if short[n] > 0 else (pos < cut)))
+        near = side.orderBy(pos.asc() if short[n] > 0 else pos.desc(), "group_hash", "size").limit(NEAR)
+        sides.append(near.select("node", "group_hash", "weight"))
+    if not sides:
+        return out
+    rows: dict[int, list] = {}
+    for r in reduce(DataFrame.unionByName, sides).collect():  # at most NEAR rows a node
+        rows.setdefault(r["node"], []).append((r["weight"], r["group_hash"]))
+    for n, near in rows.items():
+        left, moved, rest = abs(short[n]), [], []
+        for weight, name in sorted(near, reverse=True):
+            if weight <= left:
+                moved.append(name)
+                left -= weight
+            else:
+                rest.append((weight, name))
+        # the least of the others, if it is too large by less than what is left
+        if rest and rest[-1][0] < 2 * left:
+            moved.append(rest[-1][1])
+        out[n] = tuple(moved)
+    return out
+
+
+def _cuts(
+    at: DataFrame, dims: dict[int, str], need: dict[int, float]
+) -> tuple[dict[int, int], dict[int, float]]:
+    """For each node, the position below which the needed weight lies, as near as a point allows, and
+    what is still short there (below zero: too much). Each pass sums at most 2**_STEP bins a node and
+    goes on inside the bin that holds the cut."""
     if not need:
-        return {}
+        return {}, {}
     width, bits, cut, prefix = 2 * _BITS, 0, {}, dict.fromkeys(need, 0)
+    need = dict(need)
     pos = F.coalesce(*(F.when(F.col("node") == n, _position(d)) for n, d in dims.items()))
     at = at.select("node", "weight", pos.alias("pos"))
     while prefix:
@@ -221,7 +228,9 @@ def _cuts(at: DataFrame, dims: dict[int, str], need: dict[int, float]) -> dict[i
             for b, w, k in sorted(bins[n]):
                 if need[n] < w:
                     if k == 1 or bits == width:  # one point: it goes to the side that is nearer
-                        cut[n] = b + (need[n] > w / 2) << width - bits
+                        low = need[n] > w / 2
+                        cut[n] = b + low << width - bits
+                        need[n] -= w if low else 0
                     break
                 need[n] -= w
             else:
@@ -230,10 +239,10 @@ def _cuts(at: DataFrame, dims: dict[int, str], need: dict[int, float]) -> dict[i
                 del prefix[n]
             else:
                 prefix[n] = b
-    return cut
+    return cut, need
 
 
-def _result(spark: SparkSession, docs: DataFrame, id_col: str, rows: int) -> DataFrame:
+def _result(docs: DataFrame, id_col: str, rows: int) -> DataFrame:
     """Adds slots: rank by id in a bucket of the shard, plus the rows of the buckets before it."""
     buckets = max(8, min(4096, rows // 20_000))
     at = materialize(
