@@ -12,19 +12,21 @@ _TAG = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset(
-    "script style title noscript template iframe object svg math textarea canvas audio video".split()
-)
-#: Elements that run on inside a block.
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Elements whose content is no text of the page. Everything else is for the labeller to judge.
+SKIPPED = frozenset("script style title textarea".split())
+#: Of these, the ones that end at the next tag if they are never closed.
+_SHORT = frozenset("title textarea".split())
+#: Elements that run on inside a block, formulas, drawings and media with their fallback text too.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter "
     "nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time "
-    "tt u var wbr".split()
+    "tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover "
+    "munderover mspace semantics annotation svg g path circle rect line polygon polyline ellipse use "
+    "defs desc text tspan symbol object embed canvas audio video track param".split()
 )
 VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
+    "area base br col embed frame hr img input link meta param source track wbr".split()
 )
 #: A start tag ends an open element of these, up to the nearest one of the second kind.
 _CLOSES = {
@@ -38,6 +40,9 @@ _CLOSES = {
 }
 
 
+_END = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in SKIPPED}
+
+
 class Block(NamedTuple):
     path: tuple[tuple[str, ...], ...]  # from the root: tag, then words of its class, id and role
     text: str
@@ -46,7 +51,8 @@ class Block(NamedTuple):
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order. Character references are decoded, white space is one space.
-    End tags that match nothing are ignored, unclosed elements end with what holds them."""
+    End tags that match nothing are ignored, unclosed elements end with what holds them; a script or
+    style that is never closed reaches to the end, as browsers have it."""
     stack: list[tuple[str, ...]] = []
     out: list[Block] = []
     parts: list[str] = []
@@ -77,8 +83,11 @@ def blocks(page: str) -> list[Block]:
         name, end = m[2].lower(), bool(m[1])
         if name in SKIPPED:
             if not end and not m[3].endswith("/>"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                close = _END[name].search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    at = page.find("<", at) if name in _SHORT and "<" in page[at:] else len(page)
             parts.append(" ")
             continue
         if name in INLINE:
@@ -108,6 +117,6 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or m[3].endswith("/>"):
             continue
         words = [w for n in _NAMES.findall(m[3]) for w in _WORDS.findall(" ".join(n).lower())] if len(m[3]) > 1 else []
-        stack.append((name, *words[:12]))
+        stack.append((name, *words))
     flush()
     return out

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks
 from .page_maker import Maker
 
-PATH, WORDS, PLAIN = 128, 24, 8
+PATH, WORDS, PLAIN = 128, 256, 14
 WIDTH = PATH + WORDS + PLAIN
-HIDDEN = 16
+HIDDEN = 20
 #: Invented pages that the labeller is trained on, and passes over them.
-PAGES, PASSES, GROUP = 2000, 10, 32
+PAGES, PASSES, GROUP = 4000, 8, 32
 
 
 @lru_cache(maxsize=1 << 16)
@@ -37,28 +37,43 @@ def _path_row(path: tuple) -> np.ndarray:
     return np.clip(row, -2, 2)
 
 
-@lru_cache(maxsize=1 << 16)
-def _word_hash(word: str) -> tuple[int, float]:
+@lru_cache(maxsize=1 << 17)
+def _word_hash(word: str) -> int:
     h = zlib.crc32(word.encode("utf-8", "replace"))
-    return h % WORDS, 1.0 if h >> 16 & 1 else -1.0
+    return h % WORDS * 2 + (h >> 16 & 1)
+
+
+_EDGE = str.maketrans(dict.fromkeys(".,;:!?()[]|\"'", " "))
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row per block: tag path, words (all, hashed), size and links."""
-    x = np.zeros((len(found), WIDTH), np.float32)
+    """A row per block: tag path, all its words (hashed, once each, by the root of their number), size,
+    links, and its share of the page's text with those of its parent and grandparent element."""
+    n = len(found)
+    x = np.zeros((n, WIDTH), np.float32)
+    if not n:
+        return x
+    size = np.array([len(b.text) for b in found], np.float32)
+    free = size - np.array([b.linked for b in found], np.float32)
+    shares = []
+    for up in (1, 2):
+        names: dict[tuple, int] = {}
+        at = np.array([names.setdefault(b.path[: len(b.path) - up] if len(b.path) > up else (), len(names)) for b in found])
+        held, chars, blocks_ = (np.bincount(at, w)[at] for w in (free, size, np.ones(n)))
+        shares += [held / max(1.0, float(free.sum())), held / chars, np.log1p(held / blocks_) / 6]
     for i, b in enumerate(found):
         x[i, :PATH] = _path_row(b.path)
-        words = b.text.lower().split()
-        own = x[i, PATH : PATH + WORDS]
-        if len(words) <= 12:  # longer blocks' words say little but their number
-            for w in words:
-                k, sign = _word_hash(w)
-                own[k] += sign * 0.3
-        n = len(b.text)
-        x[i, PATH + WORDS :] = (
-            np.log1p(n) / 6, np.log1p(len(words)) / 5, b.linked / n, n > 80,
-            b.text[-1] in ".!?", i / len(found), "©" in b.text, 1.0,
+        words = b.text.lower().translate(_EDGE).split()
+        if words:
+            distinct = dict.fromkeys(words)
+            codes = np.fromiter(map(_word_hash, distinct), np.int64, len(distinct))
+            signs = (codes & 1) * 2.0 - 1.0
+            x[i, PATH : PATH + WORDS] = np.bincount(codes >> 1, signs, WORDS) / np.sqrt(len(distinct))
+        x[i, PATH + WORDS : PATH + WORDS + 8] = (
+            np.log1p(size[i]) / 6, np.log1p(len(words)) / 5, b.linked / size[i], size[i] > 80,
+            b.text[-1] in ".!?", i / n, "©" in b.text, 1.0,
         )
+    x[:, PATH + WORDS + 8 :] = np.stack(shares, axis=1)
     return x
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from attesta.llm.blocks import blocks
-from attesta.llm.html_text import Labeller, features, main_text, trained
+from attesta.llm.html_text import WIDTH, Labeller, features, main_text, trained
 from attesta.llm.page_maker import Maker
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -59,7 +59,7 @@ def test_labeller_on_new_invented_pages(model):
 def test_gradients():
     model, rng = Labeller(1), np.random.default_rng(2)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    x = rng.standard_normal((5, 3, 160))
+    x = rng.standard_normal((5, 3, WIDTH))
     live = np.array([[1, 1, 1], [1, 1, 1], [1, 0, 1], [1, 0, 1], [1, 0, 0]], bool)
     y = (rng.random((5, 3)) > 0.5).astype(float) * live
     _, g = model.gradients(x, live, y)
@@ -101,3 +101,60 @@ def test_real_pages(spark, model):
         want[r["page_id"]] = "\n".join(own)
     got = {r["page_id"]: r["text"] for r in main_text(df, model=model).collect()}
     assert got == want
+
+#: Pages written by hand, and how the blocks of their main text begin.
+BY_HAND = {
+    'german': (
+        """<html><body><div class="kopfzeile"><a href="/">Tageblatt</a></div><div class="menue"><ul><li><a href=/a>Start</a><li><a href=/b>Politik</a><li><a href=/c>Sport</a></ul></div><div class="inhalt"><h1>Der neue Bahnhof wird später fertig</h1><p>Der Umbau des Bahnhofs dauert nach Angaben der Stadt noch mindestens zwei Jahre länger als bisher geplant.</p><p>Die Kosten steigen damit auf rund vierzig Millionen Euro, wie der Rat am Dienstag mitteilte.</p><p>Kritiker halten das Vorhaben schon lange für zu teuer.</p></div><div class="kommentare"><h3>Kommentare</h3><p>Anna schrieb am 3. Mai</p><p>Das war doch abzusehen, so wie dort geplant wird.</p></div><div class="fusszeile">© Tageblatt. Alle Rechte vorbehalten. Impressum</div></body></html>""",
+        ['Der neue Bahnhof', 'Der Umbau', 'Die Kosten', 'Kritiker'],
+    ),
+    'table': (
+        """<table width=800><tr><td colspan=3><b>The Daily Herald</b></td></tr><tr><td><a href=/>Home</a><br><a href=/n>News</a><br><a href=/s>Sports</a></td><td><h1>River levels fall after dry spring</h1><p>Water levels in the river have fallen to their lowest point in twenty years, the agency said on Monday, after a spring with little rain.</p><p>Farmers along the banks have been asked to reduce what they take for their fields until the end of the month.</p><p>Officials expect some relief in June.</p></td><td><h3>Most read</h3><ul><li><a href=/1>Mayor resigns</a></li><li><a href=/2>New bridge opens</a></li><li><a href=/3>Ten recipes for summer</a></li></ul></td></tr><tr><td colspan=3>Copyright 2020 The Daily Herald. All rights reserved.</td></tr></table>""",
+        ['River levels', 'Water levels', 'Farmers along', 'Officials expect'],
+    ),
+    'svg': (
+        """<body><nav><a href=/>Home</a> <a href=/x>Blog</a></nav><article><h1>How batteries age</h1><svg viewBox="0 0 1 1"><path d="M0"><p>Every battery loses capacity with time, whether it is used or not, and heat makes it worse.</p><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for small currents.</p></article><footer>&copy; Someone</footer>""",
+        ['How batteries', 'Every battery', 'The formula x=2 holds'],
+    ),
+    'aside': (
+        """<body><header><a href=/>Site</a></header><main><h2>A walk in the hills</h2><p>We set out early in the morning, when the valley was still covered in fog and the birds were quiet.</p><aside><p>The hills here rise to about nine hundred metres and are covered in beech.</p></aside><p>By noon we had reached the ridge and could see the sea.</p><aside><h3>Related articles</h3><ul><li><a href=/1>Walks by the sea</a></li><li><a href=/2>What to pack</a></li></ul></aside></main><div>We use cookies to improve your experience. Accept all</div></body>""",
+        ['A walk in', 'We set out', 'The hills here', 'By noon'],
+    ),
+    'french': (
+        """<div id=a1><div id=a2><a href=/>Accueil</a> | <a href=/b>Actualités</a> | <a href=/c>Contact</a></div><div id=a3><h1>La ville change ses bus</h1><p>Dès le mois de mars, la ville remplacera une partie de ses autobus par des véhicules électriques plus silencieux.</p><p>Le projet coûtera douze millions d'euros et sera financé pour moitié par la région.</p><ul><li>Vingt bus sur la ligne A</li><li>Dix bus sur la ligne B</li></ul></div><div id=a4><p>Publicité</p><p>Achetez maintenant votre billet à prix réduit</p></div><div id=a5>Mentions légales - Tous droits réservés</div></div>""",
+        ['La ville change', 'Dès le mois', 'Le projet', 'Vingt bus', 'Dix bus'],
+    ),
+    'comments': (
+        """<div class="post"><h1>Why I moved to the country</h1><p>Three years ago my partner and I left the city for a small house near the forest.</p><p>It was not an easy choice, and there are days when we miss the theatres and the late trains.</p></div><div class="share">Share this article <a href=#>Tweet</a></div><div class="comments"><h3>2 comments</h3><div class=c><b>Maria</b> says:<p>Thank you for writing this, I have thought about the same step for a long time and I still hesitate.</p></div><div class=c><b>Jo</b> says:<p>How do you get to work?</p></div></div><form><p>Leave a reply</p><textarea>Your text</textarea></form>""",
+        ['Why I moved', 'Three years ago', 'It was not'],
+    ),
+}
+
+
+def test_pages_written_by_hand(spark, model):
+    """Names in other languages or none, tables as layout, broken markup, asides that belong to the
+    text, formulas, adverts and comments."""
+    kept = right = wanted = 0
+    for name, (page, begins) in BY_HAND.items():
+        found = blocks(page)
+        score = model.label([features(found)])[0]
+        want = [any(b.text.startswith(x) for x in begins) for b in found]
+        assert sum(want) == len(begins), name
+        kept += int((score > 0.5).sum())
+        right += int(((score > 0.5) & np.array(want)).sum())
+        wanted += len(begins)
+    assert right / kept >= 0.95 and right / wanted >= 0.95
+
+
+def test_every_word_of_a_block_is_read():
+    long = " ".join(f"word{i}" for i in range(400))
+    one, other = (features(blocks(f"<p>{long}{end}</p>")) for end in (" cookies", " battery"))
+    assert (one != other).any()
+    named = [features(blocks(f'<div class="{" ".join("abcdefghijklmnopqrst")} {x}"><p>text</p></div>')) for x in ("menu", "story")]
+    assert (named[0] != named[1]).any()
+
+
+def test_elements_that_are_never_closed():
+    assert [b.text for b in blocks("<svg><p>one<p>two<math><mi>x</mi><p>three")] == ["one", "twox", "three"]
+    assert [b.text for b in blocks("<title>lost<p>kept</p>")] == ["kept"]
+    assert [b.text for b in blocks("<p>a</p><noscript><p>b</p></noscript><object>c</object><video>d")] == ["a", "b", "cd"]
