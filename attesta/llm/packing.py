@@ -18,8 +18,8 @@ CAPACITY = 2048
 END = 1
 #: Windows that are filled together; a task holds the tokens of so many.
 WINDOWS = 256
-#: Distinct pre-tokens that a worker remembers.
-PIECES = 1_000_000
+#: Distinct words, with what stands next to them, that a worker remembers; longer ones are not.
+PIECES, LONG = 1_000_000, 64
 
 
 def default_path() -> str:
@@ -35,44 +35,78 @@ _PIECES = re.compile(
 )
 
 
+#: White space that parts words for str.split() and not for the file's pattern.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
 class WordTokenizer:
     """Ids of a tokenizers file that lower-cases and splits text into words, single digits and runs
-    of other characters. Each distinct pre-token of Latin-1 text is encoded once, by the library;
-    other text, or text with special tokens, as a whole."""
+    of other characters, and drops the white space between them. Of Latin-1 text, each distinct run
+    between white space is encoded once, by the library; other text, or text with special tokens, as
+    a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._hf = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        names = self._hf.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(names.values()) + 1, bool)
+        self._ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _words(self, text: str) -> list[str] | None:
         if "<|" in text:
             return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-        return _PIECES.findall(text.lower())
+        text = text.lower()
+        return None if _ODD.search(text) else text.split()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._hf.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded as one text: each ends with the token that ends a word."""
+        ids = np.array(self._hf.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(pieces) or (len(ids) and ends[-1] != len(ids)):
+            return self._encode(pieces)
+        data, at = ids.tobytes(), (ends * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *at[:-1]], at)]
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Adds words by their pre-tokens, and returns all that were added."""
+        known = self._known
+        split = {w: _PIECES.findall(w) for w in new if not w.isalpha()}
+        unknown = [w for w in new if w not in split]
+        unknown += {p for own in split.values() for p in own}.difference(known, unknown)
+        for at in range(0, len(unknown), 8192):
+            part = unknown[at : at + 8192]
+            known.update(zip(part, self._encode_pieces(part)))
+        get = known.__getitem__
+        known.update([(w, b"".join(map(get, own))) for w, own in split.items() if w not in known])
+        return [*split, *unknown]
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, END appended."""
         known = self._known
         if len(known) > PIECES:
             known.clear()
-        pieces = [self._pieces(t) for t in texts]
-        new = list({p for own in pieces if own for p in own if p not in known})
-        known.update(zip(new, self._encode(new)))
+        words = [self._words(t) for t in texts]
+        added = self._learn(set().union(*(own for own in words if own)).difference(known))
         end = np.array([END], "<u4").tobytes()
         get = known.__getitem__
-        return [
+        found = [
             np.frombuffer((self._encode([t])[0] if own is None else b"".join(map(get, own))) + end, "<u4")
-            for t, own in zip(texts, pieces)
+            for t, own in zip(texts, words)
         ]
+        for w in added:
+            if len(w) > LONG:
+                known.pop(w, None)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -124,29 +158,38 @@ def differencing(lengths: list[int], windows: int) -> np.ndarray:
     return at
 
 
+def balanced(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Windows as lists of items, none above the capacity: differencing gives near-equal windows, and
+    their number rises whenever one exceeds it, by what its excess over the mean calls for."""
+    if max(lengths, default=0) > capacity:
+        raise ValueError("an item is longer than a window")
+    total = sum(lengths)
+    windows = -(-total // capacity)
+    while True:
+        at = differencing(lengths, windows)
+        sums = np.bincount(at, weights=lengths, minlength=windows) if len(lengths) else np.zeros(0)
+        top = int(sums.max(initial=0))
+        if top <= capacity:
+            break
+        room = capacity - (top - total / windows)
+        windows = min(len(lengths), max(windows + 1, int(total / room) if room > 0 else 0))
+    out: list[list[int]] = [[] for _ in range(windows)]
+    for i, w in enumerate(at.tolist()):
+        out[w].append(i)
+    return [w for w in out if w]
+
+
 def pack(
     lengths: list[int], capacity: int = CAPACITY, cut: bool = True
 ) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (item, start, length), none above the capacity.
 
-    cut=False keeps items whole (none may be longer than a window): the window count rises until
-    differencing stays within the capacity. cut=True: every window but the last is full, what
-    differencing puts above the capacity of one is cut off and fills others."""
-    total = sum(lengths)
+    cut=False keeps items whole, in balanced() windows; none may be longer than a window. cut=True:
+    of an item beyond the capacity full windows come off; balanced() takes the rest. The windows by
+    which their number rose are then dealt, cut where need be, to the room that is left in the
+    others, so that all but the last are full."""
     if not cut:
-        if max(lengths, default=0) > capacity:
-            raise ValueError("an item is longer than a window")
-        windows = -(-total // capacity)
-        while True:
-            at = differencing(lengths, windows)
-            sums = np.bincount(at, weights=lengths, minlength=windows) if lengths else []
-            if not len(sums) or max(sums) <= capacity:
-                break
-            windows += 1
-        out = [[] for _ in range(windows)]
-        for i, w in enumerate(at.tolist()):
-            out[w].append((i, 0, lengths[i]))
-        return [w for w in out if w]
+        return [[(i, 0, lengths[i]) for i in w] for w in balanced(lengths, capacity)]
     out = []
     rest = []  # pieces (item, start, length) below the capacity
     for i, n in enumerate(lengths):
@@ -154,41 +197,20 @@ def pack(
         out += [[(i, k * capacity, capacity)] for k in range(whole)]
         if n % capacity:
             rest.append((i, whole * capacity, n % capacity))
-    windows, tail = divmod(sum(p[2] for p in rest), capacity)
-    last = []
-    while tail:  # the last window's tokens come off the end
-        i, start, n = rest.pop()
-        take = min(n, tail)
-        last.append((i, start + n - take, take))
-        if n > take:
-            rest.append((i, start, n - take))
-        tail -= take
-    if windows:
-        filled: list[list] = [[] for _ in range(windows)]
-        at = differencing([p[2] for p in rest], windows)
-        for p, w in zip(rest, at.tolist()):
-            filled[w].append(p)
-        over = []
-        for w in filled:
-            excess = sum(p[2] for p in w) - capacity
-            while excess > 0:
-                i, start, n = w.pop()
-                take = min(n, excess)
-                over.append((i, start + n - take, take))
-                if n > take:
-                    w.append((i, start, n - take))
-                excess -= take
-        for w in filled:
-            room = capacity - sum(p[2] for p in w)
-            while room:
-                i, start, n = over.pop()
-                take = min(n, room)
-                w.append((i, start, take))
-                if n > take:
-                    over.append((i, start + take, n - take))
-                room -= take
-        out += filled
-    return out + ([last[::-1]] if last else [])
+    filled = [[rest[k] for k in w] for w in balanced([p[2] for p in rest], capacity)]
+    filled.sort(key=lambda w: -sum(p[2] for p in w))
+    full = sum(p[2] for p in rest) // capacity
+    over = [p for w in filled[full:] for p in w]
+    for w in filled[:full]:
+        room = capacity - sum(p[2] for p in w)
+        while room:
+            i, start, n = over.pop()
+            take = min(n, room)
+            w.append((i, start, take))
+            if n > take:
+                over.append((i, start + take, n - take))
+            room -= take
+    return out + filled[:full] + ([over] if over else [])
 
 
 def powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -219,8 +241,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece of a document in a sequence, with the piece's ids if asked for.
 
-    Each task packs the documents of its partition, WINDOWS full windows at a time; what is left
-    at a partition's end is cut into sequences of a power of two each. No shuffle. sequence_id
+    Each task packs the documents of its partition, WINDOWS full windows at a time (see pack()); what
+    is left at a partition's end is cut into sequences of a power of two each. No shuffle. sequence_id
     holds the partition's number above bit 40, so a task that runs again gives the same rows.
 
     Null text: the end id alone. Null ids pass as they are, repeated rows are packed again; an empty table

@@ -34,6 +34,34 @@ def test_window_count_rises_when_items_stay_whole():
     assert len(packing.pack([60, 60, 60], 100, cut=False)) == 3
 
 
+def test_windows_that_are_cut_begin_as_whole_items():
+    """Only items beyond a window and those of the windows that were added are cut."""
+    r = random.Random(8)
+    lengths = [r.randint(1, 900) for _ in range(400)]
+    windows = packing.pack(lengths, 1000)
+    least = -(-sum(lengths) // 1000)
+    rose = len(packing.balanced(lengths, 1000))
+    assert rose > least
+    pieces = [p for w in windows for p in w]
+    cut = {i for i, start, n in pieces if n < lengths[i]}
+    added = sorted((sum(lengths[i] for i in w), len(w)) for w in packing.balanced(lengths, 1000))[: rose - least + 1]
+    assert len(cut) <= sum(n for _, n in added)
+
+
+def test_long_words_are_not_remembered():
+    tokenizer = packing.WordTokenizer(PATH)
+    texts = ["abc " + "x" * 5000 + " " + "y," * 300, "x" * 5000 + " abc"]
+    for t, m in zip(texts * 2, tokenizer.encode_all(texts) + tokenizer.encode_all(texts)):
+        assert m.tolist() == library().encode(t, add_special_tokens=False).ids + [1]
+    assert max(map(len, tokenizer._known)) <= packing.LONG
+
+
+def test_very_long_texts(make):
+    docs = [(1, "word and word, " * 60_000), (2, "x" * 300_000), (3, "é1 " * 50_000 + "中"), (4, None)]
+    sizes = check(packing.pack_documents(make([(i, t, "en", "a") for i, t in docs])).collect(), docs)
+    assert sum(2048 - n for n in sizes if n & (n - 1)) == 0
+
+
 def test_cut_windows_are_full():
     r = random.Random(3)
     for _ in range(200):
