@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -248,6 +249,7 @@ def near_duplicates(
         row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"),
         order_id(id_col).alias("id"),
     )
+    unsettled = partial(_unsettled, similarity=similarity)
     common, counts = _common(rows, words)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,21 +279,26 @@ def near_duplicates(
         .select("same", "low.id", F.col("low.key").alias("low"), "low.n", "low.bits", "low.first"),
         "classes",
     )
-    own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"))
-    near = own.select("low", "n", "bits", "part", F.explode(F.slice("first", 1, keys)).alias("bucket"))
+    own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"), F.lit(2**31 - 1).alias("most"))
+    near = own.select("low", "n", "most", "bits", "part", F.explode(F.slice("first", 1, keys)).alias("bucket"))
     edges = materialize(_verified(rows, near, words, similarity), "edges")
     parts = materialize(connected_components(edges), "parts")
 
     parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
-        "low", F.coalesce("component", "low").alias("part"), "first"
+        "low", F.coalesce("component", "low").alias("part"), "first", "n"
     )
-    spread = parted.select(F.explode("first").alias("bucket"), "low", "part")
+    spread = parted.select("low", "part", "n", F.posexplode("first").alias("at", "bucket"))
+    # where a pair meets first, what follows in both sets must hold all that it shares: this bounds
+    # the size of a partner that shares nothing in front
+    reach = (F.col("n") - F.col("at")) * F.lit((1 + similarity) / similarity) - F.col("n")
+    spread = spread.select("bucket", "low", "part", "n", F.floor(reach + 1e-6).cast("int").alias("most"))
     open_ = materialize(
-        spread.repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_unsettled, "bucket long, low long, part long"),
+        spread.filter(F.col("most") >= F.col("n") * similarity - 1e-6)
+        .repartition("bucket").sortWithinPartitions("bucket", "n")
+        .mapInArrow(unsettled, "bucket long, low long, part long, n int, most int"),
         "open",
     )
-    near = open_.join(classes.select("low", "n", "bits"), "low").select("low", "n", "bits", "part", "bucket")
+    near = open_.join(classes.select("low", "bits"), "low").select("low", "n", "most", "bits", "part", "bucket")
     parts = connected_components(edges.unionByName(_verified(rows, near, words, similarity)))
     parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
         "same", "id", "low", F.coalesce("component", "low").alias("part")
@@ -306,14 +313,23 @@ def near_duplicates(
     )
 
 
-def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a stream sorted by bucket, without the buckets of one part."""
+def _unsettled(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of a stream sorted by bucket and n that have a row of another part, of a size within
+    their reach, in their bucket."""
 
     def several(batch: pa.RecordBatch) -> pa.RecordBatch:
         bucket, part = batch["bucket"].to_numpy(), batch["part"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
-        return batch.filter(pa.array(np.repeat(mixed, np.diff(np.append(starts, len(bucket))))))
+        n, most = batch["n"].to_numpy().astype(np.int64), batch["most"].to_numpy()
+        first = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])) << 32
+        least = np.ceil(similarity * n - 1e-6).astype(np.int64)
+        most = np.minimum(most, np.floor(n / similarity + 1e-6).astype(np.int64))
+        low = np.searchsorted(first + n, first + least)
+        high = np.searchsorted(first + n, first + most, side="right")
+        # runs of one part: the nearest rows of others are those before and after
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(starts[1:], len(part))
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        return batch.filter(pa.array((ends[run] < high) | (starts[run] > low)))
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -334,27 +350,27 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts of different parts that share a bucket and are similar enough, from
-    near(low, n, bits, part, bucket); rows has the texts by key."""
+    near(low, n, most, bits, part, bucket), where `most` is the size of the largest partner to be
+    looked for in the bucket; rows has the texts by key."""
     sizes = near.groupBy("bucket").count().filter("count > 1")
     keyed = near.join(sizes, "bucket")
     # a large bucket is cut into parts by key; each pair of parts is a bucket of its own
     parts = F.ceil(F.col("count") / HOT_BUCKET).cast("int")
     own = F.pmod(F.xxhash64("low"), parts).cast("int")
     keyed = keyed.select(
-        "low", "n", "bits", "part", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+        "low", "n", "most", "bits", "part", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     )
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     keyed = keyed.withColumn("bucket", F.when(F.col("parts") > 1, pair).otherwise(F.col("bucket")))
-    schema = "low long, n int, bits binary, part long, bucket long"
+    schema = "low long, bits binary, part long, bucket long"
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "bucket"):
             if group.num_rows < 2:
                 continue
             low = group["low"].to_numpy()
-            roots = partnered(
-                group["bits"].to_pylist(), group["n"].to_numpy(), group["part"].to_numpy(), similarity
-            )
+            n, most, part = (group[c].to_numpy() for c in ("n", "most", "part"))
+            roots = partnered(group["bits"].to_pylist(), n, most, part, similarity)
             many = np.flatnonzero(np.bincount(roots, minlength=len(roots))[roots] > 1)
             if not len(many):
                 continue
@@ -364,11 +380,11 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
             names = [xxhash.xxh64_intdigest(low[own].tobytes(), 2) for own in np.split(many, cuts)]
             sizes = np.diff(np.concatenate([[0], cuts, [len(many)]]))
             named = np.repeat(np.array(names, np.uint64).view(np.int64), sizes)
-            out = group.take(pa.array(many)).combine_chunks()
+            out = group.select(["low", "bits", "part", "bucket"]).take(pa.array(many)).combine_chunks()
             yield from out.set_column(out.schema.get_field_index("bucket"), "bucket", pa.array(named)).to_batches()
 
     met = materialize(
-        keyed.select("low", "n", "bits", "part", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        keyed.select("low", "n", "most", "bits", "part", "bucket").repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(meet, schema).dropDuplicates(["bucket", "low"]),
         "met",
     )
@@ -432,12 +448,14 @@ def _may_match(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray
     return (apart <= most) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
 
 
-def partnered(bits: list[bytes], n: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
-    """Roots (indices) of the sets of a bucket, linked where two of different parts may be similar
-    enough. They are compared in tiles in the order of their sizes; tile pairs whose sizes are too
+def partnered(
+    bits: list[bytes], n: np.ndarray, most: np.ndarray, part: np.ndarray, similarity: float
+) -> np.ndarray:
+    """Roots (indices) of the sets of a bucket, linked where two of different parts, neither larger
+    than the other's `most`, may be similar enough. They are compared in tiles in the order of their sizes; tile pairs whose sizes are too
     far apart are skipped."""
     order = np.argsort(n, kind="stable")
-    n, part = n[order].astype(np.int64), part[order]
+    n, most, part = n[order].astype(np.int64), most[order], part[order]
     runs = _runs([bits[k] for k in order.tolist()])
     labels = np.arange(len(n))
     tile = TILE // 4
@@ -455,7 +473,7 @@ def partnered(bits: list[bytes], n: np.ndarray, part: np.ndarray, similarity: fl
                     near = _may_match(
                         rows[i : i + tile, None], n[a, None], other[None, j : j + tile], n[None, b], similarity
                     )
-                    near &= part[a, None] != part[None, b]
+                    near &= (part[a, None] != part[None, b]) & (n[None, b] <= most[a, None]) & (n[a, None] <= most[None, b])
                     p, q = np.nonzero(near)
                     merge_labels(labels, p + a.start, q + b.start)
     roots = np.empty(len(n), np.int64)
