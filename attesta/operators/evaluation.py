@@ -33,8 +33,9 @@ def run_cases(index: Index, cases: DataFrame, config: RetrievalConfig) -> DataFr
     listed = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "doc_id", "status")))
     observed = found.groupBy("query_id").agg(listed.alias("_hits"))
     answers = validate_citations(extractive_answers(queries.select("query_id", "question"), found)).select(
-        "query_id", F.col("outcome").alias("generated_outcome"), F.col("valid").alias("generated_valid"), "retrieved"
-    )
+        "query_id", F.when(F.col("valid"), F.col("outcome")).alias("generated_outcome"),
+        F.col("valid").alias("generated_valid"), "retrieved", F.col("issue_codes").alias("generated_codes"),
+    )
     at = queries.join(observed, "query_id", "left").join(answers, "query_id")
     of = lambda f: F.coalesce(F.transform("_hits", lambda h: h[f]), F.array().cast(_STRINGS))
     at = at.withColumns({"hit_chunk_ids": of("chunk_id"), "hit_doc_ids": of("doc_id"), "_statuses": of("status")})
@@ -59,7 +60,10 @@ def run_cases(index: Index, cases: DataFrame, config: RetrievalConfig) -> DataFr
         (F.col("citation_resolves") == F.col("expected_resolves"))
         & (codes == F.sort_array(F.coalesce("expected_issue_codes", F.array().cast(_STRINGS)))),
     )
-    told = F.col("generated_outcome") == F.col("expected_outcome")
+    # an answer whose own citations don't hold has no outcome
+    told = F.coalesce(F.col("generated_outcome") == F.col("expected_outcome"), F.lit(False))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(c), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    said = lambda c: F.when(F.col(c), "True").otherwise("False")
     at = at.withColumns(
         {
             "retrieval_passed": (F.size(missing_docs) == 0) & (F.size(missing_chunks) == 0) & ~unanswered,
@@ -79,14 +83,18 @@ def run_cases(index: Index, cases: DataFrame, config: RetrievalConfig) -> DataFr
                 _one(
                     ~F.coalesce(cited_well, F.lit(True)),
                     F.concat(
-                        F.lit("citation_expectation_mismatch:expected_codes="),
-                        F.array_join(F.sort_array("expected_issue_codes"), ","),
-                        F.lit(",observed_codes="),
-                        F.array_join(codes, ","),
+                        F.lit("citation_expectation_mismatch:expected_resolves="), said("expected_resolves"),
+                        F.lit(",observed_resolves="), said("citation_resolves"),
+                        F.lit(",expected_codes="), listed("expected_issue_codes"),
+                        F.lit(",observed_codes="), listed("issue_codes"),
                     ),
                 ),
                 _one(
-                    ~told,
+                    ~F.col("generated_valid"),
+                    F.concat(F.lit("generated_answer_citation_validation_failed:"), F.array_join(F.sort_array("generated_codes"), ",")),
+                ),
+                _one(
+                    F.col("generated_valid") & ~told,
                     F.concat(
                         F.lit("generated_answer_outcome_mismatch:expected="), "expected_outcome",
                         F.lit(",observed="), "generated_outcome",

@@ -1,6 +1,6 @@
 """The operations of the system as calls, over an allowlist of corpora, with one audit line each.
 
-A transport (HTTP, a command line) is a thin layer above; none is part of this package."""
+A transport is a thin layer above; attesta.cli is the one for a command line."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from ..operators import answers, bm25, evaluation, onboarding, validation
 from ..sources import bundles, sinks
 from ..vocabulary import RetrievalConfig
 
+#: Issues of a corpus that a call returns at most.
+ISSUES = 10_000
 #: Fields of a hit's record.
 HIT = (
     "rank", "score", "chunk_id", "doc_id", "doc_title", "version", "status", "section_heading",
@@ -35,11 +37,11 @@ class Service:
     a snapshot; validation and evaluation read the folder anew."""
 
     def __init__(
-        self, spark: SparkSession, corpora: str, api_key: str | None = None,
+        self, spark: SparkSession, corpora: str | dict[str, str], api_key: str | None = None,
         audit_path: str | None = None, review_margin: float = 1.0,
     ):
         self.spark, self.key, self.audit_path, self.margin = spark, api_key, audit_path, review_margin
-        self.corpora = bundles.corpus_registry(spark, corpora)
+        self.corpora = bundles.corpus_registry(spark, corpora) if isinstance(corpora, str) else dict(corpora)
         self._indexes: dict[tuple[str, bool], bm25.Index] = {}
 
     def health(self) -> dict:
@@ -77,15 +79,17 @@ class Service:
     def _asked(self, question: str):
         return self.spark.createDataFrame([("q", question)], "query_id string, question string")
 
+    def _summary(self, name: str, docs) -> dict:
+        seen = bundles.read_sidecars(self.spark, self.corpora[name]).count()
+        return validation.ingest_report(seen, docs).first().asDict()
+
     def validate_corpus(self, corpus: str | None = None, key: str | None = None) -> dict:
         """Counts and issues; an invalid corpus is a result, not an error."""
 
         def run(name: str) -> dict:
-            sidecars = bundles.read_sidecars(self.spark, self.corpora[name])
             docs, issues = bundles.read_corpus(self.spark, self.corpora[name])
-            found = [r.asDict() for r in issues.orderBy("path", "message").toLocalIterator()]
-            report = validation.ingest_report(sidecars.count(), docs).first().asDict()
-            return {**report, "issues": found, "valid": not found}
+            found = [r.asDict() for r in issues.orderBy("path", "message").limit(ISSUES).collect()]
+            return {**self._summary(name, docs), "issues": found, "valid": not found}
 
         return self._call("validate_corpus", corpus, key, run)
 
@@ -95,7 +99,8 @@ class Service:
         def run(name: str) -> dict:
             config = RetrievalConfig(top_k=top_k)
             hits = self._hits(name, question, config)
-            out = {"query": question, "config": config.record(), "hits": hits, "held_out": []}
+            gated = self._summary(name, bundles.load_corpus(self.spark, self.corpora[name]))["documents_retrievable"]
+            out = {"query": question, "config": config.record(), "retrievable_documents": gated, "hits": hits, "held_out": []}
             if not hits:
                 held = bm25.held_out(self._index(name, gate=False), self._asked(question), config)
                 best = bm25.best_per_document(held).orderBy("rank").select(*HIT)
@@ -124,35 +129,56 @@ class Service:
         """Citations of an answer file against a retrieval file."""
 
         def run(_: str) -> dict:
-            both = bundles.read_retrieval(self.spark, retrieval).crossJoin(bundles.read_answer(self.spark, fixture))
-            return answers.validate_citations(both).first().asDict(True)
+            return check_citations(self.spark, retrieval, fixture)
 
         return self._call("validate_citations", corpus, key, run)
 
     def evaluate(self, suite: str, corpus: str | None = None, key: str | None = None) -> dict:
-        """Metrics and results of a suite over a corpus that is read anew."""
+        """The report of a suite over a corpus that is read anew, cases in the order of the suite."""
 
         def run(name: str) -> dict:
-            index = bm25.build_retriever(bundles.load_corpus(self.spark, self.corpora[name]))
-            results, metrics = evaluation.evaluate(index, bundles.read_suite(self.spark, suite))
-            rows = [r.asDict(True) for r in results.orderBy("case_id").collect()]  # a row per case
-            index.release()
-            return {"metrics": metrics.first().asDict(), "results": rows}
+            label, cases = bundles.load_suite(self.spark, suite)
+            order = [r["case_id"] for r in cases.select("case_id").collect()]  # a row per case
+            docs = bundles.load_corpus(self.spark, self.corpora[name])
+            summary = {"corpus_dir": self.corpora[name], **self._summary(name, docs)}
+            config = RetrievalConfig(top_k=3)
+            index = bm25.build_retriever(docs)
+            try:
+                results, metrics = evaluation.evaluate(index, cases, config)
+                rows = sorted((r.asDict(True) for r in results.collect()), key=lambda r: order.index(r["case_id"]))
+                return sinks.evaluation_report(label, summary, config.record(), metrics.first().asDict(), rows)
+            finally:
+                index.release()
 
         return self._call("evaluate", corpus, key, run)
 
 
+def check_citations(spark: SparkSession, retrieval: str, fixture: str) -> dict:
+    """Citations of an answer file against a retrieval file. One row meets one row."""
+    both = bundles.read_retrieval(spark, retrieval).crossJoin(bundles.read_answer(spark, fixture))
+    return answers.validate_citations(both).first().asDict(True)
+
+
 def onboard(
-    spark: SparkSession, bundle_dir: str, output_dir: str | None = None, dry_run: bool = False, force: bool = False
-) -> dict:
-    """Maps a messy bundle; writes the clean corpus unless dry_run, and returns the report."""
-    sources, mapping = bundles.read_bundle(spark, bundle_dir)
+    spark: SparkSession, bundle_dir: str, output_dir: str | None = None, dry_run: bool = False, force: bool = False,
+    mapping_path: str | None = None, register_path: str | None = None,
+) -> dict:
+    """Maps a messy bundle; writes the clean corpus unless dry_run, and returns the report, in which
+    records that were written name their metadata. Paths default to the bundle's own files."""
+    mapping_path = mapping_path or f"{bundle_dir}/{bundles.MAPPING}"
+    register_path = register_path or f"{bundle_dir}/{bundles.REGISTER}"
+    sources, mapping = bundles.read_bundle(spark, bundle_dir, mapping_path, register_path)
+    hashes = {
+        "mapping_config_hash": bundles.file_hash(spark, mapping_path),
+        "source_register_hash": bundles.file_hash(spark, register_path),
+    }
     records = onboarding.review_duplicates(onboarding.evaluate_sources(sources, mapping)).persist()
     try:
-        report = sinks.onboarding_report(records, bundle_dir.rstrip("/").rsplit("/", 1)[-1])
-        report["normalized_corpus_dir"] = output_dir
+        written = {}
         if output_dir and not dry_run:
-            sinks.write_bundle(sinks.normalized_corpus(records, sources), output_dir, force)
+            written = sinks.write_bundle(sinks.normalized_corpus(records, sources), output_dir, force)
+        report = sinks.onboarding_report(records, bundle_dir.rstrip("/").rsplit("/", 1)[-1], hashes, written)
+        report["normalized_corpus_dir"] = output_dir
         return report
     finally:
         records.unpersist()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..vocabulary import FIELDS
+from ..functions.text import source_hash
+from ..vocabulary import FIELDS, OUTCOMES, STATUSES
 
 METADATA = (*FIELDS, "review_due_date", "source_file_path", "source_hash")
 _SIDECAR = "sidecar_path string, parse_problem string, inside boolean, " + ", ".join(f"{f} string" for f in METADATA)
@@ -83,9 +85,10 @@ def is_inside(path: str, root: str) -> bool:
 
 
 def read_sidecars(spark: SparkSession, corpus_dir: str) -> DataFrame:
-    """metadata/*.yaml, not below it. Sidecars are parsed where they are read."""
+    """metadata/*.yaml, not below it. Sidecars are parsed where they are read. A corpus without any
+    has no rows."""
     if not _listed(spark, f"{corpus_dir}/metadata", "*.yaml"):
-        raise BundleError(f"{corpus_dir}/metadata: at least one metadata YAML sidecar is required")
+        return spark.createDataFrame([], _SIDECAR)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["sidecar_path", "parse_problem", "inside", *METADATA]
@@ -96,6 +99,16 @@ def read_sidecars(spark: SparkSession, corpus_dir: str) -> DataFrame:
     return _files(spark, f"{corpus_dir}/metadata", "*.yaml").mapInPandas(parse, _SIDECAR)
 
 
+def led_outside(spark: SparkSession, folder: str, below: str) -> list[str]:
+    """Names in below/ that are links to files outside folder/. Only local folders have links."""
+    folder = folder.removeprefix("file://")
+    if "://" in folder or not os.path.isdir(f"{folder}/{below}"):
+        return []
+    root = os.path.realpath(folder)
+    real = ((e.name, os.path.realpath(e.path)) for e in os.scandir(f"{folder}/{below}") if e.is_symlink())
+    return [name for name, at in real if os.path.commonpath([root, at]) != root]
+
+
 def read_sources(spark: SparkSession, corpus_dir: str, below: str = "documents") -> DataFrame:
     """(path, content) of a corpus' source files; path is relative to the corpus."""
     if not _listed(spark, f"{corpus_dir}/{below}", "*"):
@@ -104,10 +117,20 @@ def read_sources(spark: SparkSession, corpus_dir: str, below: str = "documents")
 
 
 def read_corpus(spark: SparkSession, corpus_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, issues) of a corpus folder."""
+    """(documents, issues) of a corpus folder. A corpus without metadata is an issue of its folder."""
     from ..operators.validation import check
 
-    return check(read_sidecars(spark, corpus_dir), read_sources(spark, corpus_dir))
+    sidecars = read_sidecars(spark, corpus_dir)
+    if outside := led_outside(spark, corpus_dir, "documents"):
+        leads = F.col("source_file_path").isin([f"documents/{n}" for n in outside])
+        sidecars = sidecars.withColumn("inside", F.col("inside") & ~F.coalesce(leads, F.lit(False)))
+    documents, issues = check(sidecars, read_sources(spark, corpus_dir))
+    if not _listed(spark, f"{corpus_dir}/metadata", "*.yaml"):
+        there = bool(_listed(spark, corpus_dir, "metadata"))
+        told = "at least one metadata YAML sidecar is required" if there else "metadata directory is required"
+        none = spark.createDataFrame([(f"{corpus_dir}/metadata", told)], "path string, message string")
+        issues = issues.unionByName(none)
+    return documents, issues
 
 
 def load_corpus(spark: SparkSession, corpus_dir: str) -> DataFrame:
@@ -119,10 +142,20 @@ def load_corpus(spark: SparkSession, corpus_dir: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text, through Spark's readers."""
-    rows = spark.read.text(path, wholetext=True).collect()
-    if len(rows) != 1:
+    folder, _, name = path.rpartition("/")
+    content = [f for f in _listed(spark, folder or ".", name) if f.isFile()]
+    if len(content) != 1:
         raise BundleError(f"{path}: one file is needed")
-    return rows[0][0]
+    try:
+        return bytes(_files(spark, folder or ".", name).first()["content"]).decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise BundleError(f"{path}: must be UTF-8") from e
+
+
+def file_hash(spark: SparkSession, path: str) -> str:
+    """The hash of a file's bytes, as sidecars state it."""
+    folder, _, name = path.rpartition("/")
+    return _files(spark, folder or ".", name).select(source_hash(F.col("content"))).first()[0]
 
 
 def read_mapping(spark: SparkSession, path: str) -> dict:
@@ -167,89 +200,170 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, _REGISTER)
 
 
-def read_bundle(spark: SparkSession, bundle_dir: str) -> tuple[DataFrame, dict]:
-    """(sources, mapping) of a messy bundle, ready for evaluate_sources()."""
+MAPPING, REGISTER = "metadata-map.yaml", "incoming/source-register.yaml"
+
+
+def _below(path: Column, root: str) -> Column:
+    """Whether a relative path stays below root, whatever dots it has: no '..' climbs above where it
+    stands, and what is left begins with root."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+
+    def step(state, part):
+        up = part == ".."
+        at = F.when(up, F.slice(state["at"], 1, F.greatest(F.size(state["at"]) - 1, F.lit(0)))).otherwise(
+            F.concat(state["at"], F.array(part))
+        )
+        return F.struct(at.alias("at"), (state["ok"] & ~(up & (F.size(state["at"]) == 0))).alias("ok"))
+
+    inside = F.aggregate(parts, start, step, lambda s: F.when(s["ok"], F.array_join(s["at"], "/")))
+    return F.coalesce(~path.startswith("/") & inside.startswith(f"{root}/"), F.lit(False))
+
+
+def read_bundle(
+    spark: SparkSession, bundle_dir: str, mapping_path: str | None = None, register_path: str | None = None
+) -> tuple[DataFrame, dict]:
+    """(sources, mapping) of a messy bundle, ready for evaluate_sources(). A source that isn't UTF-8
+    counts as one without text, links that lead out of the bundle are not safe."""
     from ..operators.onboarding import last_of_path, source_paths
 
-    mapping = read_mapping(spark, f"{bundle_dir}/metadata-map.yaml")
-    register = read_register(spark, f"{bundle_dir}/incoming/source-register.yaml")
+    mapping = read_mapping(spark, mapping_path or f"{bundle_dir}/{MAPPING}")
+    register = read_register(spark, register_path or f"{bundle_dir}/{REGISTER}")
     below = "incoming/documents"
     files = read_sources(spark, bundle_dir, below).withColumnRenamed("path", "source_path")
     listed = files.filter(F.col("source_path").endswith(".md"))
-    inside = F.udf(lambda p: is_inside(p, below), "boolean")
+    safe = _below(F.col("source_path"), below)
+    if outside := led_outside(spark, bundle_dir, below):
+        safe = safe & ~F.col("source_path").isin([f"{below}/{n}" for n in outside])
     last = last_of_path(register)
     fields = F.struct(*FIELDS, "current_version").alias("register")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise("")
     return (
         source_paths(listed, register)
         .join(last.select("source_path", fields), "source_path", "left")
         .join(files, "source_path", "left")
-        .select("source_path", inside("source_path").alias("safe"), F.decode("content", "UTF-8").alias("raw_text"), "register"),
+        .select(
+            "source_path", safe.alias("safe"),
+            F.when(F.col("content").isNotNull(), text).alias("raw_text"), "register",
+        ),
         mapping,
     )
 
 
-_CITATION = "array<struct<chunk_id:string,label:string>>"
-_CASE = f"""case_id string, question string, expected_outcome string, top_k int,
-expected_source_doc_ids array<string>, expected_chunk_ids array<string>,
-forbidden_doc_ids array<string>, expect_no_hits boolean,
-answer_fixture struct<answer_text:string,citations:{_CITATION},expected_outcome:string>,
-expected_citation_resolves_to_retrieved_chunk boolean, expected_citation_issue_codes array<string>"""
+_NEEDED = object()
+_CITATIONS = [{"chunk_id": ("text", _NEEDED), "label": ("label", None)}]
+_ANSWER = {"answer_text": ("text", _NEEDED), "citations": (_CITATIONS, []), "expected_outcome": (OUTCOMES, _NEEDED)}
+_CASES = [{
+    "case_id": ("text", _NEEDED), "question": ("text", _NEEDED), "expected_outcome": (OUTCOMES, _NEEDED), "top_k": ("count", 3),
+    "expected_source_doc_ids": ("texts", []), "expected_chunk_ids": ("texts", []), "forbidden_doc_ids": ("texts", []),
+    "expect_no_hits": ("flag", False), "answer_fixture": (_ANSWER, None),
+    "expected_citation_resolves_to_retrieved_chunk": ("flag", None), "expected_citation_issue_codes": ("texts", []),
+}]
+_SUITE = {"suite_name": ("text", _NEEDED), "cases": (_CASES, _NEEDED)}
+#: Payloads of retrieval may hold more than is needed.
+_RETRIEVED = {
+    "...": (), "query": ("words", None), "hits": ([{"...": (), "chunk_id": ("text", _NEEDED), "status": (STATUSES, _NEEDED)}], []),
+}
+_KINDS = {
+    "text": lambda v: isinstance(v, str) and v != "",
+    "label": lambda v: v is None or (isinstance(v, str) and v != ""),
+    "words": lambda v: v is None or isinstance(v, str),
+    "count": lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= 1,
+    "flag": lambda v: isinstance(v, bool),
+    "texts": lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v),
+}
+
+
+def conform(value, kind, at: str, wrong: list[str], default=_NEEDED):
+    """A value by its kind: a name of _KINDS, a tuple of allowed values, a dict of fields (unknown ones
+    are wrong unless it has '...'), or a list of such. What is wrong is added to `wrong`."""
+    if value is None and default is None:
+        return None
+    if isinstance(kind, list):
+        if not isinstance(value, list):
+            wrong.append(f"{at}: must be a list")
+            return []
+        return [conform(v, kind[0], f"{at}.{i}", wrong) for i, v in enumerate(value)]
+    if isinstance(kind, dict):
+        if not isinstance(value, dict):
+            wrong.append(f"{at}: must be an object")
+            return {}
+        if "..." not in kind:
+            wrong += [f"{at}.{k}: unknown field" for k in value if k not in kind]
+        out = {}
+        for name, (own, given) in ((k, v) for k, v in kind.items() if k != "..."):
+            if name in value:
+                out[name] = conform(value[name], own, f"{at}.{name}", wrong, given)
+            elif given is _NEEDED:
+                wrong.append(f"{at}.{name}: field required")
+            else:
+                out[name] = given
+        return out
+    if not (value in kind if isinstance(kind, tuple) else _KINDS[kind](value)):
+        wrong.append(f"{at}: {value!r} is not allowed")
+    return value
+
+
+def read_json(spark: SparkSession, path: str, spec: dict) -> dict:
+    """A JSON file of a known shape. A broken file, or one of another shape, raises."""
+    try:
+        raw = json.loads(read_text(spark, path))
+    except json.JSONDecodeError as e:
+        raise BundleError(f"{path}: invalid JSON: {e}") from e
+    wrong: list[str] = []
+    out = conform(raw, spec, "", wrong)
+    if wrong:
+        raise BundleError(f"{path}: " + "; ".join(w.lstrip(".") for w in wrong))
+    return out
 
 
-def read_suite(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of an evaluation suite, with defaults, ready for run_cases(). A suite without cases, or
-    whose cases contradict themselves, raises."""
-    raw = spark.read.schema(f"cases array<struct<{_struct(_CASE)}>>").option("multiLine", True).json(path)
-    cases = raw.select(F.explode("cases").alias("c")).select("c.*")
-    none = F.array().cast("array<string>")
-    fixture = F.col("answer_fixture")
-    out = cases.select(
-        "case_id", "question", "expected_outcome",
-        F.coalesce("top_k", F.lit(3)).alias("top_k"),
-        *(F.coalesce(f, none).alias(f) for f in ("expected_source_doc_ids", "expected_chunk_ids", "forbidden_doc_ids")),
-        F.coalesce("expect_no_hits", F.lit(False)).alias("expect_no_hits"),
-        fixture["expected_outcome"].alias("fixture_outcome"),
-        F.coalesce(fixture["citations"], F.array().cast(_CITATION)).alias("fixture_citations"),
-        F.col("expected_citation_resolves_to_retrieved_chunk").alias("expected_resolves"),
-        F.coalesce("expected_citation_issue_codes", none).alias("expected_issue_codes"),
-    )
-    told = F.col("fixture_outcome").isNotNull()
-    wrong = (
-        (told & F.col("expected_resolves").isNull())
-        | (told & (F.col("fixture_outcome") != F.col("expected_outcome")))
-        | (~told & (F.col("expected_resolves").isNotNull() | (F.size("expected_issue_codes") > 0)))
-    )
-    bad = [r["case_id"] for r in out.filter(wrong).select("case_id").limit(20).collect()]
-    if bad or not out.limit(1).count():
+_CITATION = "array<struct<chunk_id:string,label:string>>"
+_CASE_COLUMNS = f"""case_id string, question string, expected_outcome string, top_k int,
+expected_source_doc_ids array<string>, expected_chunk_ids array<string>, forbidden_doc_ids array<string>,
+expect_no_hits boolean, fixture_outcome string, fixture_citations {_CITATION}, expected_resolves boolean,
+expected_issue_codes array<string>"""
+
+
+def load_suite(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(name, cases) of an evaluation suite, with defaults, ready for run_cases(). A suite without
+    cases, of another shape, or whose cases contradict themselves, raises."""
+    suite = read_json(spark, path, _SUITE)
+    rows, bad = [], []
+    for case in suite["cases"]:
+        fixture = case.pop("answer_fixture") or {}
+        resolves = case.pop("expected_citation_resolves_to_retrieved_chunk")
+        codes = case.pop("expected_citation_issue_codes")
+        if fixture:
+            wrong = resolves is None or fixture["expected_outcome"] != case["expected_outcome"]
+        else:
+            wrong = resolves is not None or bool(codes)
+        if wrong:
+            bad.append(case["case_id"])
+        cited = [(c["chunk_id"], c["label"]) for c in fixture.get("citations", [])]
+        rows.append((*case.values(), fixture.get("expected_outcome"), cited, resolves, codes))
+    if bad or not rows:
         raise BundleError(f"{path}: no cases, or cases that contradict themselves: {bad}")
-    return out
+    return suite["suite_name"], spark.createDataFrame(rows, _CASE_COLUMNS)
 
 
-def _struct(ddl: str) -> str:
-    """Column DDL as fields of a struct."""
-    out, depth, parts = "", 0, []
-    for ch in ddl.replace("\n", " "):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            parts.append(out.strip())
-            out = ""
-        else:
-            out += ch
-    parts.append(out.strip())
-    return ", ".join(p.replace(" ", ": ", 1) for p in parts)
+def read_suite(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of load_suite()."""
+    return load_suite(spark, path)[1]
 
 
 def read_retrieval(spark: SparkSession, path: str) -> DataFrame:
     """A retrieval payload: query, retrieved. Keys that aren't needed may be there."""
-    raw = spark.read.schema("query string, hits array<struct<chunk_id:string,status:string>>").option("multiLine", True).json(path)
-    return raw.select("query", F.col("hits").alias("retrieved"))
+    got = read_json(spark, path, _RETRIEVED)
+    hits = [(h["chunk_id"], h["status"]) for h in got["hits"]]
+    return spark.createDataFrame([(got["query"], hits)], "query string, retrieved array<struct<chunk_id:string,status:string>>")
 
 
 def read_answer(spark: SparkSession, path: str) -> DataFrame:
     """An answer fixture: answer_text, citations, outcome."""
-    raw = spark.read.schema(f"answer_text string, citations {_CITATION}, expected_outcome string").option("multiLine", True).json(path)
-    citations = F.coalesce("citations", F.array().cast(_CITATION)).alias("citations")
-    return raw.select("answer_text", citations, F.col("expected_outcome").alias("outcome"))
+    got = read_json(spark, path, _ANSWER)
+    cited = [(c["chunk_id"], c["label"]) for c in got["citations"]]
+    row = (got["answer_text"], cited, got["expected_outcome"])
+    return spark.createDataFrame([row], f"answer_text string, citations {_CITATION}, outcome string")
 
 
 def read_exported_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -296,5 +410,6 @@ def corpus_registry(spark: SparkSession, spec: str) -> dict[str, str]:
     return out
 
 
-def dump(record: dict) -> str:
-    return json.dumps(record, indent=2, sort_keys=True) + "\n"
+def dump(record: dict, ordered: bool = True) -> str:
+    """JSON text with sorted keys, or with keys as they stand."""
+    return json.dumps(record, indent=2, sort_keys=ordered) + "\n"

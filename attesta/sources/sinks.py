@@ -59,14 +59,15 @@ def write_normalized(documents: DataFrame, path: str, force: bool = False) -> No
     documents.write.mode("overwrite").parquet(path)
 
 
-def write_bundle(documents: DataFrame, path: str, force: bool = False) -> list[str]:
-    """A clean corpus as Markdown files with YAML sidecars, for tools that read folders. Streams rows
-    through the driver one at a time; bundles are small by nature, tables go to write_normalized()."""
+def write_bundle(documents: DataFrame, path: str, force: bool = False) -> dict[str, str]:
+    """A clean corpus as Markdown files with YAML sidecars, for tools that read folders: source path to
+    metadata path. Streams rows through the driver one at a time; bundles are small by nature, tables
+    go to write_normalized()."""
     import yaml
 
     spark = documents.sparkSession
     claim(spark, path, force)
-    written = []
+    written: dict[str, str] = {}
     fields = ("doc_id", "doc_title", "doc_type", "version", "status", "effective_date", "department", "source_file_path", "source_hash")
     for r in documents.orderBy("source_path").toLocalIterator():
         side = {f: r[f] for f in fields}
@@ -77,16 +78,25 @@ def write_bundle(documents: DataFrame, path: str, force: bool = False) -> list[s
         stem = r["source_file_path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]
         write_text(spark, f"{path}/{r['source_file_path']}", r["raw_text"])
         write_text(spark, f"{path}/metadata/{stem}.yaml", yaml.safe_dump(side, sort_keys=False))
-        written.append(f"metadata/{stem}.yaml")
+        written[r["source_path"]] = f"metadata/{stem}.yaml"
     return written
 
 
-def onboarding_report(records: DataFrame, bundle: str) -> dict:
-    """The report's aggregates and records, as a dict. Nulls are left out of records."""
+def onboarding_report(
+    records: DataFrame, bundle: str, hashes: dict[str, str] | None = None, written: dict[str, str] | None = None
+) -> dict:
+    """The report's aggregates and records, as a dict. Nulls are left out of records. hashes: of the
+    mapping and the register; written: metadata path of each source that was emitted."""
     kept = records.drop("current_version").orderBy("source_path")
-    rows = [{k: v for k, v in r.asDict(True).items() if v is not None} for r in kept.toLocalIterator()]
+    rows = []
+    for r in kept.toLocalIterator():
+        row = {k: v for k, v in r.asDict(True).items() if v is not None}
+        if written and r["source_path"] in written:
+            row["emitted_metadata_path"] = written[r["source_path"]]
+        rows.append(row)
     return {
         "source_bundle": bundle,
+        **(hashes or {}),
         "input_document_count": len(rows),
         "emitted_document_count": sum(r["state"] in ("mapped_cleanly", "excluded") for r in rows),
         "state_counts": {r["state"]: r["n"] for r in onboarding.state_counts(records).collect()},
@@ -122,14 +132,107 @@ def onboarding_markdown(report: dict) -> str:
     )
 
 
-def evaluation_markdown(metrics: dict, results: list[dict]) -> str:
-    table = ["| case | passed | outcome |", "|---|---|---|"] + [f"| {r['case_id']} | {r['passed']} | {r['generated_outcome']} |" for r in results]
-    rates = [f"- {k}: {v}" for k, v in metrics.items()]
-    return markdown("Evaluation report", [("Metrics", rates), ("Cases", table)])
+#: A case's columns by their names in a report.
+_CASE = {
+    "case_id": "case_id", "passed": "passed", "expected_outcome": "expected_outcome", "hit_chunk_ids": "hit_chunk_ids",
+    "hit_doc_ids": "hit_doc_ids", "retrieval_expectation_passed": "retrieval_passed",
+    "stale_document_exclusion_passed": "stale_passed", "refusal_expectation_passed": "refusal_passed",
+    "citation_expectation_passed": "citation_passed", "citation_resolves_to_retrieved_chunk": "citation_resolves",
+    "citation_issue_codes": "citation_issue_codes", "generated_answer_outcome": "generated_outcome",
+    "generated_answer_outcome_passed": "outcome_passed",
+    "generated_answer_citation_validation_passed": "generated_citation_passed", "issues": "issues",
+}
+
+
+def evaluation_report(suite: str, summary: dict, config: dict, metrics: dict, results: list[dict]) -> dict:
+    """A report in the order of its keys; metrics and results as evaluate() gives them."""
+    metrics = dict(metrics)
+    total, passed, valid = (metrics.pop(k) for k in ("cases_total", "cases_passed", "passed"))
+    cases = [{name: r[own] for name, own in _CASE.items()} for r in results]
+    for case in cases:
+        case["citation_issue_codes"] = case["citation_issue_codes"] or []
+    return {
+        "valid": valid, "trust_layer_status": "pass" if valid else "fail", "suite_name": suite, "corpus_summary": summary,
+        "retrieval_config": config, "case_count": total, "passed_case_count": passed, "metrics": metrics, "cases": cases,
+    }
+
+
+def evaluation_markdown(report: dict) -> str:
+    summary, config = report["corpus_summary"], report["retrieval_config"]
+
+    def row(case: dict) -> str:
+        checked = "none" if case["citation_expectation_passed"] is not None else "n/a"
+        cells = (
+            f"`{case['case_id']}`", str(case["passed"]).lower(), case["generated_answer_outcome"] or "n/a",
+            ", ".join(case["hit_chunk_ids"]) or "none", ", ".join(case["citation_issue_codes"]) or checked,
+            str(case["generated_answer_citation_validation_passed"]).lower(), "; ".join(case["issues"]) or "none",
+        )
+        return f"| {' | '.join(cells)} |"
+
+    table = [
+        "| Case | Passed | Outcome | Hits | Fixture citation issues | Generated citation check | Issues |",
+        "|---|---:|---|---|---|---:|---|", *map(row, report["cases"]),
+    ]
+    return markdown(
+        "Evaluation report",
+        [
+            ("Summary", [
+                f"- Suite: `{report['suite_name']}`", f"- Trust layer status: {report['trust_layer_status']}",
+                f"- Cases passed: {report['passed_case_count']}/{report['case_count']}",
+                f"- Overall status: {'pass' if report['valid'] else 'fail'}",
+            ]),
+            ("Corpus/config", [
+                f"- Corpus directory: `{summary['corpus_dir']}`", f"- Metadata files seen: {summary['metadata_files_seen']}",
+                f"- Documents valid: {summary['documents_valid']}", f"- Documents retrievable: {summary['documents_retrievable']}",
+                f"- Documents excluded by status: {summary['documents_excluded']}", f"- Retrieval method: `{config['method']}`",
+                f"- Top k: {config['top_k']}", f"- Score floor: {config['score_floor']}",
+            ]),
+            ("Metrics", [f"- `{k}`: {v}" for k, v in report["metrics"].items()]),
+            ("Case table", table),
+            ("Limits", ["A citation that resolves names a chunk that was retrieved; whether the chunk supports the words is not measured."]),
+        ],
+    )
 
 
-def write_report(spark: SparkSession, path: str, record: dict) -> None:
-    write_text(spark, path, dump(record))
+def comparison_markdown(report: dict) -> str:
+    """Rankings compared. report: n_chunks, model, metrics {tier: {method: recall_at_1, recall_at_3,
+    recall_at_5, mrr, n}}, separation {method: min_on_topic, max_off_topic, clean, midpoint}, gate
+    (refused_off_topic, n_off_topic, refused_on_topic, n_on_topic), queries [{id, tier, ranks
+    {method: rank or None}}]."""
+    methods = list(report["separation"])
+    sections: list[tuple[str, list[str]]] = [
+        ("Corpus", [f"- Chunks: {report['n_chunks']}", f"- Vectors: `{report['model']}`", f"- Methods: {', '.join(methods)}"])
+    ]
+    for tier, own in report["metrics"].items():
+        rows = [
+            f"| {m} | " + " | ".join(f"{own[m][k]:.2f}" for k in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")) + " |"
+            for m in methods
+        ]
+        head = ["| method | recall@1 | recall@3 | recall@5 | MRR |", "|---|---:|---:|---:|---:|"]
+        sections.append((f"{tier.capitalize()} queries (n={own[methods[0]]['n']})", head + rows))
+    rows = [
+        f"| {m} | {s['min_on_topic']:.3f} | {s['max_off_topic']:.3f} | {'yes' if s['clean'] else 'no'} |"
+        for m, s in report["separation"].items()
+    ]
+    gate = report["gate"]
+    told = (
+        f"The coverage gate refuses {gate['refused_off_topic']}/{gate['n_off_topic']} off-topic queries and, wrongly, "
+        f"{gate['refused_on_topic']}/{gate['n_on_topic']} on-topic ones."
+    )
+    head = ["| method | least on-topic | most off-topic | apart? |", "|---|---:|---:|:--:|"]
+    sections.append(("Separation", [*head, *rows, "", told]))
+    hard = [q for q in report["queries"] if q["tier"] == "hard"]
+    rows = [f"| {q['id']} | " + " | ".join(str(q["ranks"][m] or "-") for m in methods) + " |" for q in hard]
+    sections.append(("First relevant rank, hard queries", [f"| query | {' | '.join(methods)} |", f"|---|{'---:|' * len(methods)}", *rows]))
+    best = max(methods, key=lambda m: report["metrics"].get("hard", report["metrics"]["all"])[m]["mrr"])
+    clean = [f"{m} (at {s['midpoint']:.2f})" for m, s in report["separation"].items() if s["clean"]]
+    sections.append(("Verdict", [f"- Best on hard queries: {best}", f"- One threshold parts on-topic from off-topic for: {', '.join(clean) or 'none'}"]))
+    return markdown("Retrieval methods compared", sections)
+
+
+def write_report(spark: SparkSession, path: str, record: dict, ordered: bool = True) -> None:
+    """A report as JSON, with sorted keys unless ordered=False."""
+    write_text(spark, path, dump(record, ordered))
 
 
 def append_audit(events: DataFrame, path: str) -> None:

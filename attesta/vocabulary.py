@@ -11,6 +11,7 @@ DOC_TYPES = (
     "SOP", "Policy", "TrainingNote", "DeviationExample", "CalibrationNote", "Specification", "TechnicalNote",
 )
 FIELDS = ("doc_id", "doc_title", "doc_type", "version", "status", "effective_date", "department")
+OUTCOMES = ("answer", "refusal")
 STATES = ("mapped_cleanly", "excluded", "needs_review", "rejected")
 REFUSAL_TEXT = "The retrieved documents do not contain enough information to answer this question."
 REFUSAL_REASON = "refusal_no_supporting_documents"

@@ -73,8 +73,15 @@ def test_duplicate_current_versions(spark, tmp_path):
 
 
 def test_no_sidecars(spark, tmp_path):
-    with pytest.raises(bundles.BundleError):
-        bundles.load_corpus(spark, str(tmp_path))
+    """A corpus without metadata is invalid; that is a result, not an error."""
+    from attesta.plans import service
+
+    for folder, told in ((tmp_path / "none", "directory is required"), (tmp_path / "empty", "at least one")):
+        (folder / ("metadata" if "least" in told else "documents")).mkdir(parents=True)
+        with pytest.raises(CorpusInvalid):
+            bundles.load_corpus(spark, str(folder))
+        report = service.Service(spark, {"main": str(folder)}).validate_corpus()
+        assert not report["valid"] and report["metadata_files_seen"] == 0 and told in report["issues"][0]["message"]
 
 
 def messy(tmp_path):
@@ -126,7 +133,7 @@ def test_onboarding(spark, tmp_path):
     assert "- `mapped_cleanly`: 1" in text and "SOP-2_v2.0.md" in text
     out = str(tmp_path / "out")
     clean = sinks.normalized_corpus(records, sources)
-    assert sinks.write_bundle(clean, out) == ["metadata/SOP-1_v1.0.yaml", "metadata/SOP-4_v1.0.yaml"]
+    assert [*sinks.write_bundle(clean, out).values()] == ["metadata/SOP-1_v1.0.yaml", "metadata/SOP-4_v1.0.yaml"]
     assert bundles.load_corpus(spark, out).count() == 2
     with pytest.raises(bundles.BundleError):
         sinks.write_bundle(clean, out)
@@ -145,11 +152,16 @@ def test_suites_and_fixtures(spark, tmp_path):
         "expected_citation_resolves_to_retrieved_chunk": True,
     }
     path = str(tmp_path / "suite.json")
-    (tmp_path / "suite.json").write_text(json.dumps({"cases": [case]}, indent=1))
+    (tmp_path / "suite.json").write_text(json.dumps({"suite_name": "s", "cases": [case]}, indent=1))
     results, metrics = evaluation.evaluate(bm25.build_retriever(docs), bundles.read_suite(spark, path))
     assert results.first()["passed"] and metrics.first()["case_pass_rate"] == "1/1"
-    assert "case_pass_rate: 1/1" in sinks.evaluation_markdown(metrics.first().asDict(), [results.first().asDict()])
-    (tmp_path / "suite.json").write_text(json.dumps({"cases": [case | {"expected_outcome": "refusal"}]}))
+    summary = {"corpus_dir": "c", "metadata_files_seen": 5, "documents_valid": 5, "documents_retrievable": 4, "documents_excluded": 1}
+    report = sinks.evaluation_report("s", summary, bm25.RetrievalConfig().record(), metrics.first().asDict(), [results.first().asDict()])
+    assert list(report)[:3] == ["valid", "trust_layer_status", "suite_name"] and report["cases"][0]["generated_answer_outcome_passed"]
+    text = sinks.evaluation_markdown(report)
+    assert "- `case_pass_rate`: 1/1" in text and "| `one` | true | answer | DOC-A_v1_0_chunk_001 | none | true | none |" in text
+    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Summary", "## Corpus/config", "## Metrics", "## Case table", "## Limits"]
+    (tmp_path / "suite.json").write_text(json.dumps({"suite_name": "s", "cases": [case | {"expected_outcome": "refusal"}]}))
     with pytest.raises(bundles.BundleError):
         bundles.read_suite(spark, path)
     (tmp_path / "r.json").write_text(json.dumps({"query": "q", "hits": [{"chunk_id": "a", "status": "Approved", "extra": 1}]}))
@@ -224,7 +236,7 @@ def test_service(spark, tmp_path):
     lines = [json.loads(r[0]) for r in spark.read.text(audit_path).collect()]
     assert len(lines) == 7 and {r["outcome"] for r in lines} == {"ok", "answer", "refusal", "unauthorized", "unknown_corpus"}
     case = {"case_id": "one", "question": "What about calibration?", "expected_outcome": "answer", "expected_source_doc_ids": ["DOC-A"]}
-    (tmp_path / "s.json").write_text(json.dumps({"cases": [case]}))
+    (tmp_path / "s.json").write_text(json.dumps({"suite_name": "s", "cases": [case]}))
     assert calls.evaluate(str(tmp_path / "s.json"), key="k")["metrics"]["case_pass_rate"] == "1/1"
 
 
@@ -236,3 +248,141 @@ def test_onboard_call(spark, tmp_path):
     assert report["emitted_document_count"] == 2 and not (tmp_path / "out").exists()
     service.onboard(spark, at, str(tmp_path / "out"))
     assert bundles.load_corpus(spark, str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize(
+    "content, told",
+    [
+        (b"{not json", "invalid JSON"), (b"\xff", "UTF-8"), (b"[]", "object"), (b'{"suite_name": "s", "cases": []}', "no cases"),
+        (b'{"cases": [{"case_id": "a", "question": "q", "expected_outcome": "answer"}]}', "suite_name: field required"),
+        (b'{"suite_name": "s", "cases": [{"case_id": "a", "question": "q", "expected_outcome": "maybe"}]}', "expected_outcome"),
+        (b'{"suite_name": "s", "cases": [{"case_id": "a", "question": "q", "expected_outcome": "answer", "top_k": 0}]}', "top_k"),
+        (b'{"suite_name": "s", "cases": [{"case_id": "a", "question": "q", "expected_outcome": "answer", "more": 1}]}', "more: unknown field"),
+        (b'{"suite_name": "s", "cases": [{"case_id": "a", "question": "q", "expected_outcome": "answer", "answer_fixture": {"answer_text": ""}}]}', "answer_text"),
+    ],
+)
+def test_broken_suites_raise(spark, tmp_path, content, told):
+    (tmp_path / "s.json").write_bytes(content)
+    with pytest.raises(bundles.BundleError, match=told):
+        bundles.read_suite(spark, str(tmp_path / "s.json"))
+
+
+def test_broken_fixtures_raise(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"hits": [{"chunk_id": "a", "status": "Secret"}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"answer_text": "t", "citations": [{"chunk_id": ""}], "expected_outcome": "answer"}))
+    for read, name in ((bundles.read_retrieval, "r"), (bundles.read_answer, "a"), (bundles.read_answer, "none")):
+        with pytest.raises(bundles.BundleError):
+            read(spark, str(tmp_path / f"{name}.json"))
+
+
+def test_links_that_lead_outside(spark, tmp_path):
+    at = corpus(tmp_path / "c")
+    secret = tmp_path / "secret.md"
+    secret.write_bytes((tmp_path / "c/documents/A.md").read_bytes())
+    (tmp_path / "c/documents/A.md").unlink()
+    (tmp_path / "c/documents/A.md").symlink_to(secret)
+    _, issues = bundles.read_corpus(spark, at)
+    assert [(r["path"], "stay inside" in r["message"]) for r in issues.collect()] == [("metadata/A.yaml", True)]
+    at = messy(tmp_path / "in")
+    (tmp_path / "in/incoming/documents/SOP-6_v1.0.md").symlink_to(secret)
+    sources, _ = bundles.read_bundle(spark, at)
+    safe = {r["source_path"].rsplit("/", 1)[-1]: r["safe"] for r in sources.collect()}
+    assert {k for k, v in safe.items() if not v} == {"outside.md", "SOP-6_v1.0.md"}
+
+
+def test_paths_below_a_folder(spark):
+    paths = ["a/b/x", "a/b", "/a/b/x", "a/./b/../b/x", "a/b/../x", "../a/b/x", "a/../../a/b/x", "", None, "c/../a/b//x"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [r[0] for r in df.select(bundles._below(F.col("p"), "a/b")).collect()]
+    assert got == [p is not None and bundles.is_inside(p, "a/b") for p in paths]
+
+
+def test_a_source_that_is_not_utf8_is_rejected(spark, tmp_path):
+    at = messy(tmp_path / "in")
+    (tmp_path / "in/incoming/documents/SOP-1_v1.0.md").write_bytes(b"\xff\xfe text")
+    sources, mapping = bundles.read_bundle(spark, at)
+    got = {r["source_path"].rsplit("/", 1)[-1]: r for r in onboarding.evaluate_sources(sources, mapping).collect()}
+    assert got["SOP-1_v1.0.md"]["state"] == "rejected" and "empty_source_text" in got["SOP-1_v1.0.md"]["reasons"]
+
+
+def test_onboarding_report_names_its_inputs_and_outputs(spark, tmp_path):
+    from attesta.plans import service
+
+    at = messy(tmp_path / "in")
+    other = tmp_path / "map.yaml"
+    other.write_text((tmp_path / "in/metadata-map.yaml").read_text() + "\n")
+    report = service.onboard(spark, at, str(tmp_path / "out"), mapping_path=str(other))
+    assert report["mapping_config_hash"] == "sha256:" + hashlib.sha256(other.read_bytes()).hexdigest()
+    assert report["source_register_hash"] == "sha256:" + hashlib.sha256((tmp_path / "in/incoming/source-register.yaml").read_bytes()).hexdigest()
+    told = {r["source_path"].rsplit("/", 1)[-1]: r.get("emitted_metadata_path") for r in report["records"]}
+    assert told["SOP-1_v1.0.md"] == "metadata/SOP-1_v1.0.yaml" and told["gone.md"] is None
+    dry = service.onboard(spark, at, None, dry_run=True)
+    assert dry["emitted_document_count"] == 2 and not any("emitted_metadata_path" in r for r in dry["records"])
+
+
+def test_generated_answers_whose_citations_fail_are_issues(spark, tmp_path, monkeypatch):
+    docs = bundles.load_corpus(spark, corpus(tmp_path / "c"))
+    real = evaluation.extractive_answers
+    stale = "array<struct<chunk_id:string,status:string>>"
+    monkeypatch.setattr(
+        evaluation, "extractive_answers",
+        lambda *a: real(*a).withColumn("retrieved", F.transform("retrieved", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), F.lit("Draft").alias("status"))).cast(stale)),
+    )
+    case = {
+        "case_id": "one", "question": "What about calibration?", "expected_outcome": "answer",
+        "answer_fixture": {"answer_text": "x", "citations": [{"chunk_id": "none"}], "expected_outcome": "answer"},
+        "expected_citation_resolves_to_retrieved_chunk": True,
+    }
+    (tmp_path / "s.json").write_text(json.dumps({"suite_name": "s", "cases": [case]}))
+    row = evaluation.run_cases(bm25.build_retriever(docs), bundles.read_suite(spark, str(tmp_path / "s.json")), bm25.RetrievalConfig()).first()
+    assert row["generated_outcome"] is None and not row["outcome_passed"] and not row["passed"]
+    assert any(x.startswith("generated_answer_citation_validation_failed:") for x in row["issues"])
+    assert any(x.startswith("citation_expectation_mismatch:expected_resolves=True,observed_resolves=False,expected_codes=[],observed_codes=['") for x in row["issues"])
+
+
+def test_commands(spark, tmp_path, capsys):
+    from attesta.cli import main
+
+    run = lambda *a: (main([str(x) for x in a], spark), *capsys.readouterr())
+    at = corpus(tmp_path / "c")
+    code, out, _ = run("validate-corpus", at)
+    assert code == 0 and "Documents retrievable: 4" in out
+    code, out, _ = run("retrieve", at, "--query", "What about calibration?", "--json")
+    assert code == 0 and json.loads(out)["hits"][0]["doc_id"] == "DOC-A" and json.loads(out)["retrievable_documents"] == 4
+    code, out, _ = run("retrieve", at, "--query", "zebra")
+    assert code == 0 and "No retrievable chunks" in out
+    code, out, _ = run("answer", at, "--query", "What about calibration?")
+    assert code == 0 and json.loads(out)["outcome"] == "answer"
+    case = {"case_id": "one", "question": "What about calibration?", "expected_outcome": "answer", "expected_source_doc_ids": ["DOC-A"]}
+    (tmp_path / "s.json").write_text(json.dumps({"suite_name": "mine", "cases": [case, case | {"case_id": "a", "expected_source_doc_ids": ["NO"]}]}))
+    code, out, err = run("evaluate", at, tmp_path / "s.json", "--json-out", tmp_path / "e.json", "--markdown-out", tmp_path / "e.md")
+    assert code == 1 and "Cases passed: 1/2" in out and "evaluation failed" in err
+    report = json.loads((tmp_path / "e.json").read_text())
+    assert [c["case_id"] for c in report["cases"]] == ["one", "a"] and list(report)[0] == "valid"
+    assert "expected_source_doc_missing:NO" in (tmp_path / "e.md").read_text()
+    (tmp_path / "r.json").write_text(json.dumps({"hits": [{"chunk_id": "a", "status": "Approved"}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"answer_text": "t", "citations": [{"chunk_id": "b"}], "expected_outcome": "answer"}))
+    code, out, _ = run("validate-citations", tmp_path / "r.json", tmp_path / "a.json")
+    assert code == 1 and "- unresolved_citation" in out
+    bundle = messy(tmp_path / "in")
+    code, out, _ = run("onboard-corpus", bundle, "--output", tmp_path / "out", "--report-out", tmp_path / "o.json", "--markdown-out", tmp_path / "o.md", "--require-no-review")
+    assert code == 1 and "mapped_cleanly: 1" in out and json.loads((tmp_path / "o.json").read_text())["emitted_document_count"] == 2
+    code, _, err = run("onboard-corpus", bundle, "--output", tmp_path / "out", "--report-out", tmp_path / "o.json")
+    assert code == 2 and "not empty" in err
+    (tmp_path / "c/documents/A.md").write_text("changed")
+    code, _, err = run("retrieve", at, "--query", "x")
+    assert code == 1 and "source_hash does not match" in err
+    assert run("validate-corpus", at)[0] == 1
+
+
+def test_comparison_report():
+    one = {"recall_at_1": 0.5, "recall_at_3": 0.75, "recall_at_5": 1.0, "mrr": 0.6, "n": 4}
+    apart = {"min_on_topic": 2.0, "max_off_topic": 1.0, "clean": True, "midpoint": 1.5}
+    text = sinks.comparison_markdown({
+        "n_chunks": 9, "model": "m", "metrics": {"all": {"bm25": one, "semantic": one | {"mrr": 0.9}}},
+        "separation": {"bm25": apart | {"clean": False, "midpoint": None}, "semantic": apart},
+        "gate": {"refused_off_topic": 2, "n_off_topic": 2, "refused_on_topic": 1, "n_on_topic": 4},
+        "queries": [{"id": "h1", "tier": "hard", "ranks": {"bm25": None, "semantic": 2}}],
+    })
+    assert "| bm25 | 0.50 | 0.75 | 1.00 | 0.60 |" in text and "| h1 | - | 2 |" in text and "Best on hard queries: semantic" in text
+    assert "semantic (at 1.50)" in text and "refuses 2/2" in text
