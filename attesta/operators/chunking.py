@@ -9,6 +9,8 @@ from ..functions.text import HEADING, LINE_END, chunk_id, has_text, once, unix_l
 from ..vocabulary import RETRIEVABLE
 
 _PARAGRAPH = "struct<first:int,last:int,begin:int,stop:int,heading:string>"
+#: Items that a fold gathers before it adds them to the rest.
+_PART = 256
 
 
 def status_gate(documents: DataFrame) -> DataFrame:
@@ -33,20 +35,33 @@ def line_table(documents: DataFrame) -> DataFrame:
     )
 
 
+def _kept(a: Column, when: Column, item: Column) -> tuple[Column, Column]:
+    """The fields `part` and `out` of a fold that adds an item when told to. Items gather in part, which
+    goes to out as a whole when it has _PART of them, so that a fold over n lines copies far less than
+    n times what it has."""
+    full = when & (F.size(a["part"]) >= _PART)
+    part = F.when(full, F.array(item)).when(when, F.concat(a["part"], F.array(item))).otherwise(a["part"])
+    out = F.when(full, F.concat(a["out"], F.array(a["part"]))).otherwise(a["out"])
+    return part.alias("part"), out.alias("out")
+
+
+def _all_kept(a: Column) -> Column:
+    return F.flatten(F.concat(a["out"], F.array(a["part"])))
+
+
+def _nothing(kind: str) -> tuple[Column, Column]:
+    return F.array().cast(f"array<{kind}>").alias("part"), F.array().cast(f"array<array<{kind}>>").alias("out")
+
+
 def _with_offsets(lines: Column) -> Column:
     """Each line with the place of its first character: one fold over the lines of a row."""
-    zero = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,text:string>>").alias("out")
-    )
-    return F.aggregate(
-        lines,
-        zero,
-        lambda a, x: F.struct(
-            (a["at"] + F.char_length(x) + 1).cast("int").alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("begin"), x.alias("text")))).alias("out"),
-        ),
-        lambda a: a["out"],
+    begins = F.aggregate(
+        F.transform(lines, lambda x: F.char_length(x)),
+        F.struct(F.lit(0).alias("at"), *_nothing("int")),
+        lambda a, n: F.struct((a["at"] + n + 1).cast("int").alias("at"), *_kept(a, F.lit(True), a["at"])),
+        _all_kept,
     )
+    return F.arrays_zip(begins.alias("begin"), lines.alias("text"))
 
 
 def paragraphs(text: Column, title: Column) -> Column:
@@ -68,15 +83,17 @@ def paragraphs(text: Column, title: Column) -> Column:
         F.lit(0).alias("first"),
         F.lit(0).alias("begin"),
         F.lit(0).alias("stop"),
-        F.array().cast(f"array<{_PARAGRAPH}>").alias("out"),
+        *_nothing(_PARAGRAPH),
     )
 
-    def ended(a: Column) -> Column:
-        done = F.struct(
+    def done(a: Column) -> Column:
+        return F.struct(
             a["first"].alias("first"), (a["line"] - 1).cast("int").alias("last"),
             a["begin"].alias("begin"), a["stop"].alias("stop"), a["heading"].alias("heading"),
         ).cast(_PARAGRAPH)
-        return F.when(a["first"] > 0, F.concat(a["out"], F.array(done))).otherwise(a["out"])
+
+    def ended(a: Column) -> Column:
+        return F.concat(_all_kept(a), F.when(a["first"] > 0, F.array(done(a))).otherwise(F.array().cast(f"array<{_PARAGRAPH}>")))
 
     def step(a: Column, x: Column) -> Column:
         inside = x["heading"].isNull() & x["text"]
@@ -87,7 +104,7 @@ def paragraphs(text: Column, title: Column) -> Column:
             F.when(~inside, 0).when(a["first"] > 0, a["first"]).otherwise(a["line"]).cast("int").alias("first"),
             F.when(~inside, 0).when(a["first"] > 0, a["begin"]).otherwise(a["at"]).cast("int").alias("begin"),
             F.when(inside, a["at"] + x["size"]).otherwise(0).cast("int").alias("stop"),
-            F.when(inside, a["out"]).otherwise(ended(a)).alias("out"),
+            *_kept(a, ~inside & (a["first"] > 0), done(a)),
         )
 
     return F.aggregate(lines, zero, step, ended)

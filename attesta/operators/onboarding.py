@@ -147,11 +147,15 @@ def record_state(status: Column, reasons: Column) -> Column:
 def review_duplicates(records: DataFrame) -> DataFrame:
     """Records whose id has several retrievable ones need review unless just one is flagged current;
     that overwrites any state."""
-    gate = F.col("doc_id").isNotNull() & F.coalesce(F.col("canonical_status").isin(*RETRIEVABLE), F.lit(False))
-    of = W.partitionBy("doc_id")
-    many = F.count_if(gate).over(of) > 1
-    current = F.count_if(gate & F.col("current_version")).over(of)
-    twice = gate & many & (current != 1)
+    gate = F.coalesce(F.col("canonical_status").isin(*RETRIEVABLE), F.lit(False))
+    # ids are counted before they meet the records; records without one meet none
+    several = (
+        records.filter(F.col("doc_id").isNotNull() & gate).groupBy("doc_id")
+        .agg(F.count("*").alias("_n"), F.count_if("current_version").alias("_current"))
+        .filter("_n > 1 and _current <> 1").select("doc_id", F.lit(True).alias("_several"))
+    )
+    records = records.join(several, "doc_id", "left").select(*(F.col(f"`{c}`") for c in records.columns), "_several")
+    twice = gate & F.coalesce("_several", F.lit(False))
     at = records.withColumn("_twice", twice)
     return at.withColumns(
         {
@@ -161,7 +165,7 @@ def review_duplicates(records: DataFrame) -> DataFrame:
                 F.col("_twice"), F.sort_array(F.array_union("reasons", F.array(F.lit("duplicate_current_version"))))
             ).otherwise(F.col("reasons")),
         }
-    ).drop("_twice")
+    ).drop("_twice", "_several")
 
 
 def should_emit(state: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine
 from ..vocabulary import FUSION_K
 
+BANDS = 4096
+
 
 def cosine_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of every query(query_id, vector) with every row(item_id, vector):
@@ -20,8 +24,25 @@ def cosine_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
+    """All rows of a query with their ranks. Scores are cut into BANDS, which follow from the score alone;
+    a band is sorted by itself, and the rows of the bands above it are added, so that no task holds a
+    query's rows as a whole."""
+    # monotone and the same for every row of one score, whatever the range of scores
+    band = F.floor((F.atan("score") / F.lit(math.pi) + 0.5) * BANDS).cast("int")
+    at = scores.withColumn("_band", band)
+    above = W.partitionBy("query_id").orderBy(F.desc("_band"))
+    sizes = at.groupBy("query_id", "_band").agg(F.count("*").alias("_n"))
+    before = sizes.select("query_id", "_band", (F.sum("_n").over(above) - F.col("_n")).alias("_before"))
+    order = W.partitionBy("query_id", "_band").orderBy(F.desc("score"), "item_id")
+    at = at.withColumn("_r", F.row_number().over(order)).join(before, ["query_id", "_band"])
+    rank = (F.col("_before") + F.col("_r")).cast("int").alias("rank")
+    return at.select(*(F.col(f"`{c}`") for c in scores.columns), rank)
+
+
+def best(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their ranks; each task keeps k of a query before they meet."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return scores.withColumn("rank", F.row_number().over(order))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = FUSION_K) -> DataFrame:

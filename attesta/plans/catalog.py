@@ -30,8 +30,16 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return tables.controlled_documents(tables.table(spark, sf, "documents"))
 
 
+_held: dict[bool, bm25.Index] = {}
+
+
 def _index(spark: SparkSession, sf: str, gate: bool = True) -> bm25.Index:
-    return bm25.build_retriever(_docs(spark, sf), CONFIG, gate)
+    """An index of the query's own. The one that an earlier query kept is released, so that no query
+    reads another's, and a session holds two at most."""
+    if gate in _held:
+        _held.pop(gate).release()
+    _held[gate] = bm25.build_retriever(_docs(spark, sf), CONFIG, gate)
+    return _held[gate]
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,8 +430,8 @@ def _asked_vectors(spark, sf) -> DataFrame:
 
 @query
 def cosine_topk(spark, sf):
-    at = ranking.ranked(ranking.cosine_scores(_asked_vectors(spark, sf), _vectors(spark, sf)))
-    return at.filter("rank <= 10").withColumn("score", F.round("score", 6))
+    at = ranking.best(ranking.cosine_scores(_asked_vectors(spark, sf), _vectors(spark, sf)), 10)
+    return at.withColumn("score", F.round("score", 6))
 
 
 def _fused(spark, sf):

@@ -257,3 +257,51 @@ def test_rankings(spark):
     v = spark.createDataFrame([("q", [3.0, 4.0], [4.0, 3.0]), ("z", [0.0, 0.0], [1.0, 1.0])], "k string, a array<double>, b array<double>")
     got = [r[0] for r in v.orderBy("k").select(T.cosine(F.col("a"), F.col("b"))).collect()]
     assert abs(got[0] - 0.96) < 1e-12 and got[1] is None
+
+
+def test_folds_over_many_lines(spark):
+    """More paragraphs and lines than a fold gathers at once."""
+    from attesta.operators import chunking
+
+    text = "".join(f"# h{i}\n\npara {i}\nmore\n\n" if i % 7 == 0 else f"para {i}\n\n" for i in range(1300)) + "end"
+    cols = ("doc_id", "doc_title", "doc_type", "version", "status", "department", "source_file_path", "source_hash", "raw_text")
+    doc = spark.createDataFrame([("d", "t", "SOP", "1", "Approved", "QA", "p", "h", text)], list(cols))
+    chunks = chunking.chunk_documents(doc).orderBy("chunk_index").collect()
+    assert len(chunks) == 1301 and [c["chunk_index"] for c in chunks] == list(range(1, 1302))
+    assert all(c["text"] == text[c["char_start"] : c["char_end"]] for c in chunks)
+    assert chunks[8]["section_heading"] == "h7" and chunks[-1]["text"] == "end"
+    lines = chunking.line_table(doc).orderBy("line_number").collect()
+    split = text.split("\n")
+    assert len(lines) == len(split) and all(text[r["char_start"] : r["char_start"] + r["n_chars"]] == x for r, x in zip(lines, split))
+
+
+def test_ranks_over_bands_are_those_of_one_sort(spark):
+    import random
+
+    from attesta.operators import ranking
+
+    r = random.Random(3)
+    rows = [(q, i, r.choice([0.0, -3.5, r.gauss(0, 1), r.gauss(0, 1e-5), 1e9, 0.25])) for q in "abc" for i in range(200)]
+    df = spark.createDataFrame(rows, "query_id string, item_id int, score double")
+    want = {}
+    for q in "abc":
+        own = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1]))
+        want |= {(q, x[1]): k for k, x in enumerate(own, 1)}
+    assert {(x["query_id"], x["item_id"]): x["rank"] for x in ranking.ranked(df).collect()} == want
+    top = {(x["query_id"], x["item_id"]): x["rank"] for x in ranking.best(df, 9).collect()}
+    assert top == {k: v for k, v in want.items() if v <= 9}
+
+
+def test_records_without_an_id_are_not_reviewed_together(spark):
+    from attesta.operators import onboarding
+
+    rows = [
+        (None, "Approved", "needs_review", ["x"], False, False), (None, "Approved", "needs_review", ["x"], False, False),
+        ("a", "Approved", "mapped_cleanly", [], True, False), ("a", "Effective", "mapped_cleanly", [], True, False),
+        ("b", "Approved", "mapped_cleanly", [], True, True), ("b", "Effective", "mapped_cleanly", [], True, False),
+        ("c", "Draft", "excluded", [], False, False), ("c", "Approved", "mapped_cleanly", [], True, False),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, canonical_status string, state string, reasons array<string>, retrievable boolean, current_version boolean")
+    got = sorted(map(str, ((r["doc_id"], r["state"], r["retrievable"]) for r in onboarding.review_duplicates(df).collect())))
+    want = [(None, "needs_review", False)] * 2 + [("a", "needs_review", False)] * 2 + [("b", "mapped_cleanly", True)] * 2
+    assert got == sorted(map(str, [*want, ("c", "excluded", False), ("c", "mapped_cleanly", True)]))
