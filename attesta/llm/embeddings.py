@@ -9,45 +9,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, connected_components, materialize, merge_labels, sorted_groups
-from .vectors import matrix, rows_of
+from .common import LAST, connected_components, materialize, merge_labels, order_id, sorted_groups
+from .vectors import matrices, rows_of
 
-TREES = 4
-#: Vectors a leaf is meant to get (all labels together), and rows that trees are fitted on.
-LEAF, SAMPLE = 2000, 20_000
+TREES = 8
+#: Vectors a leaf is meant to get (all labels together).
+LEAF = 2000
+#: Rows that trees are fitted on, for few and for very many vectors, and the fewest of a leaf.
+SAMPLE, MOST, FEW = 20_000, 200_000, 8
+#: Random directions that are tried at a split, and the part of the rows that either side gets at most.
+TRIES, SIDE = 3, 0.8
 TILE = 256
 #: A vector goes to both sides of a split if it is nearer to it than this many standard deviations
-#: of the projected difference of two vectors at the threshold.
-SPILL = 2.5
+#: of the projected difference of two vectors at the threshold. A pair is lost at a split only if the
+#: difference is over twice that.
+SPILL = 0.5
+#: Rows of a leaf above which its home rows are dealt over tasks.
+HOT = 20_000
 
 
 class Tree:
-    """A tree of random splits at medians, as arrays. leaf numbers are below 2**20."""
+    """A tree of random splits near medians, as arrays. Leaf numbers are below 2**20; parts tells over
+    how many tasks a leaf is dealt."""
 
-    def __init__(self, sample: np.ndarray, seed: int, leaf: int, margin: float):
+    def __init__(self, sample: np.ndarray, seed: int, n: int, margin: float):
         self._rng = np.random.default_rng([seed, 17])
         self._margin = margin
+        self._scale = n / max(1, len(sample))
         self._nodes: list[tuple | None] = []
-        self.leaves = 0
-        self._grow(sample, max(8, leaf))
+        self.parts: list[int] = []
+        self._grow(sample, max(FEW, int(LEAF / self._scale)))
 
     def _grow(self, x: np.ndarray, leaf: int) -> int:
         at = len(self._nodes)
         self._nodes.append(None)
-        if len(x) > leaf:
+        if len(x) > leaf and (cut := self._cut(x)):
+            way, cut, p = cut
+            left = self._grow(x[p < cut + self._margin], leaf)
+            right = self._grow(x[p >= cut - self._margin], leaf)
+            self._nodes[at] = (way, cut, left, right)
+            return at
+        self._nodes[at] = (len(self.parts),)
+        self.parts.append(max(1, int(len(x) * self._scale / HOT)))
+        return at
+
+    def _cut(self, x: np.ndarray) -> tuple | None:
+        """Of some random directions and the places between the 30th and 70th percentile, the split
+        that fewest vectors are near to; none, if a side would still get almost all."""
+        best = None
+        for _ in range(TRIES):
             way = self._rng.standard_normal(x.shape[1])
             way /= np.linalg.norm(way)
             p = x @ way
-            cut = float(np.median(p))
-            low = p < cut
-            if low.any() and not low.all():
-                left = self._grow(x[low], leaf)
-                right = self._grow(x[~low], leaf)
-                self._nodes[at] = (way, cut, left, right)
-                return at
-        self._nodes[at] = (self.leaves,)
-        self.leaves += 1
-        return at
+            order = np.sort(p)
+            cuts = order[(np.linspace(0.3, 0.7, 9) * (len(p) - 1)).astype(int)]
+            low = np.searchsorted(order, cuts - self._margin)
+            high = np.searchsorted(order, cuts + self._margin)
+            side = np.maximum(high, len(p) - low) / len(p)
+            both = np.where(side <= SIDE, high - low, len(p) + 1)
+            k = int(both.argmin())
+            if both[k] <= len(p) and (best is None or both[k] < best[0]):
+                best = (int(both[k]), way, float(cuts[k]), p)
+        return best[1:] if best else None
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, home): every leaf of each row; home tells the one that it would get without
@@ -79,134 +102,135 @@ def embedding_components(
     label_col: str = "label",
     trees: int = TREES,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row: vectors of one label are linked at a cosine,
-    in double precision, of at least `threshold`.
+    """(id, n_links, component_id, kept) for each row: vectors of one label and length are linked at a
+    cosine, in double precision, of at least `threshold`.
 
-    Equal vectors of a label are one class, counted but not expanded. Trees are fitted on at most
-    SAMPLE classes; every class goes down all trees, to both sides of a split near it. A class is
-    compared, in tiles, with the members of its home leaf of each tree. A link is counted in the first tree whose
-    home leaf has it, which the leaf numbers that rows carry tell, so pairs are never written: a
-    leaf gives counts and a link to a root for each class. A split loses a link only where two vectors' projections differ
-    by more than SPILL standard deviations around it, in every tree: recall is measured in the
-    tests, and was 1.
+    Equal vectors of a label are one class, counted but not expanded. Trees are fitted on SAMPLE to
+    MOST classes; every class goes down all trees, to both sides of a split near it. A class is
+    compared, in tiles, with the members of its home leaf of each tree. A link is counted in the
+    first tree whose home leaf has it, which is told by taking the linked vectors down the trees
+    before, so pairs are never written: a leaf gives counts and a link to a root for each class. A
+    leaf that splits can't part is dealt over tasks by its home rows. Lengths with at most LEAF
+    classes are compared without trees. Recall is measured in the tests, with trees that split.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and null labels, link
-    with nothing. Vectors of another length than most rows' link with nothing. Null ids come last;
-    a component of them alone has a null id. Repeated rows link to each other. An empty table gives
-    no rows; other columns are ignored."""
+    with nothing. Null ids come last; a component of them alone has a null id. Repeated rows link to
+    each other, rows of one id and different vectors are judged apart. An empty table gives no rows;
+    other columns are ignored."""
     rows = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).alias("x"),
     )
-    lengths = (
-        rows.groupBy(F.size("x").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").first()
-    )
-    dim = lengths["d"] if lengths else 1
-    usable = F.when(F.size("x") == dim, F.col("x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good, x = matrix(b.column(2))
             vectors = np.full(b.num_rows, None, object)
-            if len(x):
+            for at, x in matrices(b.column(2)):
                 some = (x != 0).any(axis=1)
-                at = np.flatnonzero(good)[some]
-                for i, v in zip(at, x[some] + 0.0):
+                for i, v in zip(at[some], x[some] + 0.0):
                     vectors[i] = v.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(vectors, pa.binary())], ["id", "label", "v"]
             )
 
-    rows = materialize(
-        rows.select("id", "label", usable.alias("x")).mapInArrow(pack, "id long, label string, v binary"),
-        "rows",
-    )
+    rows = materialize(rows.mapInArrow(pack, "id long, label string, v binary"), "rows")
     linkable = rows.filter("label is not null and v is not null")
+    # a class goes by a hash of its label and vector; ids may repeat
     classes = materialize(
-        linkable.groupBy("label", "v").agg(
-            F.min(F.coalesce("id", F.lit(LAST))).alias("low"), F.count("*").alias("many")
-        ),
+        linkable.groupBy("label", "v")
+        .agg(F.min(order_id("id")).alias("low"), F.count("*").alias("many"))
+        .withColumn("name", F.xxhash64("label", "v")),
         "classes",
     )
-    n = classes.count()
-    drawn = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
-    links = _links(classes, n, drawn, threshold, trees)
-    counts = links.groupBy(F.col("a").alias("low")).agg(F.sum("n").alias("n"))
+    links = materialize(_links(classes, threshold, trees), "links")
+    counts = links.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n"))
     parts = connected_components(links.filter("a <> b").select("a", "b"))
     known = (
-        classes.join(counts, "low", "left")
-        .join(parts, F.col("low") == parts["node"], "left")
+        classes.join(counts, "name", "left")
+        .join(parts, F.col("name") == parts["node"], "left")
         .select(
-            "label",
-            "v",
-            (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-            F.coalesce("component", "low").alias("component_id"),
+            "label", "v", "low", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
+            F.coalesce("component", "name").alias("part"),
         )
-    )
+    )
+    least = known.groupBy("part").agg(F.min("low").alias("component_id"))
+    known = known.join(least, "part").select("label", "v", "n_links", "component_id")
     out = rows.join(known, ["label", "v"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(component < LAST, component).alias("component_id"),
-        (F.coalesce("id", F.lit(LAST)) == F.coalesce(component, F.lit(LAST))).alias("kept"),
+        (order_id("id") == F.coalesce(component, F.lit(LAST))).alias("kept"),
     )
 
 
-def _links(classes: DataFrame, n: int, drawn: list, threshold: float, trees: int) -> DataFrame:
+_MEMBER = "label string, v binary, name long, many long, leaf int, part int, home boolean"
+
+
+def _links(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
     """(a, b, n): n more links of class a; b is a class that a is linked to, its root in a leaf."""
-    schema = "a long, b long, n long"
-    if not drawn:
-        return classes.sparkSession.createDataFrame([], schema)
+    size = F.octet_length("v")
+    counts = {r[0]: r[1] for r in classes.groupBy(size).count().filter(F.col("count") > LEAF).collect()}
+    few = classes.filter(~size.isin([*counts])) if counts else classes
+    plain = few.select(
+        "label", "v", "name", "many", F.lit(0).alias("leaf"), F.lit(0).alias("part"), F.lit(True).alias("home")
+    )
+    out = _compared(plain, [], threshold)
+    for length, n in sorted(counts.items()):
+        own = classes.filter(size == length)
+        out = out.unionByName(_forest_links(own, n, threshold, trees))
+    return out
+
+
+def _forest_links(classes: DataFrame, n: int, threshold: float, trees: int) -> DataFrame:
+    """_links() of vectors of one length, by a forest."""
+    wanted = min(n, max(SAMPLE, min(MOST, FEW * n // LEAF)))
+    drawn = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(wanted).collect()
     sample = _units(np.array([np.frombuffer(r["v"], np.float64) for r in drawn]))
-    far = np.sqrt(max(0.0, 2 - 2 * threshold))
-    margin = SPILL * far / np.sqrt(sample.shape[1])
-    leaf = int(LEAF * len(sample) / max(1, n))
-    forest = [Tree(sample, t, leaf, margin) for t in range(trees)]
+    margin = SPILL * np.sqrt(max(0.0, 2 - 2 * threshold) / sample.shape[1])
+    forest = [Tree(sample, t, n, margin) for t in range(trees)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 b = big.slice(at, 2048)
                 x = _units(rows_of(b.column(1), np.float64))
-                found = [tree.place(x) for tree in forest]
-                row = np.concatenate([f[0] for f in found])
-                code = np.concatenate([f[1] | t << 20 for t, f in enumerate(found)]).astype(np.int32)
-                home = np.concatenate([f[2] for f in found])
-                order = np.argsort(row, kind="stable")
-                ends = np.cumsum(np.bincount(row, minlength=len(x)))
-                members = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(code[order])
-                )
-                own = np.empty((len(x), trees), np.int32)
-                own[row[home], code[home] >> 20] = code[home]
-                homes = pa.array(list(own), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, members, homes], ["label", "v", "low", "many", "members", "homes"])
-
-    placed = classes.select("label", "v", "low", "many").mapInArrow(
-        plant, "label string, v binary, low long, many long, members array<int>, homes array<int>"
-    )
-    leaves = placed.select("*", F.explode("members").alias("leaf")).withColumn(
-        "key", F.xxhash64("label", "leaf")
-    )
+                name = b.column(2).to_numpy().view(np.uint64)
+                for t, tree in enumerate(forest):
+                    row, leaf, home = tree.place(x)
+                    parts = np.array(tree.parts)[leaf]
+                    # all parts of a leaf get all members; a home row looks for partners in one
+                    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                    row, leaf, home, parts = (np.repeat(v, parts) for v in (row, leaf, home, parts))
+                    home &= (name[row] % parts.astype(np.uint64)).astype(np.int64) == part
+                    own = b.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array((leaf | t << 20).astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(home)],
+                        ["label", "v", "name", "many", "leaf", "part", "home"],
+                    )
+
+    return _compared(classes.select("label", "v", "name", "many").mapInArrow(plant, _MEMBER), forest, threshold)
 
+
+def _compared(members: DataFrame, forest: list[Tree], threshold: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "key"):
             if group.num_rows < 2:
                 continue
             names = np.array(group["label"].to_pylist(), object)
-            leaf = group["leaf"].to_numpy()
+            code, part = group["leaf"].to_numpy(), group["part"].to_numpy()
+            size = np.array([len(v) for v in group["v"].to_pylist()])
             # one key for two leaves is possible, though rare
-            for name, code in {*zip(names, leaf.tolist())}:
-                one = group.filter(pa.array((names == name) & (leaf == code)))
-                found = _leaf(one, code, threshold)
+            for own in {*zip(names, code.tolist(), part.tolist(), size.tolist())}:
+                one = group.filter(pa.array((names == own[0]) & (code == own[1]) & (part == own[2]) & (size == own[3])))
+                found = _leaf(one, own[1] >> 20, forest, threshold)
                 if found.num_rows:
                     yield found
 
-    return materialize(
-        leaves.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema), "links"
-    )
+    keyed = members.withColumn("key", F.xxhash64("label", "leaf", "part", F.octet_length("v")))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, n long")
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -215,17 +239,10 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _leaf(group: pa.Table, code: int, threshold: float) -> pa.RecordBatch:
-    tree = code >> 20
+def _leaf(group: pa.Table, tree: int, forest: list[Tree], threshold: float) -> pa.RecordBatch:
     x = _units(rows_of(group["v"].combine_chunks(), np.float64))
-    low, many = group["low"].to_numpy(), group["many"].to_numpy()
-    homes = np.array(group["homes"].to_pylist(), np.int32)
-    lists = group["members"].to_pylist()
-    width = max(map(len, lists))
-    members = np.full((len(lists), width), -1, np.int32)
-    for i, own in enumerate(lists):
-        members[i, : len(own)] = own
-    here = np.flatnonzero(homes[:, tree] == code)
+    name, many = group["name"].to_numpy(), group["many"].to_numpy()
+    here = np.flatnonzero(group["home"].to_numpy(zero_copy_only=False))
     counts = np.zeros(len(x), np.int64)
     labels = np.arange(len(x))
     for at in range(0, len(here), TILE):
@@ -237,18 +254,29 @@ def _leaf(group: pa.Table, code: int, threshold: float) -> pa.RecordBatch:
             keep = i != j
             i, j = i[keep], j[keep]
             merge_labels(labels, i, j)
-            for s in range(0, len(i), 100_000):
-                a, b = i[s : s + 100_000], j[s : s + 100_000]
-                new = np.ones(len(a), bool)
-                for t in range(tree):
-                    new &= ~(members[b] == homes[a, t][:, None]).any(axis=1)
-                counts += np.bincount(a[new], weights=many[b[new]], minlength=len(x)).astype(np.int64)
+            if len(i) and tree:
+                new = ~_met_before(x, i, j, forest[:tree])
+                i, j = i[new], j[new]
+            counts += np.bincount(i, weights=many[j], minlength=len(x)).astype(np.int64)
     told = (counts > 0) | (labels != np.arange(len(x)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(low[told]), pa.array(low[labels[told]]), pa.array(counts[told])], ["a", "b", "n"]
+        [pa.array(name[told]), pa.array(name[labels[told]]), pa.array(counts[told])], ["a", "b", "n"]
     )
 
 
+def _met_before(x: np.ndarray, i: np.ndarray, j: np.ndarray, forest: list[Tree]) -> np.ndarray:
+    """Which pairs of rows have j in the home leaf of i in one of the trees."""
+    met = np.zeros(len(i), bool)
+    who, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    for tree in forest:
+        row, leaf, home = tree.place(x[who])
+        own = np.empty(len(who), np.int64)
+        own[row[home]] = leaf[home]
+        met |= np.isin(b << 20 | own[a], row << 20 | leaf)
+    return met
+
+
 def op2_forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 

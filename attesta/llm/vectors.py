@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, values) of the vectors of a list column that have the first usable length: rows says
-    which entries are not null, hold no null and only finite components. Values are double."""
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, values) of the usable vectors of a list column, for each length among them: those that
+    are not null or empty, hold no null and only finite components. Values are double."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
     lengths = np.asarray(column.value_lengths().fill_null(0))
-    flat = column.flatten().cast(pa.float64())
-    values = np.asarray(flat.fill_null(np.nan), dtype=np.float64)
-    good = np.asarray(column.is_valid()) & (lengths > 0)
-    if not n or not good.any():
-        return np.zeros(n, bool), np.zeros((0, 0))
+    values = np.asarray(column.flatten().cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
+    lengths = np.where(np.asarray(column.is_valid()), lengths, 0)
     ends = np.cumsum(lengths)
-    dim = lengths[good]
-    if (dim == dim[0]).all():
-        rows = np.flatnonzero(good)
-        at = (ends[rows] - dim[0])[:, None] + np.arange(dim[0])
-        x = values[at]
-    else:
-        raise ValueError("vectors of one batch differ in length")
-    finite = np.isfinite(x).all(axis=1)
-    good[rows[~finite]] = False
-    return good, x[finite]
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == dim)
+        x = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
+        finite = np.isfinite(x).all(axis=1)
+        if finite.any():
+            yield rows[finite], x[finite]
 
 
 def rows_of(column: pa.Array, dtype) -> np.ndarray:
-    """The matrix whose rows are the entries of a binary column."""
+    """The matrix whose rows are the entries of a binary column, all of one length."""
     data = b"".join(column.to_pylist())
     n = len(column)
     return np.frombuffer(data, dtype).reshape(n, -1) if n else np.zeros((0, 0), dtype)

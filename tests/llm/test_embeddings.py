@@ -90,6 +90,50 @@ def test_odd_vectors(table):
     assert embedding_components(table([(1, None, None)])).count() == 1
 
 
+def test_lengths_and_ids_are_judged_apart(table, monkeypatch):
+    """Vectors of several lengths, each by the same method; one id on two vectors."""
+    import attesta.llm.embeddings as e
+
+    monkeypatch.setattr(e, "LEAF", 40)
+    long, short = clouds(2, dim=32, groups=6, each=20), clouds(3, dim=16, groups=2, each=10)
+    rows = long + [(1000 + i, v, g) for i, v, g in short]
+    got = {r["vec_id"]: r for r in embedding_components(table(rows)).collect()}
+    for own, base in ((long, 0), (short, 1000)):
+        degree, root = brute_links(own)
+        assert sum(got[base + i]["n_links"] for i in range(len(own))) >= 0.99 * sum(degree)
+        assert sum(got[base + i]["component_id"] == base + root[i] for i in range(len(own))) >= 0.99 * len(own)
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [0.0, 1.0], 1)]
+    got = sorted(map(tuple, embedding_components(table(rows)).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False)]
+
+
+def test_hot_leaves_are_dealt(table, monkeypatch):
+    """A third of all rows near copies of one vector: no split parts them."""
+    import attesta.llm.embeddings as e
+
+    monkeypatch.setattr(e, "LEAF", 40)
+    monkeypatch.setattr(e, "HOT", 30)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(32)
+    rows = [(i, [float(x) for x in (centre + rng.standard_normal(32) * 0.05).astype(np.float32)], 1) for i in range(120)]
+    rows += [(120 + i, [float(x) for x in rng.standard_normal(32).astype(np.float32)], 1) for i in range(240)]
+    degree, root = brute_links(rows)
+    got = {r["vec_id"]: r for r in embedding_components(table(rows)).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == degree
+    assert [got[i]["component_id"] for i in range(len(rows))] == root
+
+
+def test_copies_of_a_vector_stay_few():
+    """Leaves of a vector, all trees together, as trees deepen: 64 components, cosine 0.98."""
+    import attesta.llm.embeddings as e
+
+    rng = np.random.default_rng(1)
+    x = e._units(rng.standard_normal((20_000, 64)))
+    margin = e.SPILL * np.sqrt(0.04 / 64)
+    few, many = (sum(len(e.Tree(x, t, n, margin).place(x[:2000])[0]) for t in range(e.TREES)) / 2000 for n in (20_000, 5_000_000))
+    assert few < 12 and many < 30
+
+
 def test_topk_agrees_with_brute_force(table, monkeypatch):
     import attesta.llm.topk as t
 
@@ -108,15 +152,57 @@ def test_topk_agrees_with_brute_force(table, monkeypatch):
     assert got == want
 
 
+def brute_topk(rows, queries, k=20):
+    """Sorted (query_id, rank, vec_id, score): rows of one length each, own rows left out."""
+    usable = [(n, i, np.floor(64 * np.array(v, np.float32).astype(np.float64))) for n, (i, v, *_) in enumerate(rows)
+              if i is not None and v and None not in v and np.isfinite(np.array(v, np.float64)).all()]
+    out = []
+    for n, i, q in usable:
+        if not queries(i):
+            continue
+        own = sorted((-int(q @ x), j) for m, j, x in usable if m != n and len(x) == len(q))[:k]
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(own, 1)]
+    return sorted(out)
+
+
 def test_topk_of_odd_vectors(table):
-    got = exact_topk(table(ODD), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
-    # usable: 3, 7, 8, 9 twice, 20, 0
-    assert [(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 20][:2] == [(20, 9), (20, 9)]
-    assert {r["query_id"] for r in got} == {0, 20} and len(got) == 12
+    got = sorted(map(tuple, exact_topk(table(ODD), F.col("vec_id") % 20 == 0).collect()))
+    assert got == brute_topk(ODD, lambda i: i % 20 == 0)
+    assert {r[0] for r in got} == {0, 20}
     assert exact_topk(table(ODD).filter("vec_id = 999"), F.col("vec_id") % 20 == 0).count() == 0
     assert exact_topk(table([(1, None, None)]), F.lit(True)).count() == 0
 
 
+def test_topk_of_repeated_rows_and_lengths(table):
+    """Rows that share an id are candidates and queries of their own; lengths don't mix."""
+    rng = np.random.default_rng(5)
+    v = [[float(x) for x in rng.standard_normal(8).astype(np.float32)] for _ in range(30)]
+    rows = [(i, x, 1) for i, x in enumerate(v)] + [(20, v[20], 1)] * 30 + [(20, v[3], 1), (0, v[5], 1), (40, v[1][:5], 1), (41, v[2][:5], 1)]
+    got = sorted(map(tuple, exact_topk(table(rows), F.col("vec_id") % 20 == 0, k=6).collect()))
+    assert got == brute_topk(rows, lambda i: i % 20 == 0, 6)
+
+
+def test_topk_of_many_queries_of_a_cell(table, monkeypatch):
+    import attesta.llm.topk as t
+
+    monkeypatch.setattr(t, "QUERIES", 7)
+    monkeypatch.setattr(t, "CELL", 30)
+    rows = clouds(11, dim=8, groups=3, each=40)
+    got = sorted(map(tuple, exact_topk(table(rows), F.lit(True), k=4).collect()))
+    assert got == brute_topk(rows, lambda i: True, 4)
+
+
+def test_scores_beyond_the_exact_range_of_doubles(table):
+    big = [(i, [float(2**24 + i), float(2**24 - 3 * i), 1.0], 1) for i in range(60)] + [(99, [3e38, 1.0, 1.0], 1)]
+    got = sorted(map(tuple, exact_topk(table(big), F.col("vec_id") % 20 == 0, k=5).collect()))
+    x = {i: [int(np.floor(64 * float(np.float32(c)))) for c in v] for i, v, _ in big[:-1]}
+    want = []
+    for i in (0, 20, 40):
+        own = sorted((-sum(a * b for a, b in zip(x[i], x[j])), j) for j in x if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(own, 1)]
+    assert got == sorted(want)
+
+
 def test_large_components_stay_exact(table):
     rows = [(i, [float(2**20 + i), float(i), 1.0], 1) for i in range(41)]
     got = exact_topk(table(rows), F.col("vec_id") == 40, k=2).orderBy("rank").collect()
