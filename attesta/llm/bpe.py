@@ -251,7 +251,10 @@ def round_trip_digests(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None
 ) -> DataFrame:
     """Encodes and decodes each text and returns (id, n_tokens, ids_sha256, decoded_sha256): what
-    encode() and decode() give, digested where they run, so that ids needn't leave the worker."""
+    encode() and decode() give, digested where they run, so that ids needn't leave the worker.
+
+    Null text: as the empty text, no ids. Null ids and repeated rows pass as they are; long texts are
+    read whole, one at a time. An empty table gives no rows; other columns are ignored. No shuffle."""
 
     def run(batches):
         bpe = load(path)

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 DIM = 1024
 GRAM = 3
-#: Documents of each language that are learned from (all, if fewer), and languages at most.
+#: Documents of each language that are learned from (all, if fewer).
 LEARN = 3000
-LANGUAGES = 1000
 #: Cosines become shares by a softmax of this temperature.
 TEMPERATURE = 0.05
 UNKNOWN = "und"
 #: With fewer documents a language's spread isn't known.
 FEW = 20
-_GROUP = 128
+#: Texts, and characters of them, that are bundled together; characters and n-grams of a step.
+_GROUP, _CHARS = 128, 1 << 20
+_STEP, _GRAMS = 1 << 20, 4096
+#: Sums of unit vectors are whole multiples of 1 / _UNIT, so that they don't depend on their order.
+_UNIT = 1 << 40
+#: Labels whose rates are sent to all tasks; more are joined.
+_LABELS = 100_000
 
 
 @lru_cache(maxsize=1 << 14)
@@ -36,21 +41,44 @@ def _letters() -> np.ndarray:
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letter n-grams of a whole text, as packed code points, and their counts. Runs of
-    other characters are one gap; a gap is put before and after the text."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    codes = np.where(_letters()[codes], codes, 0).astype(np.int64)
-    codes = np.concatenate([[0], codes, [0]])
-    keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
-    keep[0] = True
-    codes = codes[keep]
-    if len(codes) < GRAM:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = len(codes) - GRAM + 1
-    packed = np.zeros(n, np.int64)
-    for k in range(GRAM):
-        packed = packed << 21 | codes[k : k + n]
-    return np.unique(packed, return_counts=True)
+    other characters are one gap; a gap is put before and after the text. Long texts are read in
+    steps."""
+    text = text.lower()
+    found = []
+    carry = np.zeros(1, np.int64)
+    for at in range(0, max(1, len(text)), _STEP):
+        codes = np.frombuffer(text[at : at + _STEP].encode("utf-32-le", "replace"), "<u4")
+        codes = np.where(_letters()[codes], codes, 0).astype(np.int64)
+        if at + _STEP >= len(text):
+            codes = np.append(codes, 0)
+        codes = np.concatenate([carry, codes])
+        keep = codes != 0
+        keep[1:] |= codes[:-1] != 0
+        keep[: len(carry)] = True
+        codes = codes[keep]
+        carry = codes[-(GRAM - 1) :]
+        n = len(codes) - GRAM + 1
+        if n > 0:
+            packed = np.zeros(n, np.int64)
+            for k in range(GRAM):
+                packed = packed << 21 | codes[k : k + n]
+            found.append(np.unique(packed, return_counts=True))
+    if len(found) < 2:
+        return found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    every, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
+
+
+def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts, (start, stop), of at most _GROUP texts and, but for single ones, _CHARS."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= _GROUP or held + len(t) > _CHARS):
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def bundle(texts: list[str]) -> np.ndarray:
@@ -60,22 +88,27 @@ def bundle(texts: list[str]) -> np.ndarray:
 
 
 def _bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """bundle(), and how many n-grams each text has."""
+    """bundle(), and how many n-grams each text has. Sums are whole numbers, so a text's bundle
+    doesn't depend on those beside it."""
     found = [grams(t) for t in texts]
     every, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-    counts = np.zeros((len(texts), len(every)), np.float32)
+    counts = np.concatenate([c for _, c in found])
     rows = np.repeat(np.arange(len(texts)), [len(g) for g, _ in found])
-    counts[rows, at] = np.concatenate([c for _, c in found])
-    out = np.zeros((len(texts), DIM), np.float32)
-    for start in range(0, len(every), 4096):
-        part = every[start : start + 4096]
+    order = np.argsort(at, kind="stable")
+    at, counts, rows = at[order], counts[order], rows[order]
+    out = np.zeros((len(texts), DIM))
+    for start in range(0, len(every), _GRAMS):
+        part = every[start : start + _GRAMS]
         vectors = np.ones((len(part), DIM), np.int8)
         for k in range(GRAM):
             codes, place = np.unique(part >> 21 * (GRAM - 1 - k) & 0x1FFFFF, return_inverse=True)
             table = np.stack([np.roll(letter(int(c)), GRAM - 1 - k) for c in codes])
             vectors *= table[place]
-        out += counts[:, start : start + 4096] @ vectors.astype(np.float32)
-    return out, counts.sum(axis=1, dtype=np.float64)
+        a, b = np.searchsorted(at, [start, start + len(part)])
+        some = np.zeros((len(texts), len(part)), np.float32)
+        some[rows[a:b], at[a:b] - start] = counts[a:b]
+        out += some @ vectors.astype(np.float32)
+    return out, np.array([c.sum() for _, c in found], np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -86,14 +119,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _drawn(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: int) -> DataFrame:
     """(lang, text) of the rows that are learned from."""
+    spark = df.sparkSession
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
-    rates = {r[0]: min(1.0, learn / r[1]) for r in sizes.collect()}
-    if not rates:
-        return rows.limit(0).select(F.col(lang_col).alias("lang"), text_col)
-    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col(lang_col)]
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("learn")), F.lit(1 << 20)) < rate * (1 << 20)
-    return rows.filter(drawn).select(F.col(lang_col).alias("lang"), text_col)
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") > learn)
+    often = sizes.limit(_LABELS + 1).collect()
+    if len(often) <= _LABELS:
+        sizes = F.broadcast(spark.createDataFrame([(r["lang"], r["n"]) for r in often], "lang string, n long"))
+    rate = F.lit(learn) / F.coalesce("n", F.lit(learn)) * (1 << 20)
+    drawn = F.pmod(F.xxhash64("_id", "text", F.lit("learn")), F.lit(1 << 20)) < rate
+    return rows.join(sizes, "lang", "left").filter(drawn).select("lang", "text")
 
 
 def fit(
@@ -102,18 +137,19 @@ def fit(
 ) -> dict[str, np.ndarray]:
     """Prototypes: for each language, the sum of its documents' bundles, each of length one.
 
-    Learns from at most about `learn` rows of a language, drawn by a hash of the id, of the
-    LANGUAGES most frequent ones; counts of all rows set the rates. Null texts and langs are left
-    out."""
+    Learns every label, from at most about `learn` rows of each, drawn by a hash of id and text;
+    counts of all rows set the rates. Null texts and langs are left out, so are texts without a letter.
+    Repeated rows are drawn together and count again; null ids are drawn by their texts. An empty
+    table gives no prototypes; other columns are ignored. Sums don't depend on partitions."""
     rows = _drawn(df, id_col, text_col, lang_col, learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, _GROUP):
-                part = batch.slice(at, _GROUP)
-                units = _unit(bundle(part.column(1).to_pylist()))
-                langs = np.array(part.column(0).to_pylist(), object)
+            texts, every = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
+            for a, b in groups(texts):
+                units = np.rint(_unit(bundle(texts[a:b])) * _UNIT).astype(np.int64)
+                langs = every[a:b]
                 for lang in set(langs):
                     total = units[langs == lang].sum(axis=0)
                     sums[lang] = sums.get(lang, 0) + total
@@ -124,14 +160,15 @@ def fit(
             )
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, np.float64) for v in sorted(table["v"].to_pylist()))
+        total = sum(np.frombuffer(v, np.int64) for v in table["v"].to_pylist())
         return pa.table(
             {"lang": table["lang"].slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())}
         )
 
     schema = "lang string, v binary"
     sums = rows.mapInArrow(run, schema).groupBy("lang").applyInArrow(add, schema).collect()
-    return {r["lang"]: _unit(np.frombuffer(r["v"], np.float64)) for r in sorted(sums)}
+    found = {r["lang"]: np.frombuffer(r["v"], np.int64) for r in sorted(sums)}
+    return {lang: _unit(v) for lang, v in found.items() if v.any()}
 
 
 def spreads(
@@ -143,14 +180,16 @@ def spreads(
     depends on the other languages. From the documents that fit() learns from; the deviation is
     infinite for languages with fewer than FEW of them, and no less than the mean."""
 
+    none = np.zeros(DIM)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, means, sizes = [], [], []
-            for at in range(0, batch.num_rows, _GROUP):
-                part = batch.slice(at, _GROUP)
-                sums, n = _bundle(part.column(1).to_pylist())
-                own = part.column(0).to_pylist()
-                dots = np.einsum("ij,ij->i", sums, np.stack([prototypes[lang] for lang in own]))
+            texts, every = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for a, b in groups(texts):
+                sums, n = _bundle(texts[a:b])
+                own = every[a:b]
+                dots = np.einsum("ij,ij->i", sums, np.stack([prototypes.get(lang, none) for lang in own]))
                 langs += own
                 means += (dots / np.maximum(n, 1)).tolist()
                 sizes += n.tolist()
@@ -165,7 +204,9 @@ def spreads(
         F.avg(F.col("n") * F.col("mean")).alias("b"), F.avg("n").alias("n"), F.count("*").alias("docs"),
     )
     found = dict.fromkeys(prototypes, (0.0, np.inf))
-    for r in own.collect():
+    for r in own.collect():  # a row per label
+        if r["lang"] not in found:
+            continue
         square = r["a"] - 2 * r["m"] * r["b"] + r["m"] ** 2 * r["n"]
         dev = max(r["m"], float(np.sqrt(max(0.0, square)))) if r["docs"] >= FEW else np.inf
         found[r["lang"]] = (r["m"], dev)
@@ -192,8 +233,9 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, fits, levels = [], [], [], []
-            for at in range(0, batch.num_rows, _GROUP):
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(at, _GROUP).to_pylist()]
+            every = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for a, b in groups(every):
+                texts = every[a:b]
                 sums, n = _bundle(texts)
                 x = _unit(sums)
                 if not names:
