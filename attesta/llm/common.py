@@ -62,12 +62,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one, which cleanup() deletes."""
+    folder = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lineage ends there."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
-    _made.append(folder)
-    path = f"{folder}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,16 +84,24 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def release(df: DataFrame) -> None:
     """Deletes the files of a table made by materialize() that nothing needs any more."""
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/attesta-" in parent:
-            _delete(df.sparkSession, parent)
+    for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+        for own in [m for m in _made if m.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]:
+            _delete(df.sparkSession, own)
+            _made.remove(own)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes all tables that this process has made in the shared folder. Results that operators
-    have returned read some of them, so these must have been written elsewhere before."""
-    while _made:
-        _delete(spark, _made.pop())
+def made() -> list[str]:
+    """The folders that this process has made and not deleted yet."""
+    return list(_made)
+
+
+def cleanup(spark: SparkSession, but: list[str] | None = None) -> None:
+    """Deletes the tables that this process has made in the shared folder, but for those named.
+    Results that operators have returned read some of them, so these must have been written elsewhere
+    before."""
+    for folder in [m for m in _made if m not in (but or ())]:
+        _delete(spark, folder)
+        _made.remove(folder)
 
 
 def size_estimate(df: DataFrame) -> int:
@@ -96,6 +109,13 @@ def size_estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces that hold rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Groups of rows with equal `key` (int64, not null) of a stream sorted by it. One group is
     held at a time."""

@@ -19,7 +19,7 @@ END = 1
 #: Windows that are filled together; a task holds the tokens of so many.
 WINDOWS = 256
 #: Distinct words, with what stands next to them, that a worker remembers; longer ones are not.
-PIECES, LONG = 1_000_000, 64
+PIECES, LONG = 200_000, 64
 
 
 def default_path() -> str:

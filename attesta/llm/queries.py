@@ -21,6 +21,8 @@ _QUERIES = {
     "op10_pack_documents": "packing",
 }
 
+MODULES = [f"{__package__}.{m}" for m in _QUERIES.values()]
+
 
 def _shipped(query):
     @wraps(query)

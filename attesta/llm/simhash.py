@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    LAST, connected_components, materialize, merge_labels, order_id, release, row_key, sorted_groups,
+    LAST, cleanup, connected_components, made, materialize, merge_labels, order_id, release, row_key,
+    slices, sorted_groups,
 )
 
 SEED = 42
@@ -210,7 +211,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit("common")), F.lit(1 << 20)) < (SAMPLE << 20) // max(total, 1))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
@@ -253,7 +254,7 @@ def near_duplicates(
     common, counts = _common(rows, words)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
             same = [xxhash.xxh64_intdigest(own.tobytes(), 1) for own in sets]
             first = [prefix(own, similarity, common, counts).view(np.int64) for own in sets]
@@ -281,7 +282,7 @@ def near_duplicates(
     )
     own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"), F.lit(2**31 - 1).alias("most"))
     near = own.select("low", "n", "most", "bits", "part", F.explode(F.slice("first", 1, keys)).alias("bucket"))
-    edges = materialize(_verified(rows, near, words, similarity), "edges")
+    edges = _verified(rows, near, words, similarity)
     parts = materialize(connected_components(edges), "parts")
 
     parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
@@ -390,7 +391,7 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
     )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [
                 shingles(t.as_py() or b"", words).tobytes() for t in batch.column(1).cast(pa.binary())
             ]
@@ -418,10 +419,14 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
             if linked.any():
                 yield _pairs([low[linked]], [low[roots[linked]]])
 
-    return (
+    edges = materialize(
         met.join(sets, "low").select("bucket", "low", "bits", "part", "set")
-        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long")
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long"),
+        "edges",
     )
+    release(met)
+    release(sets)
+    return edges
 
 
 def _runs(bits: list[bytes]) -> list[tuple[int, np.ndarray]]:
@@ -531,7 +536,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     that id, any one). Groups are those of near_duplicates(), by id and text together: rows that
     share an id and no text are judged apart. Of repeated rows one stays; columns pass as they are.
     Null texts count as empty, null ids come last, an empty table gives no rows."""
+    before = made()
     found = materialize(near_duplicates(df, id_col, text_col, **how), "components")
+    cleanup(df.sparkSession, [*before, made()[-1]])
     names = {"_key": row_key(id_col, text_col), "_id": order_id(id_col)}
     rows = df.select(
         *(c.alias(n) for n, c in names.items()), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
