@@ -280,9 +280,12 @@ def near_duplicates(
         .select("same", "low.id", F.col("low.key").alias("low"), "low.n", "low.bits", "low.first"),
         "classes",
     )
-    own = classes.select("low", "n", "bits", "first", F.col("low").alias("part"), F.lit(2**31 - 1).alias("most"))
-    near = own.select("low", "n", "most", "bits", "part", F.explode(F.slice("first", 1, keys)).alias("bucket"))
-    edges = _verified(rows, near, words, similarity)
+    bits = classes.select("low", "bits")
+    near = classes.select(
+        "low", "n", F.lit(2**31 - 1).alias("most"), F.col("low").alias("part"),
+        F.explode(F.slice("first", 1, keys)).alias("bucket"),
+    )
+    edges = _verified(rows, near, bits, words, similarity)
     parts = materialize(connected_components(edges), "parts")
 
     parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
@@ -299,8 +302,7 @@ def near_duplicates(
         .mapInArrow(unsettled, "bucket long, low long, part long, n int, most int"),
         "open",
     )
-    near = open_.join(classes.select("low", "bits"), "low").select("low", "n", "most", "bits", "part", "bucket")
-    parts = connected_components(edges.unionByName(_verified(rows, near, words, similarity)))
+    parts = connected_components(edges.unionByName(_verified(rows, open_, bits, words, similarity)))
     parted = classes.join(parts, classes["low"] == parts["node"], "left").select(
         "same", "id", "low", F.coalesce("component", "low").alias("part")
     )
@@ -349,17 +351,18 @@ def _unsettled(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
         yield several(pa.concat_batches(held))
 
 
-def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(rows: DataFrame, near: DataFrame, bits: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts of different parts that share a bucket and are similar enough, from
-    near(low, n, most, bits, part, bucket), where `most` is the size of the largest partner to be
-    looked for in the bucket; rows has the texts by key."""
+    near(low, n, most, part, bucket), where `most` is the size of the largest partner to be looked for
+    in the bucket; rows has the texts by key, bits the sketches, which join when all is decided but
+    the tiles."""
     sizes = near.groupBy("bucket").count().filter("count > 1")
     keyed = near.join(sizes, "bucket")
     # a large bucket is cut into parts by key; each pair of parts is a bucket of its own
     parts = F.ceil(F.col("count") / HOT_BUCKET).cast("int")
     own = F.pmod(F.xxhash64("low"), parts).cast("int")
     keyed = keyed.select(
-        "low", "n", "most", "bits", "part", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+        "low", "n", "most", "part", "bucket", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     )
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     keyed = keyed.withColumn("bucket", F.when(F.col("parts") > 1, pair).otherwise(F.col("bucket")))
@@ -385,7 +388,7 @@ def _verified(rows: DataFrame, near: DataFrame, words: int, similarity: float) -
             yield from out.set_column(out.schema.get_field_index("bucket"), "bucket", pa.array(named)).to_batches()
 
     met = materialize(
-        keyed.select("low", "n", "most", "bits", "part", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+        keyed.select("low", "n", "most", "part", "bucket").join(bits, "low").repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(meet, schema).dropDuplicates(["bucket", "low"]),
         "met",
     )
