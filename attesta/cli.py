@@ -3,6 +3,8 @@ to standard error; the exit code is 1 if a check fails and 2 if the input can't
 
 from __future__ import annotations
 
+# The commands, their options and the labels of the lines that they print.
+
 import argparse
 import json
 import sys

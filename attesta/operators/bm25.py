@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,6 +90,17 @@ def build_retriever(documents: DataFrame, config: RetrievalConfig | None = None,
     return build_index(chunk_documents(documents, gate))
 
 
+def save(index: Index, path: str) -> None:
+    """An index as tables, for sessions to come."""
+    for name in ("chunks", "stats", "idf"):
+        getattr(index, name).write.parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that save() has written. Nothing is chunked, tokenised or counted again."""
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "stats", "idf")))
+
+
 def _keyed(chunks: DataFrame) -> DataFrame:
     """Chunks with two hashes of their id, 128 bits together: sums are grouped by these, which takes
     far less than by names."""

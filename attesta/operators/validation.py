@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, source_hash
-from ..vocabulary import DOC_TYPES, RETRIEVABLE, STATUSES
+from ..vocabulary import DOC_TYPES, OUTSIDE, RETRIEVABLE, STATUSES, TWO_CURRENT
 
 HASH = r"\Asha256:[a-f0-9]{64}\z"
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}\z"
@@ -68,7 +68,7 @@ def check(sidecars: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     problem = (
         F.when(F.col("parse_problem").isNotNull(), F.col("parse_problem"))
         .when(metadata_problem().isNotNull(), metadata_problem())
-        .when(~F.col("inside"), "source_file_path must stay inside the corpus directory")
+        .when(~F.col("inside"), OUTSIDE)
         .when(F.col("content").isNull(), F.concat(F.lit("source file not found: "), "source_file_path"))
         .when(source_hash(F.col("content")) != F.col("source_hash"), "source_hash does not match source file content")
         .when(~utf8, "source file must be UTF-8")
@@ -84,10 +84,7 @@ def check(sidecars: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = duplicate_current(documents).select(
         F.col("doc_id").alias("path"),
         F.format_string(
-            "more than one retrievable version for doc_id '%s' (versions: %s); exactly one "
-            "Approved/Effective version may be retrievable",
-            "doc_id",
-            "versions",
+            TWO_CURRENT, "doc_id", "versions"
         ).alias("message"),
     )
     return documents, issues.unionByName(twice)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_hash
-from ..vocabulary import FIELDS, OUTCOMES, STATUSES
+from ..vocabulary import FIELDS, NO_METADATA_DIR, NO_SIDECARS, OUTCOMES, STATUSES
 
 METADATA = (*FIELDS, "review_due_date", "source_file_path", "source_hash")
 _SIDECAR = "sidecar_path string, parse_problem string, inside boolean, " + ", ".join(f"{f} string" for f in METADATA)
@@ -127,7 +127,7 @@ def read_corpus(spark: SparkSession, corpus_dir: str) -> tuple[DataFrame, DataFr
     documents, issues = check(sidecars, read_sources(spark, corpus_dir))
     if not _listed(spark, f"{corpus_dir}/metadata", "*.yaml"):
         there = bool(_listed(spark, corpus_dir, "metadata"))
-        told = "at least one metadata YAML sidecar is required" if there else "metadata directory is required"
+        told = NO_SIDECARS if there else NO_METADATA_DIR
         none = spark.createDataFrame([(f"{corpus_dir}/metadata", told)], "path string, message string")
         issues = issues.unionByName(none)
     return documents, issues

@@ -17,6 +17,14 @@ REFUSAL_TEXT = "The retrieved documents do not contain enough information to ans
 REFUSAL_REASON = "refusal_no_supporting_documents"
 LOW_SCORE_REASON = "low_top_score"
 
+# Texts of a corpus' issues.
+NO_METADATA_DIR = "metadata directory is required"
+NO_SIDECARS = "at least one metadata YAML sidecar is required"
+OUTSIDE = "source_file_path must stay inside the corpus directory"
+TWO_CURRENT = (
+    "more than one retrievable version for doc_id '%s' (versions: %s); exactly one Approved/Effective version may be retrievable"
+)
+
 # Words that don't count as terms of a question.
 STOPWORDS = """
 a an the of for to and or in on is are was were be been being this that these those

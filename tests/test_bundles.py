@@ -38,6 +38,17 @@ def test_a_valid_corpus_loads(spark, tmp_path):
     assert bm25.hits(bm25.build_retriever(docs), asked, bm25.RetrievalConfig()).first()["doc_id"] == "DOC-A"
 
 
+def test_a_stored_index_gives_the_same_hits(spark, tmp_path):
+    docs = bundles.load_corpus(spark, corpus(tmp_path / "c"))
+    index = bm25.build_retriever(docs)
+    asked = spark.createDataFrame([("q", "What about calibration?"), ("r", "cleaning or storing?")], "query_id string, question string")
+    bm25.save(index, str(tmp_path / "index"))
+    want = sorted(map(str, bm25.hits(index, asked, bm25.RetrievalConfig()).collect()))
+    index.release()
+    got = sorted(map(str, bm25.hits(bm25.load(spark, str(tmp_path / "index")), asked, bm25.RetrievalConfig()).collect()))
+    assert got == want and got
+
+
 def write(name, content):
     return lambda side, at: (at / name).write_bytes(content)
 
