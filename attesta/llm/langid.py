@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 DIM = 1024
 GRAM = 3
 #: Documents of each language that are learned from (all, if fewer).
@@ -166,7 +168,7 @@ def fit(
         )
 
     schema = "lang string, v binary"
-    sums = rows.mapInArrow(run, schema).groupBy("lang").applyInArrow(add, schema).collect()
+    sums = rows.mapInArrow(lean(run), schema).groupBy("lang").applyInArrow(add, schema).collect()
     found = {r["lang"]: np.frombuffer(r["v"], np.int64) for r in sorted(sums)}
     return {lang: _unit(v) for lang, v in found.items() if v.any()}
 
@@ -198,7 +200,7 @@ def spreads(
                 ["lang", "mean", "n"],
             )
 
-    rows = _drawn(df, id_col, text_col, lang_col, learn).mapInArrow(run, "lang string, mean double, n double")
+    rows = _drawn(df, id_col, text_col, lang_col, learn).mapInArrow(lean(run), "lang string, mean double, n double")
     own = rows.filter("n > 0").groupBy("lang").agg(
         F.avg("mean").alias("m"), F.avg(F.col("n") * F.col("mean") * F.col("mean")).alias("a"),
         F.avg(F.col("n") * F.col("mean")).alias("b"), F.avg("n").alias("n"), F.count("*").alias("docs"),
@@ -265,7 +267,7 @@ def predict(
             )
 
     extra = "" if spread is None else ", fit double, level double"
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double{extra}")
+    return rows.mapInArrow(lean(run), f"{schema}, lang_pred string, score double{extra}")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

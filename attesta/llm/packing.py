@@ -14,12 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 CAPACITY = 2048
 END = 1
 #: Windows that are filled together; a task holds the tokens of so many.
 WINDOWS = 256
 #: Distinct words, with what stands next to them, that a worker remembers; longer ones are not.
-PIECES, LONG = 200_000, 64
+PIECES, LONG = 400_000, 64
 
 
 def default_path() -> str:
@@ -308,7 +310,7 @@ def pack_documents(
             yield emit(windows)
 
     two = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return two.mapInArrow(run, schema)
+    return two.mapInArrow(lean(run), schema)
 
 
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    LAST, cleanup, connected_components, made, materialize, merge_labels, order_id, release, row_key,
+    LAST, cleanup, connected_components, lean, made, materialize, merge_labels, order_id, release, row_key,
     slices, sorted_groups,
 )
 
@@ -101,7 +101,7 @@ def simhash_components(
 
     docs = materialize(
         df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))
-        .mapInArrow(prints, schema),
+        .mapInArrow(lean(prints), schema),
         "prints",
     )
     classes = materialize(
@@ -165,7 +165,7 @@ def _edges(classes: DataFrame, radius: int) -> DataFrame:
             yield _pairs(out_a, out_b)
 
     return (
-        keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tiles, "a long, b long")
+        keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(tiles), "a long, b long")
     )
 
 
@@ -216,7 +216,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     found = (
-        drawn.mapInArrow(spread, "h long").groupBy("h").count().filter("count > 3")
+        drawn.mapInArrow(lean(spread), "h long").groupBy("h").count().filter("count > 3")
         .orderBy(F.desc("count"), "h").limit(1 << 16).collect()
     )
     common = np.array([r["h"] for r in found], np.int64).view(np.uint64)
@@ -271,7 +271,7 @@ def near_duplicates(
             )
 
     marked = materialize(
-        rows.mapInArrow(marks, "key long, same long, n int, bits binary, first array<long>, id long"),
+        rows.mapInArrow(lean(marks), "key long, same long, n int, bits binary, first array<long>, id long"),
         "marks",
     )
     # a class is named by the key of its first row; a row's key stands in one class only
@@ -299,7 +299,7 @@ def near_duplicates(
     open_ = materialize(
         spread.filter(F.col("most") >= F.col("n") * similarity - 1e-6)
         .repartition("bucket").sortWithinPartitions("bucket", "n")
-        .mapInArrow(unsettled, "bucket long, low long, part long, n int, most int"),
+        .mapInArrow(lean(unsettled), "bucket long, low long, part long, n int, most int"),
         "open",
     )
     parts = connected_components(edges.unionByName(_verified(rows, open_, bits, words, similarity)))
@@ -389,7 +389,7 @@ def _verified(rows: DataFrame, near: DataFrame, bits: DataFrame, words: int, sim
 
     met = materialize(
         keyed.select("low", "n", "most", "part", "bucket").join(bits, "low").repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(meet, schema).dropDuplicates(["bucket", "low"]),
+        .mapInArrow(lean(meet), schema).dropDuplicates(["bucket", "low"]),
         "met",
     )
 
@@ -404,7 +404,7 @@ def _verified(rows: DataFrame, near: DataFrame, bits: DataFrame, words: int, sim
 
     wanted = met.select(F.col("low").alias("key")).distinct()
     sets = materialize(
-        rows.join(wanted.hint("shuffle_hash"), "key").mapInArrow(fetch, "low long, set binary")
+        rows.join(wanted.hint("shuffle_hash"), "key").mapInArrow(lean(fetch), "low long, set binary")
         .dropDuplicates(["low"]),
         "sets",
     )
@@ -424,7 +424,7 @@ def _verified(rows: DataFrame, near: DataFrame, bits: DataFrame, words: int, sim
 
     edges = materialize(
         met.join(sets, "low").select("bucket", "low", "bits", "part", "set")
-        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long"),
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(verify), "a long, b long"),
         "edges",
     )
     release(met)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import first_places
-from .common import materialize, order_id, release, size_estimate, sorted_groups
+from .common import lean, materialize, order_id, release, size_estimate, sorted_groups
 
 SPAN = 100
 #: An anchor is the least of the hashes of the GRAM-byte strings of a SPAN-byte window.
@@ -197,10 +197,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _told(key[many], sub[many], start[many], end[many], gram[many], True, hot)
 
     found = materialize(
-        keyed.mapInArrow(cut, "bucket long, kind int, data binary")
+        keyed.mapInArrow(lean(cut), "bucket long, kind int, data binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(sift, "key long, sub long, start long, stop long, gram long, asked boolean, hot boolean"),
+        .mapInArrow(lean(sift), "key long, sub long, start long, stop long, gram long, asked boolean, hot boolean"),
         "segments",
     )
 
@@ -289,10 +289,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     merged = materialize(
         keyed.join(asked.hint("shuffle_hash"), ["key", "sub"])
-        .mapInArrow(fetch, "bucket long, data binary, text binary")
+        .mapInArrow(lean(fetch), "bucket long, data binary, text binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(transform, "key long, sub long, start long, stop long"),
+        .mapInArrow(lean(transform), "key long, sub long, start long, stop long"),
         "merged",
     )
     spans = materialize(
@@ -401,7 +401,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             )
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select(id_col, "t", "_starts", "_stops").mapInArrow(run, schema)
+    return joined.select(id_col, "t", "_starts", "_stops").mapInArrow(lean(run), schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,7 +433,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string"
-    done = joined.select("_row", "_text", "_starts", "_stops").mapInArrow(run, schema)
+    done = joined.select("_row", "_text", "_starts", "_stops").mapInArrow(lean(run), schema)
     return done.select(
         *(F.col("_text" if c == text_col else f"_row.`{c}`").alias(c) for c in df.columns)
     )
