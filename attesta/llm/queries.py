@@ -19,6 +19,9 @@ _QUERIES = {
     "op8_block_labeller": "html_text",
     "op9_language_id": "langid",
     "op10_pack_documents": "packing",
+    "op11_exponion_codes": "codes",
+    "op12_delete_join_variants": "variants",
+    "op13_isolation_rules": "quality",
 }
 
 MODULES = [f"{__package__}.{m}" for m in _QUERIES.values()]
