@@ -124,7 +124,7 @@ def deletions(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     first = np.ones(len(codes), bool)
     first[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
     lo = np.flatnonzero(first)
-    hi = np.append(lo[1:], len(codes)) - 1
+    hi = np.append(lo[1:], len(codes))[: len(lo)] - 1
     n = len(words)
     return (
         np.concatenate([np.arange(n), of[lo]]),
