@@ -86,8 +86,9 @@ def simhash_components(
     above HOT_BUCKET are dealt over tasks as pairs of population counts within the radius.
 
     Null text: as empty text, fingerprint zero, linked like any other. Null ids come after all
-    others: a component of them alone has a null id. Repeated rows are linked. An empty table gives no rows; other columns
-    are ignored."""
+    others: a component of them alone has a null id. Ids link nothing: rows that share one, or have
+    none, are together only if their fingerprints are. Repeated rows are linked. An empty table gives
+    no rows; other columns are ignored."""
     schema = f"{id_col} long, fp long"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +108,13 @@ def simhash_components(
     classes = materialize(
         docs.groupBy("fp").agg(F.min(F.coalesce(id_col, F.lit(LAST))).alias("low")), "classes"
     )
-    edges = _edges(classes, radius)
-    parts = connected_components(edges)
-    labelled = classes.join(parts, classes["low"] == parts["node"], "left").select(
-        "fp", F.coalesce("component", "low").alias("component_id")
+    parts = connected_components(_edges(classes, radius))
+    # classes are named by their fingerprints: ids may be missing, or stand on several of them
+    grouped = classes.join(parts, classes["fp"] == parts["node"], "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("part")
     )
+    lows = grouped.groupBy("part").agg(F.min("low").alias("component_id"))
+    labelled = grouped.join(lows, "part").select("fp", "component_id")
     return docs.join(labelled, "fp").select(
         id_col,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -126,7 +129,7 @@ def _edges(classes: DataFrame, radius: int) -> DataFrame:
         # hash of the block: equal blocks meet, and unequal ones that do are told apart in the tiles
         value = F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo)
         blocks.append(F.shiftleft(F.xxhash64(F.lit(k), value), 13))
-    keyed = classes.select("fp", "low", F.explode(F.array(*blocks)).alias("bucket"))
+    keyed = classes.select("fp", F.explode(F.array(*blocks)).alias("bucket"))
     sizes = keyed.groupBy("bucket").count().filter("count > 1")
     keyed = keyed.join(sizes, "bucket")
     ones = F.bit_count("fp")
@@ -139,24 +142,23 @@ def _edges(classes: DataFrame, radius: int) -> DataFrame:
     )
     keyed = keyed.select(
         "fp",
-        "low",
         "bucket",
         F.explode(F.when(F.col("count") > HOT_BUCKET, near).otherwise(F.array(F.lit(8)))).alias("t"),
     ).filter("t >= 0")
-    keyed = keyed.select((F.col("bucket") + F.col("t")).alias("bucket"), "fp", "low")
+    keyed = keyed.select((F.col("bucket") + F.col("t")).alias("bucket"), "fp")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b, n = [], [], 0
         for group in sorted_groups(batches, "bucket"):
             if group.num_rows < 2:
                 continue
-            prints = group["fp"].to_numpy().view(np.uint64)
-            low = group["low"].to_numpy()
+            names = group["fp"].to_numpy()
+            prints = names.view(np.uint64)
             step = int(group["bucket"][0].as_py()) & 15
             roots = link(prints, radius, step if step < 8 else -1)
             linked = roots != np.arange(len(roots))
-            out_a.append(low[linked])
-            out_b.append(low[roots[linked]])
+            out_a.append(names[linked])
+            out_b.append(names[roots[linked]])
             n += int(linked.sum())
             if n > 1 << 16:
                 yield _pairs(out_a, out_b)

@@ -84,6 +84,30 @@ def test_hot_buckets_are_dealt_by_population_count(make, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_ids_link_nothing(make, monkeypatch):
+    """Rows without an id, and one id on several fingerprints, against brute force by fingerprint."""
+    r = random.Random(12)
+    texts = families(9, 20)
+    rows = [(r.choice([None, None, i, i // 3, 7]), t, "en", "a") for i, t in enumerate(texts)]
+    prints = [plain(t) for t in texts]
+    root = components(prints, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    low = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in root}
+    want = sorted([(rows[i][0], f"{prints[i]:016x}", low[root[i]]) for i in range(len(rows))], key=str)
+    got = s.simhash_components(make(rows)).collect()
+    assert sorted([(g["doc_id"], g["fingerprint"], g["component_id"]) for g in got], key=str) == want
+    assert sum(i is None and low[c] is None for (i, *_), c in zip(rows, root)) > 1
+
+
+def test_two_classes_without_ids_stay_apart(spark, make, monkeypatch):
+    """Fingerprints A, A' and B, B' within the radius, A and B far apart; A' and B' without an id."""
+    a, b = 0x0123456789ABCDEF, 0xFEDCBA9876543210
+    made = {"a": a, "a2": a ^ 1, "b": b, "b2": b ^ 6}
+    for ids in ((None, None), (9, 9)):
+        classes = spark.createDataFrame([(p if p < 2**63 else p - 2**64,) for p in made.values()], "fp long")
+        pairs = {frozenset(x + 2**64 if x < 0 else x for x in e) for e in s._edges(classes, 2).collect()}
+        assert pairs == {frozenset((made["a"], made["a2"])), frozenset((made["b"], made["b2"]))}, ids
+
+
 def test_odd_rows(odd, none):
     got = s.simhash_components(odd).collect()
     assert len(got) == odd.count()
