@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, evaluation, onboarding, ranking, validation
+from ..operators import answers, bm25, chunking, evaluation, onboarding, products, ranking, validation
 from ..sources import bundles, sinks, tables
 from ..vocabulary import RetrievalConfig
 from . import oracles
@@ -430,29 +430,27 @@ def _asked_vectors(spark, sf) -> DataFrame:
 
 @query
 def cosine_topk(spark, sf):
-    at = ranking.best(ranking.cosine_scores(_asked_vectors(spark, sf), _vectors(spark, sf)), 10)
+    at = products.cosine_topk(_asked_vectors(spark, sf), _vectors(spark, sf), 10)
     return at.withColumn("score", F.round("score", 6))
 
 
 def _fused(spark, sf):
-    cosines = ranking.ranked(ranking.cosine_scores(_asked_vectors(spark, sf), _vectors(spark, sf)))
-    first = F.element_at("q", 1).cast("double") * F.element_at("v", 1).cast("double")
-    pairs = _asked_vectors(spark, sf).select("query_id", F.col("vector").alias("q")).crossJoin(
-        _vectors(spark, sf).select("item_id", F.col("vector").alias("v"))
-    )
-    other = ranking.ranked(pairs.select("query_id", "item_id", first.alias("score")))
-    return cosines, other, ranking.fuse(cosines, other)
+    asked, rows = _asked_vectors(spark, sf), _vectors(spark, sf)
+    most = rows.count()  # from the files' footers; no query has more
+    cosines = ranking.ranked(products.scores(asked, rows), most)
+    other = ranking.ranked(products.scores(asked, rows, first=1), most)
+    return ranking.fuse(cosines, other, most=most)
 
 
 @query
 def rrf_fusion(spark, sf):
-    return _fused(spark, sf)[2].withColumn("score", F.round("score", 9))
+    return _fused(spark, sf).withColumn("score", F.round("score", 9))
 
 
 @query
 def recall_mrr(spark, sf):
     """How early a label's ranking shows another of its own vectors."""
-    fused = _fused(spark, sf)[2]
+    fused = _fused(spark, sf)
     own = _vectors(spark, sf).groupBy("label").agg(F.max("item_id").alias("item_id"))
     relevant = own.select(
         F.col("label").cast("long").alias("query_id"),
