@@ -92,6 +92,23 @@ def normalize_version(version: Column) -> Column:
     )
 
 
+def resolved_path(path: Column) -> Column:
+    """A relative path without '.' and '..'; null for one that is absolute, climbs above where it
+    starts, or names the start itself."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+
+    def step(state, part):
+        up = part == ".."
+        at = F.when(up, F.slice(state["at"], 1, F.greatest(F.size(state["at"]) - 1, F.lit(0)))).otherwise(
+            F.concat(state["at"], F.array(part))
+        )
+        return F.struct(at.alias("at"), (state["ok"] & ~(up & (F.size(state["at"]) == 0))).alias("ok"))
+
+    ends = lambda s: F.when(s["ok"] & (F.size(s["at"]) > 0), F.array_join(s["at"], "/"))
+    return F.when(~path.startswith("/"), F.aggregate(parts, start, step, ends))
+
+
 def fraction(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit("n/a")).otherwise(F.format_string("%d/%d", part, whole))
 

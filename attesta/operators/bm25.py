@@ -33,6 +33,15 @@ class Index:
     def release(self) -> None:
         self.chunks.unpersist()
 
+    def frequencies(self, asked: DataFrame) -> DataFrame:
+        """(_a, _b, n_tokens, token, tf, idf) of the chunks that hold a token of asked(token)."""
+        return (
+            keyed(self.chunks).select("_a", "_b", "n_tokens", F.explode("tokens").alias("token"))
+            .join(asked, "token", "left_semi")
+            .groupBy("_a", "_b", "n_tokens", "token").agg(F.count("*").alias("tf"))
+            .join(self.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
+        )
+
 
 def tokenized(chunks: DataFrame) -> DataFrame:
     tokens = once(chunks, tokens=tokenize(index_text(chunks)))
@@ -101,7 +110,7 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "stats", "idf")))
 
 
-def _keyed(chunks: DataFrame) -> DataFrame:
+def keyed(chunks: DataFrame) -> DataFrame:
     """Chunks with two hashes of their id, 128 bits together: sums are grouped by these, which takes
     far less than by names."""
     return chunks.withColumns({"_a": F.xxhash64("chunk_id"), "_b": F.xxhash64(F.lit(1), "chunk_id")})
@@ -117,11 +126,7 @@ def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
     length = F.col("n_tokens") / F.col("avg_tokens")
     weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
     weights = (
-        _keyed(index.chunks).select("_a", "_b", "n_tokens", F.explode("tokens").alias("token"))
-        .join(asked, "token", "left_semi")
-        .groupBy("_a", "_b", "n_tokens", "token")
-        .agg(F.count("*").alias("tf"))
-        .join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
+        index.frequencies(asked)
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("_a", "_b", "token", F.round(weight * _UNIT).cast("long").alias("weight"))
         # by chunk, not by token: frequent words meet most queries, in whichever task holds them
@@ -132,7 +137,7 @@ def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _named(scores: DataFrame, index: Index) -> DataFrame:
-    names = _keyed(index.chunks).select("_a", "_b", "doc_id", "chunk_index", "chunk_id")
+    names = keyed(index.chunks).select("_a", "_b", "doc_id", "chunk_index", "chunk_id")
     return scores.join(names, ["_a", "_b"]).drop("_a", "_b")
 
 

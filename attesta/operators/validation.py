@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, source_hash
+from ..functions.text import is_blank, once, resolved_path, source_hash
 from ..vocabulary import DOC_TYPES, OUTSIDE, RETRIEVABLE, STATUSES, TWO_CURRENT
 
 HASH = r"\Asha256:[a-f0-9]{64}\z"
@@ -52,16 +52,19 @@ def duplicate_current(documents: DataFrame) -> DataFrame:
     )
 
 
-def check(sidecars: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def check(sidecars: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, issues). sidecars: sidecar_path, parse_problem, inside and the metadata fields;
-    files: path, content.
+    files: path without dots, content. Without files, sidecars have the content of their sources.
+    A source is the file that its path resolves to, wherever below the corpus that is.
 
     The first failing check of a sidecar is its issue: unreadable or against the schema, a source
     outside the corpus, missing, with another hash, or without text. Duplicate current versions are
     issues of their ids; their documents still count as valid."""
-    at = sidecars.join(
-        files.select(F.col("path").alias("source_file_path"), "content"), "source_file_path", "left"
-    )
+    at = sidecars
+    if files is not None:
+        place = resolved_path(F.col("source_file_path"))
+        at = once(at, _place=place).withColumn("inside", F.col("inside") & F.col("_place").isNotNull())
+        at = at.join(files.select(F.col("path").alias("_place"), "content"), "_place", "left").drop("_place")
     # text that isn't UTF-8 is an issue here, not an error of the job
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(utf8, F.decode("content", "UTF-8"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, evaluation, onboarding, products, ranking, validation
-from ..sources import bundles, sinks, tables
+from ..operators import answers, bm25, chunking, evaluation, onboarding, postings, products, ranking, snapshots, validation
+from ..sources import bundles, sinks, store, tables
 from ..vocabulary import RetrievalConfig
 from . import oracles
 
@@ -99,6 +99,34 @@ def corpus_check(spark, sf):
     return issues
 
 
+@query
+def resolved_sources(spark, sf):
+    """Validation of sidecars that name their sources by paths with dots, in folders of any depth."""
+    docs = _docs(spark, sf)
+    n = F.col("doc_number")
+    number = n.cast("string")
+    named = (
+        F.when(n % 6 == 0, F.concat(F.lit("./documents/"), number, F.lit(".md")))
+        .when(n % 6 == 1, F.concat(F.lit("documents/gone/../sub//"), number, F.lit(".md")))
+        .when(n % 6 == 2, F.concat(F.lit("annex/a/b/./../"), number, F.lit(".md")))
+        .when(n % 6 == 3, F.concat(F.lit("documents/../../other/"), number, F.lit(".md")))
+        .when(n % 6 == 4, F.concat(F.lit("/documents/"), number, F.lit(".md")))
+        .otherwise(F.concat(F.lit("x/y/../../documents/sub/./"), number, F.lit(".md")))
+    )
+    folder = F.when(n % 6 == 0, "documents").when(n % 6 == 2, "annex/a").otherwise("documents/sub")
+    sidecars = docs.select(
+        F.concat(F.lit("metadata/"), number, F.lit(".yaml")).alias("sidecar_path"), F.lit(None).cast("string").alias("parse_problem"),
+        F.lit(True).alias("inside"), "doc_id", "doc_title", "doc_type", "version", "status", "department", "effective_date",
+        F.lit(None).cast("string").alias("review_due_date"), named.alias("source_file_path"), "source_hash",
+    )
+    files = docs.filter(n % 17 != 0).select(
+        F.concat(folder, F.lit("/"), number, F.lit(".md")).alias("path"), F.col("raw_text").cast("binary").alias("content")
+    )
+    documents, issues = validation.check(sidecars, files)
+    valid = documents.select(F.col("source_file_path").alias("path"), F.lit("valid").alias("message"))
+    return valid.unionByName(issues)
+
+
 # chunks
 
 
@@ -172,6 +200,32 @@ def bm25_topk(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def stored_topk(spark, sf):
+    """The same hits, from postings that have been written in buckets and loaded again."""
+    at = store.shared_folder(spark)
+    postings.save(_index(spark, sf), at, buckets=32)
+    found = bm25.top(postings.load(spark, at), _asked(spark, sf), CONFIG.top_k)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def incremental_idf(spark, sf):
+    """The index of the corpus, by difference from an earlier one: some documents are new, some had
+    another text or status, some are gone."""
+    now = _docs(spark, sf)
+    n = F.col("doc_number")
+    text = F.when(n % 7 == 0, F.concat(F.col("raw_text"), F.lit("\n\nAn earlier end."))).otherwise(F.col("raw_text"))
+    before = now.filter(n % 5 != 0).withColumns({
+        "raw_text": text, "source_hash": F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256)),
+        "status": F.when(n % 11 == 0, "Approved").otherwise(F.col("status")),
+    })
+    gone = now.filter(n % 13 == 0).withColumns({"doc_id": F.concat("doc_id", F.lit("-X")), "status": F.lit("Effective")})
+    old = snapshots.take(before.unionByName(gone)).save(store.shared_folder(spark))
+    at = snapshots.update(old, now).index().idf
+    return at.withColumns({c: F.round(c, 6) for c in ("raw_idf", "idf")})
+
+
 @query
 def coverage_rank1(spark, sf):
     found = bm25.hits(_index(spark, sf), _asked(spark, sf), CONFIG, gate=False).filter("rank = 1")

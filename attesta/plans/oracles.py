@@ -274,6 +274,12 @@ SQL: dict[str, str] = {
       SELECT family, 'more than one retrievable version for doc_id ''' || family || ''' (versions: ' || string_agg(version, ', ' ORDER BY version)
         || '); exactly one Approved/Effective version may be retrievable'
       FROM p WHERE problem IS NULL AND status IN ('Approved', 'Effective') GROUP BY family HAVING count(*) > 1""",
+    "resolved_sources": _with(DOCS) + """, p AS (
+      SELECT doc_number AS n, CASE doc_number % 6 WHEN 0 THEN './documents/' WHEN 1 THEN 'documents/gone/../sub//' WHEN 2 THEN 'annex/a/b/./../'
+        WHEN 3 THEN 'documents/../../other/' WHEN 4 THEN '/documents/' ELSE 'x/y/../../documents/sub/./' END || doc_number || '.md' AS path FROM docs)
+      SELECT CASE WHEN n % 6 IN (3, 4) OR n % 17 = 0 THEN 'metadata/' || n || '.yaml' ELSE path END AS path,
+        CASE WHEN n % 6 IN (3, 4) THEN 'source_file_path must stay inside the corpus directory'
+          WHEN n % 17 = 0 THEN 'source file not found: ' || path ELSE 'valid' END AS message FROM p""",
     "line_offsets": _with(DOCS, LINES) + """ SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CAST(char_start AS INTEGER) AS char_start,
       CAST(n_chars AS INTEGER) AS n_chars, is_heading, is_blank FROM lines""",
     "chunk_documents": _with(DOCS, LINES, CHUNKS) + " SELECT * FROM gated",
@@ -374,3 +380,5 @@ SQL: dict[str, str] = {
     "audit_counts": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
       FROM events GROUP BY 1, 2""",
 }
+#: The stored and the incremental index give what a fresh one gives.
+SQL |= {"stored_topk": SQL["bm25_topk"], "incremental_idf": SQL["idf"]}

@@ -12,7 +12,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 
 from ..operators import answers, bm25, evaluation, onboarding, validation
-from ..sources import bundles, sinks
+from ..sources import bundles, corpora, sinks
 from ..vocabulary import RetrievalConfig
 
 #: Issues of a corpus that a call returns at most.
@@ -174,9 +174,11 @@ def onboard(
     }
     records = onboarding.review_duplicates(onboarding.evaluate_sources(sources, mapping)).persist()
     try:
-        written = {}
+        written = None
         if output_dir and not dry_run:
-            written = sinks.write_bundle(sinks.normalized_corpus(records, sources), output_dir, force)
+            clean = sinks.normalized_corpus(records, sources)
+            corpora.write(clean, output_dir, force)
+            written = sinks.metadata_paths(clean)
         report = sinks.onboarding_report(records, bundle_dir.rstrip("/").rsplit("/", 1)[-1], hashes, written)
         report["normalized_corpus_dir"] = output_dir
         return report

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -12,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import source_hash
+from ..functions.text import resolved_path, source_hash
 from ..vocabulary import FIELDS, NO_METADATA_DIR, NO_SIDECARS, OUTCOMES, STATUSES
+from .store import Store
 
 METADATA = (*FIELDS, "review_due_date", "source_file_path", "source_hash")
 _SIDECAR = "sidecar_path string, parse_problem string, inside boolean, " + ", ".join(f"{f} string" for f in METADATA)
@@ -99,14 +99,13 @@ def read_sidecars(spark: SparkSession, corpus_dir: str) -> DataFrame:
     return _files(spark, f"{corpus_dir}/metadata", "*.yaml").mapInPandas(parse, _SIDECAR)
 
 
-def led_outside(spark: SparkSession, folder: str, below: str) -> list[str]:
-    """Names in below/ that are links to files outside folder/. Only local folders have links."""
-    folder = folder.removeprefix("file://")
-    if "://" in folder or not os.path.isdir(f"{folder}/{below}"):
-        return []
-    root = os.path.realpath(folder)
-    real = ((e.name, os.path.realpath(e.path)) for e in os.scandir(f"{folder}/{below}") if e.is_symlink())
-    return [name for name, at in real if os.path.commonpath([root, at]) != root]
+def known(folder: str) -> bool:
+    """Whether tasks can open the files of a folder themselves; Spark's readers reach more stores."""
+    try:
+        Store(folder)
+    except Exception:  # whatever a store's client raises where it is unknown or absent
+        return False
+    return True
 
 
 def read_sources(spark: SparkSession, corpus_dir: str, below: str = "documents") -> DataFrame:
@@ -117,16 +116,19 @@ def read_sources(spark: SparkSession, corpus_dir: str, below: str = "documents")
 
 
 def read_corpus(spark: SparkSession, corpus_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, issues) of a corpus folder. A corpus without metadata is an issue of its folder."""
+    """(documents, issues) of a corpus folder. A corpus without metadata is an issue of its folder. In
+    stores that only Spark's readers reach, sources are those of the folder documents/ itself."""
     from ..operators.validation import check
-
-    sidecars = read_sidecars(spark, corpus_dir)
-    if outside := led_outside(spark, corpus_dir, "documents"):
-        leads = F.col("source_file_path").isin([f"documents/{n}" for n in outside])
-        sidecars = sidecars.withColumn("inside", F.col("inside") & ~F.coalesce(leads, F.lit(False)))
-    documents, issues = check(sidecars, read_sources(spark, corpus_dir))
-    if not _listed(spark, f"{corpus_dir}/metadata", "*.yaml"):
-        there = bool(_listed(spark, corpus_dir, "metadata"))
+    from . import corpora
+
+    if known(corpus_dir):
+        documents, issues = check(corpora.read(spark, corpus_dir))
+        store = Store(corpus_dir)
+        names, there = store.names("metadata", ".yaml"), store.is_folder("metadata")
+    else:
+        documents, issues = check(read_sidecars(spark, corpus_dir), read_sources(spark, corpus_dir))
+        names, there = _listed(spark, f"{corpus_dir}/metadata", "*.yaml"), bool(_listed(spark, corpus_dir, "metadata"))
+    if not names:
         told = NO_SIDECARS if there else NO_METADATA_DIR
         none = spark.createDataFrame([(f"{corpus_dir}/metadata", told)], "path string, message string")
         issues = issues.unionByName(none)
@@ -204,48 +206,50 @@ MAPPING, REGISTER = "metadata-map.yaml", "incoming/source-register.yaml"
 
 
 def _below(path: Column, root: str) -> Column:
-    """Whether a relative path stays below root, whatever dots it has: no '..' climbs above where it
-    stands, and what is left begins with root."""
-    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
-    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+    """Whether a relative path stays below root, whatever dots it has."""
+    return F.coalesce(resolved_path(path).startswith(f"{root}/"), F.lit(False))
 
-    def step(state, part):
-        up = part == ".."
-        at = F.when(up, F.slice(state["at"], 1, F.greatest(F.size(state["at"]) - 1, F.lit(0)))).otherwise(
-            F.concat(state["at"], F.array(part))
-        )
-        return F.struct(at.alias("at"), (state["ok"] & ~(up & (F.size(state["at"]) == 0))).alias("ok"))
 
-    inside = F.aggregate(parts, start, step, lambda s: F.when(s["ok"], F.array_join(s["at"], "/")))
-    return F.coalesce(~path.startswith("/") & inside.startswith(f"{root}/"), F.lit(False))
+def _fetched(paths: DataFrame, root: str, below: str) -> DataFrame:
+    """(source_path, safe, content) of paths(source_path): each is looked up, and read, where its task
+    runs. One that leaves the folder, by dots or by a link, isn't safe and isn't read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = Store(root)
+        for frame in frames:
+            safe = [store.inside(p, below) for p in frame["source_path"]]
+            content = [store.read(p) if s else None for p, s in zip(frame["source_path"], safe)]
+            yield pd.DataFrame({"source_path": frame["source_path"], "safe": safe, "content": content})
+
+    return paths.mapInPandas(run, "source_path string, safe boolean, content binary")
 
 
 def read_bundle(
     spark: SparkSession, bundle_dir: str, mapping_path: str | None = None, register_path: str | None = None
 ) -> tuple[DataFrame, dict]:
     """(sources, mapping) of a messy bundle, ready for evaluate_sources(). A source that isn't UTF-8
-    counts as one without text, links that lead out of the bundle are not safe."""
+    counts as one without text, links that lead out of the bundle are not safe. Registered sources are
+    found in any folder below the documents; the others are the Markdown files of that folder itself."""
     from ..operators.onboarding import last_of_path, source_paths
 
     mapping = read_mapping(spark, mapping_path or f"{bundle_dir}/{MAPPING}")
     register = read_register(spark, register_path or f"{bundle_dir}/{REGISTER}")
     below = "incoming/documents"
-    files = read_sources(spark, bundle_dir, below).withColumnRenamed("path", "source_path")
-    listed = files.filter(F.col("source_path").endswith(".md"))
-    safe = _below(F.col("source_path"), below)
-    if outside := led_outside(spark, bundle_dir, below):
-        safe = safe & ~F.col("source_path").isin([f"{below}/{n}" for n in outside])
+    if known(bundle_dir):
+        names = [(f"{below}/{n}",) for n in Store(bundle_dir).names(below, ".md")]
+        listed = spark.createDataFrame(names, "source_path string")
+        files = _fetched(source_paths(listed, register), bundle_dir, below)
+    else:
+        held = read_sources(spark, bundle_dir, below).withColumnRenamed("path", "source_path")
+        listed = held.filter(F.col("source_path").endswith(".md"))
+        files = source_paths(listed, register).join(held, "source_path", "left")
+        files = files.withColumn("safe", _below(F.col("source_path"), below))
     last = last_of_path(register)
     fields = F.struct(*FIELDS, "current_version").alias("register")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise("")
     return (
-        source_paths(listed, register)
-        .join(last.select("source_path", fields), "source_path", "left")
-        .join(files, "source_path", "left")
-        .select(
-            "source_path", safe.alias("safe"),
-            F.when(F.col("content").isNotNull(), text).alias("raw_text"), "register",
-        ),
+        files.join(last.select("source_path", fields), "source_path", "left")
+        .select("source_path", "safe", F.when(F.col("content").isNotNull(), text).alias("raw_text"), "register"),
         mapping,
     )
 

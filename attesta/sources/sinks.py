@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import onboarding
 from ..vocabulary import RETRIEVABLE
+from . import corpora
 from .bundles import BundleError, dump
 
 
@@ -59,41 +59,29 @@ def write_normalized(documents: DataFrame, path: str, force: bool = False) -> No
     documents.write.mode("overwrite").parquet(path)
 
 
+def metadata_paths(documents: DataFrame) -> DataFrame:
+    """(source_path, emitted_metadata_path) of the documents of a clean corpus."""
+    name = F.regexp_replace(F.substring_index("source_file_path", "/", -1), r"\.[^.]*\z", "")
+    return documents.select("source_path", F.concat(F.lit("metadata/"), name, F.lit(".yaml")).alias("emitted_metadata_path"))
+
+
 def write_bundle(documents: DataFrame, path: str, force: bool = False) -> dict[str, str]:
-    """A clean corpus as Markdown files with YAML sidecars, for tools that read folders: source path to
-    metadata path. Streams rows through the driver one at a time; bundles are small by nature, tables
-    go to write_normalized()."""
-    import yaml
-
-    spark = documents.sparkSession
-    claim(spark, path, force)
-    written: dict[str, str] = {}
-    fields = ("doc_id", "doc_title", "doc_type", "version", "status", "effective_date", "department", "source_file_path", "source_hash")
-    for r in documents.orderBy("source_path").toLocalIterator():
-        side = {f: r[f] for f in fields}
-        try:
-            side["effective_date"] = date.fromisoformat(r["effective_date"])
-        except (TypeError, ValueError) as e:
-            raise BundleError(f"{r['source_path']}: effective_date must be a date") from e
-        stem = r["source_file_path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        write_text(spark, f"{path}/{r['source_file_path']}", r["raw_text"])
-        write_text(spark, f"{path}/metadata/{stem}.yaml", yaml.safe_dump(side, sort_keys=False))
-        written[r["source_path"]] = f"metadata/{stem}.yaml"
-    return written
+    """A clean corpus as Markdown files with YAML sidecars, for tools that read folders, written by the
+    executors, see corpora.write(). The result, source path to metadata path, is for small bundles;
+    metadata_paths() is the same as a table."""
+    corpora.write(documents, path, force)
+    return {r[0]: r[1] for r in metadata_paths(documents).orderBy("source_path").collect()}
 
 
 def onboarding_report(
-    records: DataFrame, bundle: str, hashes: dict[str, str] | None = None, written: dict[str, str] | None = None
+    records: DataFrame, bundle: str, hashes: dict[str, str] | None = None, written: DataFrame | None = None
 ) -> dict:
     """The report's aggregates and records, as a dict. Nulls are left out of records. hashes: of the
     mapping and the register; written: metadata path of each source that was emitted."""
-    kept = records.drop("current_version").orderBy("source_path")
-    rows = []
-    for r in kept.toLocalIterator():
-        row = {k: v for k, v in r.asDict(True).items() if v is not None}
-        if written and r["source_path"] in written:
-            row["emitted_metadata_path"] = written[r["source_path"]]
-        rows.append(row)
+    kept = records.drop("current_version")
+    if written is not None:
+        kept = kept.join(written, "source_path", "left")
+    rows = [{k: v for k, v in r.asDict(True).items() if v is not None} for r in kept.orderBy("source_path").toLocalIterator()]
     return {
         "source_bundle": bundle,
         **(hashes or {}),
