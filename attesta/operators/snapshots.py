@@ -91,4 +91,4 @@ def update(old: Snapshot, documents: DataFrame, gate: bool = True) -> Snapshot:
     parts = old.totals.unionByName(_totals(come)).unionByName(_totals(gone, -1))
     totals = parts.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
     kept = old.chunks.join(changed, "key", "left_anti")
-    return Snapshot(keys, kept.unionByName(come), df, totals)
+    return Snapshot(keys, kept.select(old.chunks.columns).unionByName(come), df, totals)
