@@ -20,6 +20,9 @@ CAPACITY = 2048
 END = 1
 #: Windows that are filled together; a task holds the tokens of so many.
 WINDOWS = 256
+#: Items below a window's size over BUNDLE are put together, in order, until they reach it; a window's
+#: worth of pieces that an answer holds at once.
+BUNDLE, SHOWN = 32, 16
 #: Distinct words, with what stands next to them, that a worker remembers; longer ones are not.
 PIECES, LONG = 400_000, 64
 
@@ -101,8 +104,9 @@ class WordTokenizer:
         added = self._learn(set().union(*(own for own in words if own)).difference(known))
         end = np.array([END], "<u4").tobytes()
         get = known.__getitem__
+        nothing = np.frombuffer(end, "<u4")
         found = [
-            np.frombuffer((self._encode([t])[0] if own is None else b"".join(map(get, own))) + end, "<u4")
+            nothing if own == [] else np.frombuffer((self._encode([t])[0] if own is None else b"".join(map(get, own))) + end, "<u4")
             for t, own in zip(texts, words)
         ]
         for w in added:
@@ -127,57 +131,80 @@ def differencing(lengths: list[int], windows: int) -> np.ndarray:
         return np.zeros(len(lengths), np.int64)
     if len(lengths) <= windows:
         return np.arange(len(lengths))
-    heap = []
-    for i, n in enumerate(lengths):
+    slot = np.int16 if windows < 1 << 15 else np.int32
+
+    def sums_of(entry) -> np.ndarray:
+        if entry[2] is not None:
+            return entry[2]
         sums = np.zeros(windows, np.int64)
-        sums[0] = n
-        heap.append((-n, i, sums, i))
+        sums[0] = -entry[0]
+        return sums
+
+    heap = [(-n, i, None) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
     made = len(lengths)
-    children: dict[int, tuple] = {}
+    children: list[tuple] = []
     while len(heap) > 1:
-        _, _, a, na = heapq.heappop(heap)
-        _, _, b, nb = heapq.heappop(heap)
-        both = a + b[::-1]  # a falls, so the fullest of a meets the emptiest of b
+        one, two = heapq.heappop(heap), heapq.heappop(heap)
+        both = sums_of(one) + sums_of(two)[::-1]  # one's falls, so its fullest meets the emptiest of two
         order = np.argsort(-both, kind="stable")
         sums = both[order] - both[order[-1]]
-        # slot k of the merged partition: slot order[k] of a, and that of b from the other end
-        children[made] = (na, order, nb, windows - 1 - order)
-        heapq.heappush(heap, (-int(sums[0]), made, sums, made))
+        # slot k of the merged partition: slot order[k] of one, and that of two from the other end
+        children.append((one[1], two[1], order.astype(slot)))
+        heapq.heappush(heap, (-int(sums[0]), made, sums))
         made += 1
     at = np.empty(len(lengths), np.int64)
-    todo = [(heap[0][3], np.arange(windows))]
+    todo = [(heap[0][1], np.arange(windows, dtype=slot))]
     while todo:
         node, names = todo.pop()
         if node < len(lengths):
             at[node] = names[0]
             continue
-        na, sa, nb, sb = children.pop(node)
-        for n, slots in ((na, sa), (nb, sb)):
-            own = np.empty(windows, np.int64)
+        one, two, order = children[node - len(lengths)]
+        for n, slots in ((one, order), (two, windows - 1 - order)):
+            own = np.empty(windows, slot)
             own[slots] = names
             todo.append((n, own))
     return at
 
 
+def bundles(lengths: list[int], most: int) -> list[list[int]]:
+    """Items in order; those below `most` together as long as their sum doesn't exceed it."""
+    out: list[list[int]] = []
+    room = -1
+    for i, n in enumerate(lengths):
+        if n >= most:
+            out.append([i])
+        elif n <= room:
+            open_.append(i)
+            room -= n
+        else:
+            open_, room = [i], most - n
+            out.append(open_)
+    return out
+
+
 def balanced(lengths: list[int], capacity: int) -> list[list[int]]:
     """Windows as lists of items, none above the capacity: differencing gives near-equal windows, and
-    their number rises whenever one exceeds it, by what its excess over the mean calls for."""
+    their number rises whenever one exceeds it, by what its excess over the mean calls for. Tiny items
+    are differenced in bundles, so that its memory follows the tokens, not the number of items."""
     if max(lengths, default=0) > capacity:
         raise ValueError("an item is longer than a window")
-    total = sum(lengths)
+    together = bundles(lengths, max(1, capacity // BUNDLE))
+    sizes = [sum(lengths[i] for i in own) for own in together]
+    total = sum(sizes)
     windows = -(-total // capacity)
     while True:
-        at = differencing(lengths, windows)
-        sums = np.bincount(at, weights=lengths, minlength=windows) if len(lengths) else np.zeros(0)
+        at = differencing(sizes, windows)
+        sums = np.bincount(at, weights=sizes, minlength=windows) if len(sizes) else np.zeros(0)
         top = int(sums.max(initial=0))
         if top <= capacity:
             break
         room = capacity - (top - total / windows)
-        windows = min(len(lengths), max(windows + 1, int(total / room) if room > 0 else 0))
+        windows = min(len(sizes), max(windows + 1, int(total / room) if room > 0 else 0))
     out: list[list[int]] = [[] for _ in range(windows)]
-    for i, w in enumerate(at.tolist()):
-        out[w].append(i)
+    for own, w in zip(together, at.tolist()):
+        out[w] += own
     return [w for w in out if w]
 
 
@@ -268,6 +295,10 @@ def pack_documents(
         held = 0
 
         def emit(windows):
+            for k in range(0, len(windows), SHOWN):
+                yield shown(windows[k : k + SHOWN])
+
+        def shown(windows):
             nonlocal sequence
             rows: list[list] = [[] for _ in range(8)]
             for w in windows:
@@ -296,7 +327,7 @@ def pack_documents(
                     continue
                 windows = pack([len(x[1]) for x in open_], capacity)
                 left = windows.pop() if held % capacity else []
-                yield emit(windows)
+                yield from emit(windows)
                 # what doesn't fill a window goes on into the next group
                 open_ = [
                     (open_[i][0], open_[i][1][start : start + n], open_[i][2] + start, open_[i][3])
@@ -307,7 +338,7 @@ def pack_documents(
             windows = pack([len(x[1]) for x in open_], capacity)
             if held % capacity:
                 windows[-1:] = powers(windows[-1])
-            yield emit(windows)
+            yield from emit(windows)
 
     two = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return two.mapInArrow(lean(run), schema)

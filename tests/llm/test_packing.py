@@ -148,3 +148,34 @@ def test_odd_rows(odd, none):
 def test_ids_can_be_asked_for(make):
     row = packing.pack_documents(make([(1, "hello world", "en", "a")]), with_ids=True).collect()
     assert [i for r in sorted(row, key=lambda r: r["start"]) for i in r["ids"]][-1] == 1
+
+
+def test_many_tiny_documents_take_little_memory():
+    """A group of 524,288 documents of one token each, as of empty texts, in one task."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from attesta.llm.packing import pack
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+windows = pack([1] * 524_288)
+assert len(windows) == 256 and all(sum(n for *_, n in w) == 2048 for w in windows)
+assert sorted(i for w in windows for i, *_ in w) == list(range(524_288))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout.split()[-1]) < 250
+
+
+def test_bundles_hold_every_item_once():
+    import random
+
+    from attesta.llm.packing import bundles
+
+    r = random.Random(3)
+    for _ in range(50):
+        lengths = [r.choice([0, 1, 3, 20, 64, 65, 500]) for _ in range(r.randint(0, 60))]
+        found = bundles(lengths, 64)
+        assert sorted(i for b in found for i in b) == list(range(len(lengths)))
+        assert all(len(b) == 1 or sum(lengths[i] for i in b) <= 64 for b in found)
