@@ -74,6 +74,13 @@ _TAGS = {
 }
 
 
+#: Other scripts: ranges of letters as (first, number), and whether spaces part words.
+_SCRIPTS = (
+    (((0x3041, 80), (0x4E00, 600)), False), (((0x4E00, 1500),), False), (((0x0E01, 46),), False), (((0x0430, 32),), True),
+    (((0x03B1, 25),), True), (((0x0627, 36),), True), (((0x0905, 50),), True), (((0xAC00, 900),), True),
+)
+
+
 class Maker:
     def __init__(self, seed: int):
         self._rng = np.random.default_rng(seed)
@@ -87,19 +94,32 @@ class Maker:
     def _many(self, low: int, high: int) -> range:
         return range(int(self._rng.integers(low, high + 1)))
 
+    def _letters(self, low: int, high: int) -> str:
+        first, n = self._one(self._script[0])
+        # some letters are much commoner than others
+        return "".join(chr(first + int(n * self._rng.random() ** 2)) for _ in self._many(low, high))
+
     def _word(self) -> str:
+        if self._script:
+            return self._letters(2, 9) if self._script[1] else self._letters(1, 3)
         if self._small and self._chance(0.35):
             return self._one(self._small)
         return "".join(self._one(_SYLLABLES) for _ in self._many(1, 4))
 
     def _words(self, low: int, high: int) -> str:
         words = [self._word() for _ in self._many(low, high)]
+        if self._script and not self._script[1]:
+            ends = ["、" if self._chance(0.08) else "。" if self._chance(0.05) else "" for _ in words]
+            return "".join(w + e for w, e in zip(words, ends)) + self._one(["。", "。", "", "！"])
         odd = self._one([".", ".", ",", "!", "***", " |"])
         for i in range(len(words)):
             if self._chance(0.1):
                 words[i] += self._one([",", ".", odd])
         return " ".join(words).capitalize() + self._one([".", ".", ".", "", "!"])
 
+    def _letters_of(self) -> str:
+        return "".join(self._one(_SYLLABLES) for _ in self._many(1, 3))
+
     def _length(self) -> tuple[int, int]:
         return self._one([(1, 4), (3, 12), (10, 60), (10, 60), (30, 120)])
 
@@ -115,6 +135,7 @@ class Maker:
         """Markup, and for each block whether it is main text."""
         self._labels: list[bool] = []
         self._small = _SMALL[self._one([*_SMALL])] if self._chance(0.7) else []
+        self._script = self._one(_SCRIPTS) if self._chance(0.2) else None
         # how parts are named, and whether tags tell them
         self._named = self._one(["english"] * 5 + ["foreign"] * 2 + ["random"] * 3 + ["none"] * 3 + ["shuffled"])
         self._random = [self._word() for _ in range(6)]
@@ -203,9 +224,12 @@ class Maker:
         # an article that nothing marks is told by its length
         plain = not self._tagged or self._named in ("none", "random", "shuffled")
         before: list[str] = []
-        for _ in self._many(3 if plain else 1, 14):
-            kind = self._rng.random()
+        few = plain and self._chance(0.12)  # a short article of full paragraphs
+        for _ in self._many(2, 3) if few else self._many(3 if plain else 1, 14):
+            kind = self._rng.random() * (0.7 if few else 1)
             low, high = self._one([(3, 12), (10, 60), (20, 60), (30, 120)]) if plain else self._length()
+            low = max(low, 15) if few else low
+            high = max(high, 2 * low) if few else high
             if kind < 0.7:
                 text = self._words(low, high)
                 before.append(text)
@@ -223,6 +247,9 @@ class Maker:
                 out.append(f"<{list_}>{rows}</{list_}>")
             elif kind < 0.87:
                 out.append(self._block(self._one(["blockquote", "pre", "figcaption", "div"]), self._words(low, high), True))
+            elif kind < 0.89 and self._chance(0.6):
+                caption = self._block("figcaption", self._words(2, 25), True)
+                out.append(f"<figure{self._attribute('main', 0.2)}><img src='/{self._letters_of()}.jpg'>{caption}</figure>")
             elif kind < 0.89:
                 cells = "".join(self._block("td", self._words(1, 3), True) for _ in range(4))
                 out.append(f"<table><tr>{cells}</tr></table>")
