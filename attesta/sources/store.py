@@ -69,3 +69,15 @@ class Store:
             return None
         with self.fs.open_input_stream(at) as f:
             return f.read()
+
+    def size(self, path: str) -> int | None:
+        """A file's bytes counted; None if there is none."""
+        from pyarrow import fs
+
+        at = self.resolved(path)
+        info = None if "\0" in at else self.fs.get_file_info(at)
+        return info.size if info and info.type == fs.FileType.File else None
+
+    def open(self, path: str):
+        """A file, to be read from any place."""
+        return self.fs.open_input_file(self.resolved(path))
