@@ -110,12 +110,12 @@ def paragraphs(text: Column, title: Column) -> Column:
     return F.aggregate(lines, zero, step, ended)
 
 
-def chunk_documents(documents: DataFrame, gate: bool = True) -> DataFrame:
+def chunk_documents(documents: DataFrame, gate: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per paragraph of each retrievable document (of each one, without the gate).
 
     documents: doc_id, doc_title, doc_type, version, status, department, source_file_path,
     source_hash, raw_text. The text is the span that the offsets name; the heading is beside it.
-    Null text: no chunk."""
+    Null text: no chunk. keep: further columns of documents that chunks carry."""
     rows = status_gate(documents) if gate else documents
     rows = once(rows, _text=unix_lines(F.col("raw_text")))
     at = rows.select(
@@ -123,6 +123,7 @@ def chunk_documents(documents: DataFrame, gate: bool = True) -> DataFrame:
     )
     index = (F.col("_i") + 1).cast("int")
     return at.select(
+        *keep,
         chunk_id(F.col("doc_id"), F.col("version"), index).alias("chunk_id"),
         "doc_id",
         "doc_title",

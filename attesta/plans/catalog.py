@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, evaluation, onboarding, postings, products, ranking, snapshots, validation
+from ..operators import answers, bm25, chunking, evaluation, libraries, onboarding, postings, products, ranking, segments, snapshots, validation
 from ..sources import bundles, sinks, store, tables
 from ..vocabulary import RetrievalConfig
 from . import oracles
@@ -140,6 +140,12 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(_docs(spark, sf))
 
 
+@query
+def segment_chunks(spark, sf):
+    """The same chunks, with all documents beyond 300 characters chunked by segments."""
+    return segments.chunk_any(_docs(spark, sf), size=300)
+
+
 @query
 def chunk_spans(spark, sf):
     """Every chunk's text against the span that it names, all statuses."""
@@ -209,6 +215,22 @@ def stored_topk(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def library_hits(spark, sf):
+    """Questions over eight corpora in one index, one of them with a third of all documents; each question
+    asks two of them."""
+    n = F.col("doc_number")
+    corpus = F.when(n % 3 == 0, "main").otherwise(F.concat(F.lit("c"), (n % 7).cast("string")))
+    of = F.array(F.lit("main"), F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")))
+    asked = tables.questions(tables.table(spark, sf, "benchmark")).select(F.explode(of).alias("corpus"), "query_id", "question")
+    library = libraries.build(_docs(spark, sf).withColumn("corpus", corpus))
+    at = store.shared_folder(spark)
+    libraries.save(library, at)
+    library.release()
+    found = libraries.hits(libraries.load(spark, at), asked, GATED)
+    return found.select("corpus", "query_id", "rank", "chunk_id", *(F.round(c, 6).alias(c) for c in ("score", "coverage")))
+
+
 @query
 def incremental_idf(spark, sf):
     """The index of the corpus, by difference from an earlier one: some documents are new, some had

@@ -181,6 +181,47 @@ finals AS (SELECT *, retrieval_passed AND stale_passed AND refusal_passed AND ou
 ))
 
 
+_LIBRARY = _with(DOCS, LINES, CHUNKS) + rf""",
+ctok AS (
+  SELECT g.*, CASE WHEN d.doc_number % 3 = 0 THEN 'main' ELSE 'c' || (d.doc_number % 7) END AS corpus,
+    regexp_extract_all(lower(g.section_heading || {_NL} || g.text), '{_W}') AS tokens
+  FROM gated g JOIN docs d ON d.doc_id = g.doc_id
+),
+stats AS (SELECT corpus, count(*) AS n_chunks, sum(len(tokens)) / count(*) AS avg_tokens FROM ctok GROUP BY corpus),
+occ AS (SELECT corpus, doc_id, chunk_index, chunk_id, len(tokens) AS n_tokens, unnest(tokens) AS token FROM ctok),
+tf AS (SELECT corpus, doc_id, chunk_index, chunk_id, n_tokens, token, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT corpus, token, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT d.*, s.avg_tokens, ln(n_chunks - df + 0.5) - ln(df + 0.5) AS raw_idf FROM df d JOIN stats s ON s.corpus = d.corpus),
+idf AS (
+  SELECT *, CASE WHEN raw_idf < 0 THEN 0.25 * avg(raw_idf) OVER (PARTITION BY corpus) ELSE raw_idf END AS idf FROM raw
+),
+asked AS (
+  SELECT printf('Q-%05d', item_id) AS query_id, text AS question, unnest(['main', 'c' || (item_id % 7)]) AS corpus FROM benchmark
+),
+qt AS (SELECT corpus, query_id, regexp_extract_all(lower(question), '{_W}') AS ts FROM asked),
+word AS (SELECT corpus, query_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS place FROM qt),
+weight AS (
+  SELECT t.*, i.idf * (t.tf * 2.5 / (t.tf + 1.5 * (1 - 0.75 + 0.75 * (t.n_tokens / i.avg_tokens)))) AS weight
+  FROM tf t JOIN idf i ON i.token = t.token AND i.corpus = t.corpus
+),
+scores AS (
+  SELECT w.corpus, query_id, doc_id, chunk_index, chunk_id, list_sum(list(CAST(weight AS DOUBLE) ORDER BY place)) AS score
+  FROM word w JOIN weight g ON w.token = g.token AND w.corpus = g.corpus GROUP BY ALL
+),
+ranks AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY corpus, query_id ORDER BY score DESC, doc_id, chunk_index, chunk_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+),
+terms AS (
+  SELECT corpus, query_id, list_distinct(list_filter(regexp_extract_all(lower(question), '{_W}'),
+    lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))) AS terms FROM asked
+),
+covered AS (
+  SELECT r.*, CASE WHEN len(t.terms) > 0 THEN len(list_intersect(t.terms, c.tokens)) / CAST(len(t.terms) AS DOUBLE) ELSE 0.0 END AS coverage
+  FROM ranks r JOIN terms t ON t.query_id = r.query_id AND t.corpus = r.corpus JOIN ctok c ON c.chunk_id = r.chunk_id AND c.corpus = r.corpus
+)"""
+
+
 def _rate(flag: str, where: str = "true") -> str:
     return (
         f"CASE WHEN count(*) FILTER ({where}) = 0 THEN 'n/a' ELSE count(*) FILTER (({where}) AND {flag}) "
@@ -283,6 +324,7 @@ SQL: dict[str, str] = {
     "line_offsets": _with(DOCS, LINES) + """ SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CAST(char_start AS INTEGER) AS char_start,
       CAST(n_chars AS INTEGER) AS n_chars, is_heading, is_blank FROM lines""",
     "chunk_documents": _with(DOCS, LINES, CHUNKS) + " SELECT * FROM gated",
+    "segment_chunks": _with(DOCS, LINES, CHUNKS) + " SELECT * FROM gated",
     "chunk_spans": _with(DOCS, LINES, CHUNKS) + " SELECT status, count(*) AS n_chunks, count(*) AS n_exact FROM blind GROUP BY status",
     "tokenize": f"SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '{_W}'), ' ') AS tokens FROM documents",
     "content_terms": f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_W}'),
@@ -294,6 +336,9 @@ SQL: dict[str, str] = {
     "bm25_scores": ",".join((_GATED, ASKED, _score())) + " SELECT query_id, doc_id, chunk_index, chunk_id, round(score, 6) AS score FROM scores",
     "bm25_topk": ",".join((_GATED, ASKED, _score()))
     + " SELECT query_id, doc_id, chunk_index, chunk_id, round(score, 6) AS score, rank FROM ranks WHERE rank <= 5",
+    "library_hits": _LIBRARY + """ SELECT corpus, query_id, rank, chunk_id, round(score, 6) AS score, round(coverage, 6) AS coverage
+      FROM covered v WHERE rank <= 5 AND EXISTS (SELECT 1 FROM covered b
+        WHERE b.corpus = v.corpus AND b.query_id = v.query_id AND b.rank = 1 AND b.coverage >= 0.4)""",
     "coverage_rank1": ",".join((_GATED, ASKED, _score(), _cover()))
     + " SELECT query_id, chunk_id, round(coverage, 6) AS coverage FROM covered WHERE rank = 1",
     "gated_hits": _HITS + " SELECT query_id, rank, doc_id, chunk_id, status, line_or_page_span, round(score, 6) AS score FROM hits",
