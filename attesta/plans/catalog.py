@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import answers, bm25, chunking, evaluation, libraries, onboarding, postings, products, ranking, segments, snapshots, validation
 from ..sources import bundles, sinks, store, tables
 from ..vocabulary import RetrievalConfig
+from ..streaming import audit
 from . import oracles
 
 QUERIES: dict = {}
@@ -582,3 +583,14 @@ def audit_counts(spark, sf):
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .withColumns({"window_start": F.unix_timestamp("window_start"), "total": F.round("total", 4)})
     )
+
+
+@query
+def audit_log(spark, sf):
+    """Events as audit lines that a stream has moved from a spool of files into a log, by batches."""
+    spool, log = store.shared_folder(spark), store.shared_folder(spark)
+    line = F.to_json(F.struct("event_id", "event_type", "user_id"))
+    tables.table(spark, sf, "events").select(line.alias("value")).repartition(8, "value").write.text(spool)
+    audit.record(spark, spool, log, files=3).awaitTermination()
+    kept = F.from_json("value", "event_id long, event_type string, user_id long")
+    return audit.recorded(spark, log).select(kept.alias("e")).select("e.*")

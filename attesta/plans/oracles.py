@@ -424,6 +424,7 @@ SQL: dict[str, str] = {
         count(*) AS n FROM u GROUP BY 1""",
     "audit_counts": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
       FROM events GROUP BY 1, 2""",
+    "audit_log": "SELECT event_id, event_type, user_id FROM events",
 }
 #: The stored and the incremental index give what a fresh one gives.
 SQL |= {"stored_topk": SQL["bm25_topk"], "incremental_idf": SQL["idf"]}

@@ -8,11 +8,16 @@ import hmac
 import time
 import uuid
 from datetime import UTC, datetime
+from urllib.parse import quote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import answers, bm25, evaluation, onboarding, validation
+from ..operators import answers, bm25, evaluation, onboarding, postings, validation
+from ..operators.segments import DOCUMENT
 from ..sources import bundles, corpora, sinks
+from ..sources.store import Store
+from ..streaming import audit
 from ..vocabulary import RetrievalConfig
 
 #: Issues of a corpus that a call returns at most.
@@ -34,12 +39,18 @@ class UnknownCorpus(Exception):
 
 class Service:
     """corpora: name to folder, the first one is the default. Indexes are built once per corpus from
-    a snapshot; validation and evaluation read the folder anew."""
+    a snapshot; validation and evaluation read the folder anew.
+
+    spool: a folder for audit lines that audit.record() moves into a log; a call puts a file there and
+    runs no job. audit_path: lines are appended there by a job per call. indexes: a folder for stored
+    indexes, named by what the corpus holds, so that a session takes the one of an earlier session as
+    long as the corpus is the same, and stores one otherwise."""
 
     def __init__(
         self, spark: SparkSession, corpora: str | dict[str, str], api_key: str | None = None,
-        audit_path: str | None = None, review_margin: float = 1.0,
+        audit_path: str | None = None, review_margin: float = 1.0, spool: str | None = None, indexes: str | None = None,
     ):
+        self.spool, self.indexes = spool, indexes
         self.spark, self.key, self.audit_path, self.margin = spark, api_key, audit_path, review_margin
         self.corpora = bundles.corpus_registry(spark, corpora) if isinstance(corpora, str) else dict(corpora)
         self._indexes: dict[tuple[str, bool], bm25.Index] = {}
@@ -65,17 +76,35 @@ class Service:
             self._audit(name, corpus, outcome, time.time() - began)
 
     def _audit(self, name: str, corpus: str | None, outcome: str, seconds: float) -> None:
+        row = (str(uuid.uuid4()), datetime.now(UTC).isoformat(), name, corpus, outcome, round(seconds, 3))
+        if self.spool:
+            audit.note(self.spool, dict(zip(("request_id", "timestamp", "endpoint", "corpus", "outcome", "seconds"), row)))
         if self.audit_path:
-            row = (str(uuid.uuid4()), datetime.now(UTC).isoformat(), name, corpus, outcome, round(seconds, 3))
             schema = "request_id string, timestamp string, endpoint string, corpus string, outcome string, seconds double"
             sinks.append_audit(self.spark.createDataFrame([row], schema).coalesce(1), self.audit_path)
 
     def _index(self, corpus: str, gate: bool = True) -> bm25.Index:
         if (corpus, gate) not in self._indexes:
             docs = bundles.load_corpus(self.spark, self.corpora[corpus])
-            self._indexes[corpus, gate] = bm25.build_retriever(docs, gate=gate)
+            build = self._stored if self.indexes else lambda d, _, g: bm25.build_retriever(d, gate=g)
+            self._indexes[corpus, gate] = build(docs, corpus, gate)
         return self._indexes[corpus, gate]
 
+    def _stored(self, docs: DataFrame, corpus: str, gate: bool) -> bm25.Index:
+        """The stored index of these documents; written first if there is none. A file that is put there
+        last names the folder, so one that a failure left half is never read."""
+        place = f"{quote(corpus, safe='')}/{'gated' if gate else 'blind'}-{fingerprint(docs)}"
+        store = Store(self.indexes)
+        if store.read(f"{place}/ready") is None:
+            folder = uuid.uuid4().hex
+            index = bm25.build_retriever(docs, gate=gate)
+            try:
+                postings.save(index, f"{self.indexes}/{place}/{folder}")
+            finally:
+                index.release()
+            store.write(f"{place}/ready", folder.encode())
+        return postings.load(self.spark, f"{self.indexes}/{place}/{store.read(f'{place}/ready').decode()}")
+
     def _asked(self, question: str):
         return self.spark.createDataFrame([("q", question)], "query_id string, question string")
 
@@ -153,6 +182,13 @@ class Service:
         return self._call("evaluate", corpus, key, run)
 
 
+def fingerprint(docs: DataFrame) -> str:
+    """A name for what a corpus holds: its documents' metadata and source hashes, in any order."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in DOCUMENT]
+    sums = [F.sum(F.xxhash64(F.lit(k), *fields).cast("decimal(38,0)")) for k in range(2)]
+    return "-".join(f"{int(x or 0) % 2**64:x}" for x in docs.agg(F.count("*"), *sums).first())
+
+
 def check_citations(spark: SparkSession, retrieval: str, fixture: str) -> dict:
     """Citations of an answer file against a retrieval file. One row meets one row."""
     both = bundles.read_retrieval(spark, retrieval).crossJoin(bundles.read_answer(spark, fixture))

@@ -81,3 +81,20 @@ class Store:
     def open(self, path: str):
         """A file, to be read from any place."""
         return self.fs.open_input_file(self.resolved(path))
+
+    def write(self, path: str, content: bytes) -> None:
+        """Puts a file there, which appears when it is whole and replaces one of that name."""
+        at = self.resolved(path)
+        folder = posixpath.dirname(at)
+        self.fs.create_dir(folder, recursive=True)
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            f.write(content)
+        self.fs.move(part, at)
+
+    def folders(self, folder: str = "") -> list[str]:
+        """Names of the folders in a folder, in order."""
+        from pyarrow import fs
+
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{folder}".rstrip("/"), allow_not_found=True))
+        return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
