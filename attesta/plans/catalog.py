@@ -511,12 +511,24 @@ def cosine_topk(spark, sf):
     return at.withColumn("score", F.round("score", 6))
 
 
-def _fused(spark, sf):
+def _rankings(spark, sf) -> dict[str, DataFrame]:
+    """By cosine, by the first component alone, and both fused."""
     asked, rows = _asked_vectors(spark, sf), _vectors(spark, sf)
     most = rows.count()  # from the files' footers; no query has more
     cosines = ranking.ranked(products.scores(asked, rows), most)
     other = ranking.ranked(products.scores(asked, rows, first=1), most)
-    return ranking.fuse(cosines, other, most=most)
+    return {"cosine": cosines, "first": other, "fused": ranking.fuse(cosines, other, most=most)}
+
+
+def _fused(spark, sf):
+    return _rankings(spark, sf)["fused"]
+
+
+def _last_of_label(spark, sf) -> DataFrame:
+    """relevant(query_id, tier, item_id): a label's last vector."""
+    own = _vectors(spark, sf).groupBy("label").agg(F.max("item_id").alias("item_id"))
+    tier = F.when(F.col("label") % 2 == 0, "easy").otherwise("hard")
+    return own.select(F.col("label").cast("long").alias("query_id"), tier.alias("tier"), "item_id")
 
 
 @query
@@ -527,16 +539,21 @@ def rrf_fusion(spark, sf):
 @query
 def recall_mrr(spark, sf):
     """How early a label's ranking shows another of its own vectors."""
-    fused = _fused(spark, sf)
-    own = _vectors(spark, sf).groupBy("label").agg(F.max("item_id").alias("item_id"))
-    relevant = own.select(
-        F.col("label").cast("long").alias("query_id"),
-        F.when(F.col("label") % 2 == 0, "easy").otherwise("hard").alias("tier"), "item_id",
-    )
-    at = ranking.recall_mrr(ranking.first_relevant(fused, relevant), (1, 100, 500))
+    at = ranking.recall_mrr(ranking.first_relevant(_fused(spark, sf), _last_of_label(spark, sf)), (1, 100, 500))
     return at.withColumns({c: F.round(c, 6) for c in ("recall_at_1", "recall_at_100", "recall_at_500", "mrr")})
 
 
+@query
+def best_method(spark, sf):
+    """Which of three rankings shows a label's last vector earliest, by tier."""
+    relevant = _last_of_label(spark, sf)
+    each = [
+        ranking.recall_mrr(ranking.first_relevant(found, relevant)).select("tier", F.lit(name).alias("method"), F.round("mrr", 9).alias("mrr"))
+        for name, found in _rankings(spark, sf).items()
+    ]
+    return ranking.best_method(each[0].unionByName(each[1]).unionByName(each[2]))
+
+
 @query
 def separation(spark, sf):
     """Questions from the benchmark against turns of users, which the corpus doesn't hold."""

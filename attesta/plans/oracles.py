@@ -406,6 +406,14 @@ SQL: dict[str, str] = {
       SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1,
         round(avg(CASE WHEN rank <= 100 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_100, round(avg(CASE WHEN rank <= 500 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_500,
         round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr FROM f GROUP BY ROLLUP (tier)""",
+    "best_method": _COS + """, rel AS (SELECT CAST(label AS BIGINT) AS query_id, CASE WHEN label % 2 = 0 THEN 'easy' ELSE 'hard' END AS tier, max(item_id) AS item_id FROM v GROUP BY label),
+      every AS (SELECT query_id, item_id, 'cosine' AS method, ra AS rank FROM ra UNION ALL SELECT query_id, item_id, 'first', rb FROM ra
+        UNION ALL SELECT query_id, item_id, 'fused', rank FROM fused),
+      f AS (SELECT m.method, r.tier, u.rank FROM rel r CROSS JOIN (VALUES ('cosine'), ('first'), ('fused')) m(method)
+        LEFT JOIN every u ON u.query_id = r.query_id AND u.item_id = r.item_id AND u.method = m.method),
+      s AS (SELECT coalesce(tier, 'all') AS tier, method, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 9) AS mrr
+        FROM f GROUP BY GROUPING SETS ((tier, method), (method)))
+      SELECT tier, arg_max(method, (mrr, method)) AS method FROM s GROUP BY tier""",
     "separation": ",".join((
         _GATED, ASKED, TURNS,
         "both_ AS (SELECT query_id, question, true AS on_topic FROM asked UNION ALL SELECT query_id, question, false FROM turns)",
