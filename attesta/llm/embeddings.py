@@ -24,13 +24,13 @@ TILE = 256
 #: of the projected difference of two vectors at the threshold. A pair is lost at a split only if the
 #: difference is over twice that.
 SPILL = 0.5
-#: Rows of a leaf above which its home rows are dealt over tasks.
+#: Rows of a leaf above which it is cut into parts, and pairs of parts are dealt over tasks.
 HOT = 20_000
 
 
 class Tree:
-    """A tree of random splits near medians, as arrays. Leaf numbers are below 2**20; parts tells over
-    how many tasks a leaf is dealt."""
+    """A tree of random splits near medians, as arrays. Leaf numbers are below 2**20; parts tells into
+    how many parts a leaf is cut."""
 
     def __init__(self, sample: np.ndarray, seed: int, n: int, margin: float):
         self._rng = np.random.default_rng([seed, 17])
@@ -110,8 +110,9 @@ def embedding_components(
     compared, in tiles, with the members of its home leaf of each tree. A link is counted in the
     first tree whose home leaf has it, which is told by taking the linked vectors down the trees
     before, so pairs are never written: a leaf gives counts and a link to a root for each class. A
-    leaf that splits can't part is dealt over tasks by its home rows. Lengths with at most LEAF
-    classes are compared without trees. Recall is measured in the tests, with trees that split.
+    leaf that splits can't part is cut into parts of about HOT rows, and each pair of parts is a group
+    of its own, so no task holds more than two parts. Lengths with at most LEAF classes are compared
+    without trees. Recall is measured in the tests, with trees that split.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and null labels, link
     with nothing. Null ids come last; a component of them alone has a null id. Repeated rows link to
@@ -166,7 +167,7 @@ def embedding_components(
     )
 
 
-_MEMBER = "label string, v binary, name long, many long, leaf int, part int, home boolean"
+_MEMBER = "label string, v binary, name long, many long, leaf int, part long, home boolean, partner boolean"
 
 
 def _links(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
@@ -175,8 +176,9 @@ def _links(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
     counts = {r[0]: r[1] for r in classes.groupBy(size).count().filter(F.col("count") > LEAF).collect()}
     few = classes.filter(~size.isin([*counts])) if counts else classes
     plain = few.select(
-        "label", "v", "name", "many", F.lit(0).alias("leaf"), F.lit(0).alias("part"), F.lit(True).alias("home")
-    )
+        "label", "v", "name", "many", F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("part"),
+        F.lit(True).alias("home"), F.lit(True).alias("partner"),
+    )
     out = _compared(plain, [], threshold)
     for length, n in sorted(counts.items()):
         own = classes.filter(size == length)
@@ -200,20 +202,36 @@ def _forest_links(classes: DataFrame, n: int, threshold: float, trees: int) -> D
                 name = b.column(2).to_numpy().view(np.uint64)
                 for t, tree in enumerate(forest):
                     row, leaf, home = tree.place(x)
-                    parts = np.array(tree.parts)[leaf]
-                    # all parts of a leaf get all members; a home row looks for partners in one
-                    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                    row, leaf, home, parts = (np.repeat(v, parts) for v in (row, leaf, home, parts))
-                    home &= (name[row] % parts.astype(np.uint64)).astype(np.int64) == part
-                    own = b.take(pa.array(row))
+                    who, part, asks, partner = _dealt(name[row], home, np.array(tree.parts)[leaf])
+                    own = b.take(pa.array(row[who]))
+                    code = (leaf[who] | t << 20).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns, pa.array((leaf | t << 20).astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(home)],
-                        ["label", "v", "name", "many", "leaf", "part", "home"],
-                    )
+                        [*own.columns, *map(pa.array, (code, part, asks, partner))],
+                        ["label", "v", "name", "many", "leaf", "part", "home", "partner"],
+                    )
 
     return _compared(classes.select("label", "v", "name", "many").mapInArrow(plant, _MEMBER), forest, threshold)
 
 
+def _dealt(
+    name: np.ndarray, home: np.ndarray, parts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pair of parts, asks, partner) for the members of leaves that are cut into `parts`. A member
+    of part p is a partner in the pairs (i, p); if the leaf is its home, it asks in the pairs (p, j).
+    Both are one row in (p, p)."""
+    own = (name % parts.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(name)), parts)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    asks = home[row] & (other == own[row])
+    pair = other * parts[row] + own[row]
+    # rows that ask in another part's pairs and are no partners there
+    more = np.flatnonzero(home[row] & (other != own[row]))
+    pair_more = own[row[more]] * parts[row[more]] + other[more]
+    partner = np.concatenate([np.ones(len(row), bool), np.zeros(len(more), bool)])
+    asks = np.concatenate([asks, np.ones(len(more), bool)])
+    return np.concatenate([row, row[more]]), np.concatenate([pair, pair_more]), asks, partner
+
+
 def _compared(members: DataFrame, forest: list[Tree], threshold: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "key"):
@@ -243,14 +261,16 @@ def _leaf(group: pa.Table, tree: int, forest: list[Tree], threshold: float) -> p
     x = _units(rows_of(group["v"].combine_chunks(), np.float64))
     name, many = group["name"].to_numpy(), group["many"].to_numpy()
     here = np.flatnonzero(group["home"].to_numpy(zero_copy_only=False))
+    there = np.flatnonzero(group["partner"].to_numpy(zero_copy_only=False))
+    partners = x if len(there) == len(x) else x[there]
     counts = np.zeros(len(x), np.int64)
     labels = np.arange(len(x))
     for at in range(0, len(here), TILE):
         rows = here[at : at + TILE]
-        for start in range(0, len(x), 4096):
-            near = x[rows] @ x[start : start + 4096].T >= threshold
+        for start in range(0, len(there), 4096):
+            near = x[rows] @ partners[start : start + 4096].T >= threshold
             i, j = np.nonzero(near)
-            i, j = rows[i], j + start
+            i, j = rows[i], there[j + start]
             keep = i != j
             i, j = i[keep], j[keep]
             merge_labels(labels, i, j)

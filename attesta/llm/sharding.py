@@ -13,6 +13,8 @@ from .common import materialize
 
 #: Points next to a cut that may change sides, so that both get the bytes meant for them.
 NEAR = 200
+#: Rows that agree in all they return, above which they are dealt again before they get their slots.
+BLOCK = 10_000
 #: Dimensions of a point, each an integer of 0 to 2**31 - 1.
 DIMS = ("d_size", "d_source", "d_lang", "d_id")
 _BITS = 31
@@ -243,15 +245,16 @@ def _cuts(
 
 
 def _result(docs: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """Adds slots: rank by id in a bucket of the shard, plus the rows of the buckets before it."""
+    """Adds slots: rows in order of id, size and text_crc32 in a bucket of the shard, after the rows of
+    the buckets before it. Rows that agree in all three are one counted row until they have their
+    slots, so any number of them costs one; large counts are dealt again before they become rows."""
     buckets = max(8, min(4096, rows // 20_000))
-    at = materialize(
-        docs.withColumn(
-            "bucket", F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(buckets)).cast("int")
-        ),
-        "placed",
+    name = ["id", "size", "text_crc32"]
+    bucket = F.pmod(F.xxhash64(*name), F.lit(buckets)).cast("int")
+    alike = materialize(
+        docs.groupBy("shard", bucket.alias("bucket"), *name).agg(F.count("*").alias("n")), "alike"
     )
-    counts = at.groupBy("shard", "bucket").count()  # at most shards * 4096 rows
+    counts = alike.groupBy("shard", "bucket").agg(F.sum("n").alias("count"))  # at most shards * 4096 rows
     before = counts.select(
         "shard",
         "bucket",
@@ -259,19 +262,23 @@ def _result(docs: DataFrame, id_col: str, rows: int) -> DataFrame:
             F.sum("count").over(W.partitionBy("shard").orderBy("bucket")) - F.col("count")
         ).alias("before"),
     )
-    rank = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32"))
-    return (
-        at.withColumn("rank", rank)
-        .join(F.broadcast(before), ["shard", "bucket"])
-        .select(
-            F.col("id").alias(id_col),
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            F.col("shard").cast("int").alias("shard"),
-            (F.col("before") + F.col("rank") - 1).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    upto = F.sum("n").over(W.partitionBy("shard", "bucket").orderBy(*name))
+    placed = alike.withColumn("first", upto - F.col("n")).join(F.broadcast(before), ["shard", "bucket"])
+    placed = placed.withColumn("first", F.col("first") + F.col("before"))
+    last = F.col("first") + F.col("n") - 1
+    few = placed.filter(F.col("n") <= BLOCK).withColumn("slot", F.explode(F.sequence("first", last)))
+    starts = F.explode(F.sequence("first", last, F.lit(BLOCK).cast("long")))
+    many = placed.filter(F.col("n") > BLOCK).withColumn("last", last).withColumn("start", starts).repartition("start")
+    ends = F.least(F.col("last"), F.col("start") + BLOCK - 1)
+    many = many.withColumn("slot", F.explode(F.sequence("start", ends)))
+    return few.unionByName(many.drop("last", "start")).select(
+        F.col("id").alias(id_col),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

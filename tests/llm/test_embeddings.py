@@ -123,6 +123,23 @@ def test_hot_leaves_are_dealt(table, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(rows))] == root
 
 
+def test_pairs_of_parts():
+    """Each member that is at home meets each other member once, in a group of two parts at most."""
+    import attesta.llm.embeddings as e
+
+    rng = np.random.default_rng(2)
+    name = rng.integers(0, 2**63, 200).astype(np.uint64)
+    home = rng.random(200) < 0.6
+    for parts in (1, 2, 5):
+        row, pair, asks, partner = e._dealt(name, home, np.full(200, parts))
+        met = np.zeros((200, 200), int)
+        for p in np.unique(pair):
+            own = pair == p
+            assert len({int(name[r] % parts) for r in row[own]}) <= 2 and len(set(row[own])) == own.sum()
+            met[np.ix_(row[own & asks], row[own & partner])] += 1
+        assert (met == home[:, None].astype(int)).all()
+
+
 def test_copies_of_a_vector_stay_few():
     """Leaves of a vector, all trees together, as trees deepen: 64 components, cosine 0.98."""
     import attesta.llm.embeddings as e

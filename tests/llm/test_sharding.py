@@ -129,3 +129,17 @@ def test_few_documents(make):
     long = [(i, f"{i} " + "very long " * 200_000 * (i == 2), "en", "a") for i in range(5)]
     _, loads = check(shard_by_bytes(make(long)), long)
     assert sorted(loads)[-2] < 10
+
+
+def test_many_rows_that_agree_in_all(make, monkeypatch):
+    """Null texts without an id and a repeated row: counted rows become rows again, with gapless slots."""
+    import attesta.llm.sharding as own
+
+    monkeypatch.setattr(own, "BLOCK", 7)
+    rows = [(None, None, "en", "a")] * 100 + [(-1, "again and again", "en", "a")] * 30 + [(i, f"text {i}", "en", "b") for i in range(60)]
+    got = own.shard_by_bytes(make(rows), shards=4).collect()
+    assert len(got) == len(rows)
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and slots
+    assert sum(r["doc_id"] is None for r in got) == 100 and sum(r["doc_id"] == -1 for r in got) == 30
