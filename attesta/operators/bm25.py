@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_terms, coverage, once, tokenize
 from ..vocabulary import EPSILON, K1, RETRIEVABLE, B, RetrievalConfig
+from ..sources.store import shared_folder
+from . import scoring
 from .chunking import chunk_documents
+from .ranking import _small
 
 #: A sum of logarithms that doesn't depend on the order of its terms.
 _EXACT = "decimal(38,15)"
-_UNIT = 1e12
+_UNIT = scoring.UNIT
 
 
 def index_text(chunks: DataFrame) -> Column:
@@ -24,14 +29,38 @@ def index_text(chunks: DataFrame) -> Column:
 @dataclass(frozen=True)
 class Index:
     """chunks: with their tokens and length; stats: N and mean length, one row; idf: (token, df,
-    idf), idf floored."""
+    idf), idf floored. terms: see slim(), where they are kept beside the chunks. chunks_of: the chunks of
+    documents(doc_id) alone, where they are made from these when asked for."""
 
     chunks: DataFrame
     stats: DataFrame
     idf: DataFrame
+    terms: DataFrame | None = field(default=None, kw_only=True)
+    chunks_of: Callable[[DataFrame], DataFrame] | None = field(default=None, kw_only=True)
 
     def release(self) -> None:
-        self.chunks.unpersist()
+        if self.terms is not None:
+            self.terms.unpersist()
+
+    def slim(self) -> DataFrame:
+        """(doc_id, chunk_index, chunk_id, n_tokens, words): what scores are made from, words joined by
+        spaces, which they don't hold."""
+        return slim(self.chunks) if self.terms is None else self.terms
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """The chunks of the documents of found(doc_id)."""
+        if self.chunks_of is None:
+            return self.chunks
+        return self.chunks_of(_small(found.select("doc_id").distinct()))
+
+    def joined(self) -> bool:
+        """Whether scores are made by joins with postings: see score()."""
+        return self.repeats()
+
+    def repeats(self) -> bool:
+        """Whether several chunks have one id, as those of repeated documents do."""
+        ids = self.slim().groupBy(F.xxhash64("chunk_id"), F.xxhash64(F.lit(1), "chunk_id")).agg(F.count("*").alias("n"))
+        return bool(ids.filter("n > 1").limit(1).collect())
 
     def frequencies(self, asked: DataFrame) -> DataFrame:
         """(_a, _b, n_tokens, token, tf, idf) of the chunks that hold a token of asked(token)."""
@@ -48,6 +77,10 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return tokens.withColumn("n_tokens", F.size("tokens"))
 
 
+def slim(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "chunk_index", "chunk_id", "n_tokens", F.array_join("tokens", " ").alias("words"))
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """(n_chunks, avg_tokens), one row."""
     return chunks.agg(
@@ -85,18 +118,30 @@ def inverse_frequency(df: DataFrame, stats: DataFrame) -> DataFrame:
     return at.select("token", "df", "raw_idf", floored.alias("idf"))
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Chunks are tokenised once and kept, in memory as far as it goes and on disk beyond, for
-    statistics, postings and hits, and for later queries of the corpus, until release()."""
-    tokens = tokenized(chunks).persist()
-    stats = corpus_stats(tokens)
-    return Index(tokens, stats, inverse_frequency(document_frequency(tokens), stats))
+def _of_terms(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("tokens", F.split("words", " "))
+
+
+def build_index(chunks: DataFrame, chunks_of: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """Chunks are tokenised once, and their names and words are kept on disk, about as large as the
+    texts, for statistics and scores and for later questions, until release(). Nothing else is: chunks
+    of hits are made again, from their documents alone if chunks_of makes these."""
+    tokens = tokenized(chunks)
+    terms = slim(tokens).persist(StorageLevel.DISK_ONLY)
+    stats = corpus_stats(terms)
+    # a chunk without words has the word '', which is none
+    df = document_frequency(_of_terms(terms)).filter("token != ''")
+    return Index(tokens, stats, inverse_frequency(df, stats), terms=terms, chunks_of=chunks_of)
 
 
 def build_retriever(documents: DataFrame, config: RetrievalConfig | None = None, gate: bool = True) -> Index:
     """Index of a corpus; with gate=False, of documents of all statuses."""
     config = config or RetrievalConfig()
-    return build_index(chunk_documents(documents, gate))
+
+    def chunks_of(named: DataFrame) -> DataFrame:
+        return tokenized(chunk_documents(documents.join(named, "doc_id", "left_semi"), gate))
+
+    return build_index(chunk_documents(documents, gate), chunks_of)
 
 
 def save(index: Index, path: str) -> None:
@@ -116,12 +161,28 @@ def keyed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"_a": F.xxhash64("chunk_id"), "_b": F.xxhash64(F.lit(1), "chunk_id")})
 
 
-def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, _a, _b, score): see score()."""
-    words = (
+def _words(queries: DataFrame) -> DataFrame:
+    """(query_id, token, times)."""
+    return (
         queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("token"))
         .groupBy("query_id", "token").agg(F.count("*").alias("times"))
     )
+
+
+def _by_blocks(index: Index, queries: DataFrame, of: Callable[[DataFrame, DataFrame, float], DataFrame]) -> DataFrame:
+    """of(terms, words with idf, mean length), with the words' idf looked up once."""
+    words = _words(queries)
+    asked = words.select("token").distinct()
+    known = words.join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token").persist()
+    avg = index.stats.first()["avg_tokens"]  # one row
+    found = of(index.slim(), known, avg)
+    known.unpersist()
+    return found
+
+
+def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, _a, _b, score), by joins with the words' postings."""
+    words = _words(queries)
     asked = words.select("token").distinct()
     length = F.col("n_tokens") / F.col("avg_tokens")
     weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
@@ -137,7 +198,7 @@ def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _named(scores: DataFrame, index: Index) -> DataFrame:
-    names = keyed(index.chunks).select("_a", "_b", "doc_id", "chunk_index", "chunk_id")
+    names = keyed(index.slim()).select("_a", "_b", "doc_id", "chunk_index", "chunk_id").distinct()
     return scores.join(names, ["_a", "_b"]).drop("_a", "_b")
 
 
@@ -145,10 +206,12 @@ def score(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, score, doc_id, chunk_index, chunk_id) for all chunks that share a word with a
     query(query_id, question). A word that a query repeats counts again.
 
-    Only words of the queries are counted in chunks, after the join with them. Weights are summed
-    as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of its terms and
-    equal chunks tie exactly; sums are taken before the shuffle too."""
-    return _named(_keyed_scores(index, queries), index)
+    Weights are summed as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of
+    its terms and equal chunks tie exactly. Questions come to the chunks in blocks, see scoring; stored
+    postings, and chunks that share their ids, which count as one, are joined with the words instead."""
+    if index.joined():
+        return _named(_keyed_scores(index, queries), index)
+    return _by_blocks(index, queries, scoring.every)
 
 
 def rank(scores: DataFrame, top_k: Column | int, score_floor: float = 0.0) -> DataFrame:
@@ -162,12 +225,15 @@ def rank(scores: DataFrame, top_k: Column | int, score_floor: float = 0.0) -> Da
 
 
 def top(index: Index, queries: DataFrame, top_k: int, score_floor: float = 0.0) -> DataFrame:
-    """rank(score()), with names looked up only for scores among the top_k of their query, ties
-    included. queries may carry smaller values of their own in top_k."""
-    found = _keyed_scores(index, queries).filter(F.col("score") > score_floor)
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"))
-    cut = found.withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= top_k).drop("_r")
-    named = _named(cut, index)
+    """rank(score()), with no more rows than a question's best of each task on its way. queries may carry
+    smaller values of their own in top_k."""
+    if index.joined():
+        found = _keyed_scores(index, queries).filter(F.col("score") > score_floor)
+        by_score = W.partitionBy("query_id").orderBy(F.desc("score"))
+        cut = found.withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= top_k).drop("_r")
+        named = _named(cut, index)
+    else:
+        named = _by_blocks(index, queries, lambda terms, words, avg: scoring.best(terms, words, avg, top_k, score_floor))
     if "top_k" not in queries.columns:
         return rank(named, top_k, score_floor)
     return rank(named.join(queries.select("query_id", "top_k"), "query_id"), F.col("top_k"), score_floor)
@@ -178,8 +244,10 @@ def hits(index: Index, queries: DataFrame, config: RetrievalConfig, gate: bool =
     cut to top_k, and drops all of the query's hits. queries may carry top_k."""
     own = "top_k" in queries.columns
     most = (queries.agg(F.max("top_k")).first()[0] or 1) if own else config.top_k
-    ranked = top(index, queries, most, config.score_floor).join(queries.select("query_id", "question"), "query_id")
-    found = ranked.join(index.chunks.drop("doc_id", "chunk_index"), "chunk_id")
+    shared_folder(queries.sparkSession)
+    ranked = top(index, queries, most, config.score_floor).checkpoint()  # top_k rows of a query, read twice
+    chunks = index.named(ranked).drop("doc_id", "chunk_index")
+    found = ranked.join(queries.select("query_id", "question"), "query_id").join(chunks, "chunk_id")
     found = found.withColumn("coverage", coverage(content_terms(F.col("question")), F.col("tokens")))
     if gate and config.min_top_coverage > 0:
         best = F.max(F.when(F.col("rank") == 1, F.col("coverage"))).over(W.partitionBy("query_id"))

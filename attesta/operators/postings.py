@@ -40,6 +40,9 @@ class Stored(Index):
     def release(self) -> None:
         """Nothing is held."""
 
+    def joined(self) -> bool:
+        return True
+
     def frequencies(self, asked: DataFrame) -> DataFrame:
         """See Index. Nothing is exploded or counted. With few words, the scans name them: buckets
         without any are not read, nor are row groups of others beyond their range. With many, the
