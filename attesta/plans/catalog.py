@@ -283,7 +283,7 @@ def held_out_best_per_doc(spark, sf):
 def conversation_retrieval(spark, sf):
     """User turns as queries."""
     asked = tables.conversation_questions(tables.table(spark, sf, "conversations"))
-    found = bm25.hits(_index(spark, sf), asked, RetrievalConfig(top_k=3), gate=False)
+    found = bm25.top(_index(spark, sf), asked, 3)
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
