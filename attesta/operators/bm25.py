@@ -169,13 +169,13 @@ def _words(queries: DataFrame) -> DataFrame:
     )
 
 
-def _by_blocks(index: Index, queries: DataFrame, of: Callable[[DataFrame, DataFrame, float], DataFrame]) -> DataFrame:
-    """of(terms, words with idf, mean length), with the words' idf looked up once."""
+def _by_blocks(index: Index, queries: DataFrame, of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """of(terms, words with idf and mean length), with these looked up once."""
     words = _words(queries)
     asked = words.select("token").distinct()
-    known = words.join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token").persist()
-    avg = index.stats.first()["avg_tokens"]  # one row
-    found = of(index.slim(), known, avg)
+    known = words.join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
+    known = known.crossJoin(F.broadcast(index.stats.select("avg_tokens"))).persist()  # one row
+    found = of(index.slim(), known)
     known.unpersist()
     return found
 
@@ -233,7 +233,7 @@ def top(index: Index, queries: DataFrame, top_k: int, score_floor: float = 0.0)
         cut = found.withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= top_k).drop("_r")
         named = _named(cut, index)
     else:
-        named = _by_blocks(index, queries, lambda terms, words, avg: scoring.best(terms, words, avg, top_k, score_floor))
+        named = _by_blocks(index, queries, lambda terms, words: scoring.best(terms, words, top_k, score_floor))
     if "top_k" not in queries.columns:
         return rank(named, top_k, score_floor)
     return rank(named.join(queries.select("query_id", "top_k"), "query_id"), F.col("top_k"), score_floor)

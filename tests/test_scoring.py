@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_stored import asked, document, frame, found
 
-from attesta.operators import bm25, scoring
+from attesta.operators import bm25, libraries, scoring
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_tasks_pass_on_their_best_alone(many):
     """No row of a score beyond a question's k best of each task, and no join of words with chunks."""
     index, queries = many
     terms = index.slim()
-    rows = bm25._by_blocks(index, queries, lambda t, w, avg: scoring.best(t, w, avg, 2, 0.0))
+    rows = bm25._by_blocks(index, queries, lambda t, w: scoring.best(t, w, 2, 0.0))
     assert rows.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 2 * terms.rdd.getNumPartitions()
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
 
@@ -61,3 +61,17 @@ def test_chunks_that_share_an_id_count_as_one(spark):
     keys = bm25.score(index, asked(spark)).groupBy("query_id", "chunk_id").count()
     assert keys.filter("count > 1").count() == 0
     index.release()
+
+
+def test_a_library_keeps_names_and_words_alone(spark):
+    """Corpora with odd names, scored by blocks as by joins."""
+    r = random.Random(8)
+    docs = frame(spark, [document(r, i, "Approved") for i in range(24)])
+    docs = docs.withColumn("corpus", F.when(F.col("doc_id").endswith("1"), "a b:c").otherwise("d\n"))
+    queries = asked(spark).select(F.explode(F.array(F.lit("a b:c"), F.lit("d\n"))).alias("corpus"), "query_id", "question")
+    library = libraries.build(docs)
+    assert not library.chunks.is_cached and library.slim().is_cached and not library.slim().storageLevel.useMemory
+    got = libraries.score(library, queries)
+    want = libraries._joined(library, queries).select(got.columns)
+    assert found(got) == found(want) and got.count() > 0
+    library.release()
