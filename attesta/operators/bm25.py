@@ -198,7 +198,8 @@ def _keyed_scores(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _named(scores: DataFrame, index: Index) -> DataFrame:
-    names = keyed(index.slim()).select("_a", "_b", "doc_id", "chunk_index", "chunk_id").distinct()
+    names = keyed(index.slim()).select("_a", "_b", "doc_id", "chunk_index", "chunk_id")
+    names = names.distinct() if index.repeats() else names
     return scores.join(names, ["_a", "_b"]).drop("_a", "_b")
 
 
