@@ -29,18 +29,21 @@ def index_text(chunks: DataFrame) -> Column:
 @dataclass(frozen=True)
 class Index:
     """chunks: with their tokens and length; stats: N and mean length, one row; idf: (token, df,
-    idf), idf floored. terms: see slim(), where they are kept beside the chunks. chunks_of: the chunks of
+    idf), idf floored. terms: see slim(), where they are kept beside the chunks. counted: what idf was
+    made from, where it is kept. chunks_of: the chunks of
     documents(doc_id) alone, where they are made from these when asked for."""
 
     chunks: DataFrame
     stats: DataFrame
     idf: DataFrame
     terms: DataFrame | None = field(default=None, kw_only=True)
+    counted: DataFrame | None = field(default=None, kw_only=True)
     chunks_of: Callable[[DataFrame], DataFrame] | None = field(default=None, kw_only=True)
 
     def release(self) -> None:
-        if self.terms is not None:
-            self.terms.unpersist()
+        for kept in (self.terms, self.counted):
+            if kept is not None:
+                kept.unpersist()
 
     def slim(self) -> DataFrame:
         """(doc_id, chunk_index, chunk_id, n_tokens, words): what scores are made from, words joined by
@@ -124,14 +127,15 @@ def _of_terms(terms: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame, chunks_of: Callable[[DataFrame], DataFrame] | None = None) -> Index:
     """Chunks are tokenised once, and their names and words are kept on disk, about as large as the
-    texts, for statistics and scores and for later questions, until release(). Nothing else is: chunks
-    of hits are made again, from their documents alone if chunks_of makes these."""
+    texts, for statistics and scores and for later questions, until release(). So are the words'
+    frequencies, which are read several times. Nothing else is: chunks of hits are made again, from their
+    documents alone if chunks_of makes these."""
     tokens = tokenized(chunks)
     terms = slim(tokens).persist(StorageLevel.DISK_ONLY)
     stats = corpus_stats(terms)
     # a chunk without words has the word '', which is none
-    df = document_frequency(_of_terms(terms)).filter("token != ''")
-    return Index(tokens, stats, inverse_frequency(df, stats), terms=terms, chunks_of=chunks_of)
+    df = document_frequency(_of_terms(terms)).filter("token != ''").persist(StorageLevel.DISK_ONLY)
+    return Index(tokens, stats, inverse_frequency(df, stats), terms=terms, counted=df, chunks_of=chunks_of)
 
 
 def build_retriever(documents: DataFrame, config: RetrievalConfig | None = None, gate: bool = True) -> Index:

@@ -53,6 +53,14 @@ def test_an_index_keeps_names_and_words_alone(many):
     assert index.slim().columns == ["doc_id", "chunk_index", "chunk_id", "n_tokens", "words"]
 
 
+def test_words_are_counted_once(many):
+    """Questions read the kept frequencies; none explodes the words of all chunks again."""
+    index, _ = many
+    assert index.counted.is_cached and not index.counted.storageLevel.useMemory
+    plan = index.idf._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation [token") == 2 and index.counted.count() == index.idf.count()
+
+
 def test_chunks_that_share_an_id_count_as_one(spark):
     r = random.Random(3)
     rows = [document(r, i, "Approved") for i in range(9)]
