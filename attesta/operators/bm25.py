@@ -50,6 +50,10 @@ class Index:
         spaces, which they don't hold."""
         return slim(self.chunks) if self.terms is None else self.terms
 
+    def scored(self, asked: DataFrame) -> DataFrame:
+        """What scoring reads for words of asked(token)."""
+        return self.slim()
+
     def named(self, found: DataFrame) -> DataFrame:
         """The chunks of the documents of found(doc_id)."""
         if self.chunks_of is None:
@@ -179,7 +183,7 @@ def _by_blocks(index: Index, queries: DataFrame, of: Callable[[DataFrame, DataFr
     asked = words.select("token").distinct()
     known = words.join(index.idf.join(asked, "token", "left_semi").select("token", "idf"), "token")
     known = known.crossJoin(F.broadcast(index.stats.select("avg_tokens"))).persist()  # one row
-    found = of(index.slim(), known)
+    found = of(index.scored(asked), known)
     known.unpersist()
     return found
 
@@ -212,8 +216,8 @@ def score(index: Index, queries: DataFrame) -> DataFrame:
     query(query_id, question). A word that a query repeats counts again.
 
     Weights are summed as whole multiples of 1 / _UNIT, so that a score doesn't depend on the order of
-    its terms and equal chunks tie exactly. Questions come to the chunks in blocks, see scoring; stored
-    postings, and chunks that share their ids, which count as one, are joined with the words instead."""
+    its terms and equal chunks tie exactly. Questions come to the chunks in blocks, see scoring; chunks
+    that share their ids, which count as one, are joined with the words instead, unless they are stored."""
     if index.joined():
         return _named(_keyed_scores(index, queries), index)
     return _by_blocks(index, queries, scoring.every)

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bm25 import Index, keyed
+from ..functions.text import once, tokenize
+from .bm25 import Index, index_text
+from .ranking import _small
+from .scoring import NAMES, posted
 
 BUCKETS = 256
 #: Postings of one token that stand in one bucket, about; more are dealt over several.
@@ -17,9 +20,10 @@ SLOT_ROWS = 1_000_000
 #: joined bucket by bucket.
 PICKED = 10_000
 
+_NAMES = "array<struct<doc_id: string, chunk_index: int, chunk_id: string>>"
 _TABLES = {
-    "postings": "slot string, token string, _a long, _b long, n_tokens int, tf long",
-    "words": "token string, df long, raw_idf double, idf double, slots int",
+    "postings": {"slot": "string", "token": "string", "block": "long", "chunk": "array<int>", "n_tokens": "array<int>", "tf": "array<int>", "names": _NAMES},
+    "words": {"token": "string", "df": "long", "raw_idf": "double", "idf": "double", "slots": "int"},
 }
 _BY = {"postings": "slot", "words": "token"}
 
@@ -41,45 +45,74 @@ class Stored(Index):
         """Nothing is held."""
 
     def joined(self) -> bool:
-        return True
+        return False
 
-    def frequencies(self, asked: DataFrame) -> DataFrame:
-        """See Index. Nothing is exploded or counted. With few words, the scans name them: buckets
-        without any are not read, nor are row groups of others beyond their range. With many, the
-        postings stay where they are and the words go to their buckets."""
+    def slim(self) -> DataFrame:
+        raise NotImplementedError("stored postings are read by scored()")
+
+    def named(self, found: DataFrame) -> DataFrame:
+        some = self.chunks.join(_small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+        return once(some, tokens=tokenize(index_text(some)))
+
+    def _of(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and words of asked(token). With few words, the scans name them: buckets without any are
+        not read, nor are row groups of others beyond their range. With many, the postings stay where they
+        are and the words go to their buckets."""
         own = [r["token"] for r in asked.limit(self.picked + 1).collect()]  # asked words, bounded
         words, postings = self.words.join(asked, "token", "left_semi"), self.postings
         if len(own) <= self.picked:
             words = self.words.filter(F.col("token").isin(own))
             found = words.select("token", "slots").collect()  # a row per asked word
             names = [f"{r['token']}\n{k}" for r in found for k in range(r["slots"])]
-            postings = postings.filter(F.col("slot").isin(names))
+            return postings.filter(F.col("slot").isin(names)), words
         number = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
-        parts = words.select("token", "idf", number.alias("_k")).select(_slot(F.col("token"), F.col("_k")).alias("slot"), "idf")
-        return postings.join(parts, "slot").select("_a", "_b", "n_tokens", "token", "tf", "idf")
+        slots = words.select("token", number.alias("_k")).select(_slot(F.col("token"), F.col("_k")).alias("slot"))
+        return postings.join(slots, "slot", "left_semi"), words
+
+    def frequencies(self, asked: DataFrame) -> DataFrame:
+        """(block, chunk, n_tokens, token, tf, idf) of the chunks that hold a token of asked(token). Nothing is
+        counted."""
+        found, words = self._of(asked)
+        each = F.explode(F.arrays_zip("chunk", "n_tokens", "tf")).alias("_p")
+        return found.select("block", "token", each).select("block", "_p.*", "token").join(words.select("token", "idf"), "token")
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        """Lists of the asked words and the names of all chunks, block by block; no posting is a row."""
+        found, _ = self._of(asked)
+        names = self.postings.filter(F.col("slot").startswith("\n"))  # no token is empty
+        return found.unionByName(names).drop("slot").repartition("block").sortWithinPartitions("block")
+
+
+def _together(terms: DataFrame) -> DataFrame:
+    """Names with the texts of all chunks of their id, which count as one; in an order that a task which
+    runs again gives again."""
+    texts = F.array_sort(F.collect_list(F.struct("n_tokens", "words")))
+    names = F.array_sort(F.collect_set(F.struct("doc_id", "chunk_index")))
+    of = terms.groupBy("chunk_id").agg(names.alias("_names"), texts.alias("texts"))
+    each = of.select(F.explode("_names").alias("_n"), "chunk_id", "texts")
+    return each.select("_n.*", "chunk_id", "texts").sortWithinPartitions(*NAMES)
 
 
 def save(index: Index, path: str, buckets: int = BUCKETS) -> None:
-    """Writes postings (a row for each token of each chunk), words, chunks and stats below path. The
-    postings of a frequent token are dealt over several slots, by their chunks, so that no bucket holds
-    all of them."""
+    """Writes postings (a row for each token of each block of chunks, see scoring.posted()), words, chunks and
+    stats below path. The postings of a frequent token are dealt over several slots, by their blocks, so
+    that no bucket holds all of them; so are the blocks' names. Postings are shuffled once, as lists."""
     spark = index.chunks.sparkSession
     slots = F.greatest(F.ceil(F.col("df") / SLOT_ROWS), F.lit(1)).cast("int")
     words = index.idf.select("token", "df", "raw_idf", "idf", slots.alias("slots"))
-    counted = (
-        keyed(index.chunks).select("_a", "_b", "n_tokens", F.explode("tokens").alias("token"))
-        .groupBy("_a", "_b", "n_tokens", "token").agg(F.count("*").alias("tf"))
-        .join(words.select("token", "slots"), "token")
-        .withColumn("slot", _slot(F.col("token"), F.pmod("_a", F.col("slots"))))
-    )
-    tables = {"postings": counted, "words": words}
+    terms = index.slim()
+    one = F.array(F.struct("n_tokens", "words")).alias("texts")
+    lists = posted(_together(terms) if index.repeats() else terms.select(*NAMES, one))
+    often = _small(words.filter("slots > 1").select("token", "slots"))
+    number = F.pmod(F.xxhash64("block"), F.when(F.col("token").isNull(), buckets).otherwise(F.coalesce("slots", F.lit(1))))
+    slot = _slot(F.coalesce("token", F.lit("")), number)
+    tables = {"postings": lists.join(often, "token", "left").withColumn("slot", slot), "words": words}
     for name, df in tables.items():
         by, at = _BY[name], f"attesta_{uuid.uuid4().hex}"
-        columns = [c.split()[0] for c in _TABLES[name].split(", ")]
-        out = df.select(*columns).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
-        out.option("path", f"{path}/{name}").saveAsTable(at)
+        out = df.select(*_TABLES[name]).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+        out.option("compression", "zstd").option("path", f"{path}/{name}").saveAsTable(at)
         spark.sql(f"DROP TABLE {at}")  # the name; the files of an external table stay
-    index.chunks.write.parquet(f"{path}/chunks")
+    index.chunks.drop("tokens").write.option("compression", "zstd").parquet(f"{path}/chunks")
     index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 
@@ -88,10 +121,10 @@ def load(spark: SparkSession, path: str, picked: int = PICKED) -> Stored:
     stats = spark.read.parquet(f"{path}/stats")
     buckets = stats.first()["buckets"]  # one row
     found = {}
-    for name, schema in _TABLES.items():
+    for name, columns in _TABLES.items():
         at, by = f"attesta_{uuid.uuid4().hex}", _BY[name]
         spark.sql(
-            f"CREATE TABLE {at} ({schema}) USING parquet OPTIONS (path '{path}/{name}') "
+            f"CREATE TABLE {at} ({', '.join(f'{c} {kind}' for c, kind in columns.items())}) USING parquet OPTIONS (path '{path}/{name}') "
             f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS"
         )
         found[name] = spark.table(at)

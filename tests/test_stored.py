@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import bm25, postings, snapshots
+from attesta.operators import bm25, postings, scoring, snapshots
 from attesta.vocabulary import STATUSES, RetrievalConfig
 
 COLUMNS = "doc_id string, doc_title string, doc_type string, version string, status string, department string, source_file_path string, source_hash string, raw_text string"
@@ -47,6 +47,26 @@ def test_stored_postings_give_the_same_hits(spark, tmp_path, monkeypatch, slot_r
     index.release()
 
 
+def test_stored_postings_are_lists(spark, tmp_path):
+    """A row for each word of a block of chunks, scores only of a task's best, no join; chunks that share an
+    id count as one."""
+    r = random.Random(4)
+    rows = [document(r, i, "Approved") for i in range(40)]
+    rows += [rows[0], (*rows[1][:8], "alpha beta the")]
+    index = bm25.build_retriever(frame(spark, rows))
+    at = str(tmp_path / "index")
+    postings.save(index, at, buckets=8)
+    stored = postings.load(spark, at)
+    lists = stored.postings.filter("token IS NOT NULL")
+    single = bm25.term_frequency(index.chunks)
+    assert lists.count() < single.count() / 4
+    assert lists.select(F.explode("tf").alias("tf")).agg(F.sum("tf")).first()[0] == single.agg(F.sum("tf")).first()[0]
+    assert index.repeats() and found(bm25.score(stored, asked(spark))) == found(bm25.score(index, asked(spark)))
+    index.release()
+    best = bm25._by_blocks(stored, asked(spark), lambda t, w: scoring.best(t, w, 2, 0.0))
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_question_reads_the_buckets_of_its_words(spark, tmp_path):
     r = random.Random(2)
     index = bm25.build_retriever(frame(spark, [document(r, i) for i in range(30)]))
