@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import once, tokenize
-from .bm25 import Index, index_text
+from .bm25 import Index, build_index, index_text
+from .chunking import chunk_documents
 from .ranking import _small
 from .scoring import NAMES, posted
 
@@ -22,7 +23,7 @@ PICKED = 10_000
 
 _NAMES = "array<struct<doc_id: string, chunk_index: int, chunk_id: string>>"
 _TABLES = {
-    "postings": {"slot": "string", "token": "string", "block": "long", "chunk": "array<int>", "n_tokens": "array<int>", "tf": "array<int>", "names": _NAMES},
+    "postings": {"slot": "string", "token": "string", "block": "long", "chunk": "array<smallint>", "n_tokens": "array<int>", "tf": "array<int>", "names": _NAMES},
     "words": {"token": "string", "df": "long", "raw_idf": "double", "idf": "double", "slots": "int"},
 }
 _BY = {"postings": "slot", "words": "token"}
@@ -93,10 +94,22 @@ def _together(terms: DataFrame) -> DataFrame:
     return each.select("_n.*", "chunk_id", "texts").sortWithinPartitions(*NAMES)
 
 
-def save(index: Index, path: str, buckets: int = BUCKETS) -> None:
+def build(documents: DataFrame, path: str, buckets: int = BUCKETS, gate: bool = True) -> None:
+    """Writes the index of documents that build_retriever() and save() would, with the documents chunked once: the
+    index is made from the chunks that have been written."""
+    at = f"{path}/chunks"
+    chunks = chunk_documents(documents, gate)
+    once(chunks, n_tokens=F.size(tokenize(index_text(chunks)))).write.option("compression", "zstd").parquet(at)
+    index = build_index(documents.sparkSession.read.parquet(at).drop("n_tokens"))
+    save(index, path, buckets, chunked=True)
+    index.release()
+
+
+def save(index: Index, path: str, buckets: int = BUCKETS, chunked: bool = False) -> None:
     """Writes postings (a row for each token of each block of chunks, see scoring.posted()), words, chunks and
     stats below path. The postings of a frequent token are dealt over several slots, by their blocks, so
-    that no bucket holds all of them; so are the blocks' names. Postings are shuffled once, as lists."""
+    that no bucket holds all of them; so are the blocks' names. Postings are shuffled once, as lists. chunked:
+    the chunks lie there already."""
     spark = index.chunks.sparkSession
     slots = F.greatest(F.ceil(F.col("df") / SLOT_ROWS), F.lit(1)).cast("int")
     words = index.idf.select("token", "df", "raw_idf", "idf", slots.alias("slots"))
@@ -112,7 +125,8 @@ def save(index: Index, path: str, buckets: int = BUCKETS) -> None:
         out = df.select(*_TABLES[name]).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
         out.option("compression", "zstd").option("path", f"{path}/{name}").saveAsTable(at)
         spark.sql(f"DROP TABLE {at}")  # the name; the files of an external table stay
-    index.chunks.drop("tokens").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    if not chunked:
+        index.chunks.drop("tokens").write.option("compression", "zstd").parquet(f"{path}/chunks")
     index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 

@@ -211,9 +211,7 @@ def bm25_topk(spark, sf):
 def stored_topk(spark, sf):
     """The same hits, from postings that have been written in buckets and loaded again."""
     at = store.shared_folder(spark)
-    index = _index(spark, sf)
-    postings.save(index, at, buckets=32)
-    index.release()
+    postings.build(_docs(spark, sf), at, buckets=32)
     found = bm25.top(postings.load(spark, at), _asked(spark, sf), CONFIG.top_k)
     return found.withColumn("score", F.round("score", 6))
 

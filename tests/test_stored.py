@@ -67,6 +67,20 @@ def test_stored_postings_are_lists(spark, tmp_path):
     assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_stored_at_once_give_the_same_index(spark, tmp_path):
+    r = random.Random(6)
+    docs = frame(spark, [document(r, i) for i in range(30)])
+    index = bm25.build_retriever(docs)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    postings.save(index, one, buckets=8)
+    postings.build(docs, two, buckets=8)
+    a, b = postings.load(spark, one), postings.load(spark, two)
+    assert found(b.chunks.select(a.chunks.columns)) == found(a.chunks) and found(b.words) == found(a.words)
+    config = RetrievalConfig(top_k=3)
+    assert found(bm25.hits(b, asked(spark), config)) == found(bm25.hits(index, asked(spark), config))
+    index.release()
+
+
 def test_a_question_reads_the_buckets_of_its_words(spark, tmp_path):
     r = random.Random(2)
     index = bm25.build_retriever(frame(spark, [document(r, i) for i in range(30)]))
