@@ -264,6 +264,18 @@ def hits(index: Index, queries: DataFrame, config: RetrievalConfig, gate: bool =
     return found.drop("tokens", "n_tokens", "top_k")
 
 
+def covered(index: Index, queries: DataFrame, config: RetrievalConfig, last: int | None = None) -> DataFrame:
+    """hits() without the gate, to rank `last` alone, as (query_id, rank, score, doc_id, chunk_index, chunk_id, coverage):
+    coverage follows from the kept words, so no document is chunked again for it. Hits meet the words where these lie."""
+    shared_folder(queries.sparkSession)
+    ranked = top(index, queries, config.top_k, config.score_floor).checkpoint()  # read twice
+    ranked = ranked if last is None else ranked.filter(F.col("rank") <= last)
+    words = _of_terms(index.slim()).select("chunk_id", "tokens").join(_small(ranked.select("chunk_id").distinct()), "chunk_id")
+    terms = once(queries.select("query_id", "question"), _terms=content_terms(F.col("question"))).drop("question")
+    found = ranked.join(terms, "query_id").join(words, "chunk_id")
+    return found.select(*ranked.columns, coverage(F.col("_terms"), F.col("tokens")).alias("coverage"))
+
+
 def held_out(blind: Index, queries: DataFrame, config: RetrievalConfig) -> DataFrame:
     """What the status gate kept from a query: hits of the status-blind index that aren't
     retrievable, cut to top_k before they are filtered, with their ranks there. No coverage gate."""

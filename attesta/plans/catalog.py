@@ -561,7 +561,7 @@ def separation(spark, sf):
     on = _asked(spark, sf).withColumn("on_topic", F.lit(True))
     off = tables.conversation_questions(tables.table(spark, sf, "conversations")).withColumn("on_topic", F.lit(False))
     asked = on.unionByName(off)
-    best = bm25.hits(index, asked, RetrievalConfig(top_k=1), gate=False).select("query_id", "score", "coverage")
+    best = bm25.covered(index, asked, RetrievalConfig(top_k=1)).select("query_id", "score", "coverage")
     top = asked.join(best, "query_id", "left").select(
         "query_id", "on_topic", F.coalesce("score", F.lit(0.0)).alias("top_score"), F.coalesce("coverage", F.lit(0.0)).alias("top_coverage")
     )

@@ -1,12 +1,14 @@
 """Scores by blocks of questions against scores by joins, and what an index keeps."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from test_stored import asked, document, frame, found
 
 from attesta.operators import bm25, libraries, scoring
+from attesta.vocabulary import RetrievalConfig
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +63,21 @@ def test_words_are_counted_once(many):
     assert plan.count("InMemoryRelation [token") == 2 and index.counted.count() == index.idf.count()
 
 
+def test_coverage_follows_from_kept_words(many):
+    """Coverage of hits without chunking a document again."""
+    index, queries = many
+    config = RetrievalConfig(top_k=3)
+
+    def again(documents):
+        raise AssertionError("documents are chunked again")
+
+    got = bm25.covered(replace(index, chunks_of=again), queries, config)
+    want = bm25.hits(index, queries, config, gate=False)
+    assert found(got) == found(want.select(got.columns))
+    best = bm25.covered(index, queries, config, last=1)
+    assert found(best) == found(want.filter("rank = 1").select(got.columns))
+
+
 def test_chunks_that_share_an_id_count_as_one(spark):
     r = random.Random(3)
     rows = [document(r, i, "Approved") for i in range(9)]
