@@ -251,7 +251,7 @@ def incremental_idf(spark, sf):
 
 @query
 def coverage_rank1(spark, sf):
-    found = bm25.hits(_index(spark, sf), _asked(spark, sf), CONFIG, gate=False).filter("rank = 1")
+    found = bm25.covered(_index(spark, sf), _asked(spark, sf), CONFIG, last=1)
     return found.select("query_id", "chunk_id", F.round("coverage", 6).alias("coverage"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_stored import asked, document, frame, found
 
 from attesta.operators import bm25, libraries, scoring
+from attesta.plans import catalog
 from attesta.vocabulary import RetrievalConfig
 
 
@@ -100,3 +101,13 @@ def test_a_library_keeps_names_and_words_alone(spark):
     want = libraries._joined(library, queries).select(got.columns)
     assert found(got) == found(want) and got.count() > 0
     library.release()
+
+
+def test_coverage_of_best_hits_reads_documents_once(spark, monkeypatch):
+    """The query of coverages alone never asks for the chunks of its hits."""
+
+    def again(*_, **__):
+        raise AssertionError("chunks of hits are made again")
+
+    monkeypatch.setattr(bm25.Index, "named", again)
+    assert catalog.QUERIES["coverage_rank1"](spark, "/root/testdata/sf0.001").count() > 0
